@@ -87,7 +87,7 @@ def range_domain(df: DataFrame, columns: list[str]) -> DataFrame:
     def shown(name: str, kind: str) -> Column:
         return F.date_format(F.col(name), "yyyy-MM-dd") if kind == DATE else F.lit(None).cast("string")
     def number(name: str, kind: str) -> Column:
-        return F.col(name).cast("double") if kind == NUMERIC else F.lit(None).cast("double")
+        return F.col(name).cast("double") + 0.0 if kind == NUMERIC else F.lit(None).cast("double")
     rows = [
         {
             "column": F.lit(c),

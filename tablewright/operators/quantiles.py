@@ -24,7 +24,8 @@ _FINE = 65_536
 
 
 def number_columns(df: DataFrame, columns, by=()) -> DataFrame:
-    return df.select(*[q(b) for b in by], *[q(c).cast("double").alias(c) for c in columns])
+    """The columns as doubles; adding zero turns negative zero into zero."""
+    return df.select(*[q(b) for b in by], *[(q(c).cast("double") + 0.0).alias(c) for c in columns])
 
 
 def few_distinct(df: DataFrame, columns, limit: int = COUNTERS_PER_TASK) -> bool:

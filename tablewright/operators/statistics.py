@@ -245,8 +245,9 @@ def _against_bounds(df: DataFrame, columns, by, bounds: DataFrame, keep_facts, a
             for i, c in enumerate(names)
             for name, agg in aggs.items()
         ])
+        stored = dict(bounds.dtypes)
         rows = [
-            {"column": F.lit(c), **{f: F.lit(known[c][f]) for f in keep_facts},
+            {"column": F.lit(c), **{f: F.lit(known[c][f]).cast(stored[f]) for f in keep_facts},
              **{name: F.col(f"{name}{i}") for name in aggs}}
             for i, c in enumerate(names)
         ]
