@@ -20,29 +20,31 @@ DATE_SHAPES = (
     (r"^\p{L}{3,9} \d{1,2}, \d{4}$", ("MMM d, yyyy", "MMMM d, yyyy")),
     (r"^\p{L}{3,9} \d{4}$", ("MMMM yyyy", "MMM yyyy")),
 )
-# Two-digit years, 69-99 meaning 1969-1999.
+# Two-digit years; 69-99 mean 1969-1999, the others 2000-2068.
 SHORT_YEAR_SHAPES = (
-    (r"^\d{1,2}-\d{1,2}-\d{2}$", ("M-d-yy", "d-M-yy")),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", ("M/d/yy", "d/M/yy")),
+    (r"^\d{1,2}-\d{1,2}-(69|[7-9]\d)$", "19", ("M-d-yyyy", "d-M-yyyy")),
+    (r"^\d{1,2}-\d{1,2}-\d{2}$", "20", ("M-d-yyyy", "d-M-yyyy")),
+    (r"^\d{1,2}/\d{1,2}/(69|[7-9]\d)$", "19", ("M/d/yyyy", "d/M/yyyy")),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "20", ("M/d/yyyy", "d/M/yyyy")),
 )
 
 
-def _attempt(c: Column, shapes) -> Column:
-    tries = [
-        F.when(c.rlike(shape), F.coalesce(*[F.try_to_timestamp(c, *([F.lit(p)] if p else [])) for p in patterns]))
-        for shape, patterns in shapes
-    ]
-    return F.coalesce(*tries)
+def _attempt(text: Column, patterns) -> Column:
+    tries = [F.try_to_timestamp(text, *([F.lit(p)] if p else [])) for p in patterns]
+    return F.coalesce(*tries) if len(tries) > 1 else tries[0]
 
 
 def to_date_time(c: Column, trimmed: bool = False) -> Column:
-    """Parse a text in any accepted spelling to a wall-clock timestamp; anything else is NULL."""
+    """Parse a text in any accepted spelling to a wall-clock timestamp; anything else is NULL.
+
+    ``trimmed`` says that the column holds trimmed texts already, which keeps the expression small.
+    """
     t = c if trimmed else strip(c)
-    full = _attempt(t, DATE_SHAPES)
-    short = F.when(t.rlike(r"[-/]\d\d$"), _attempt(t, SHORT_YEAR_SHAPES))
-    # Two-digit years from 69 on were read as 2069 and later.
-    short = F.when(short < F.lit("2069-01-01").cast("timestamp"), short).otherwise(
-        short - F.make_ym_interval(F.lit(100))
-    )
-    # Every spelling has a digit: plain words are settled by one cheap test.
-    return F.when(t.rlike("[0-9]"), F.coalesce(full, short)).cast("timestamp_ntz")
+    # The first shape that fits decides. Every spelling has a digit: plain words are settled by one cheap test.
+    out = F.when(~t.rlike("[0-9]"), F.lit(None).cast("timestamp"))
+    for shape, patterns in DATE_SHAPES:
+        out = out.when(t.rlike(shape), _attempt(t, patterns))
+    for shape, century, patterns in SHORT_YEAR_SHAPES:
+        full_year = F.regexp_replace(t, r"(\d\d)$", century + "$1")
+        out = out.when(t.rlike(shape), _attempt(full_year, patterns))
+    return out.cast("timestamp_ntz")

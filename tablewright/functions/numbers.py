@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .text import strip
 
 # Fixed value: the accepted spelling of a number (no suffixes, no hexadecimal, no underscores).
-NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER_PATTERN = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
 def finite(c: Column) -> Column:
@@ -16,24 +16,21 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
+def _number_text(c: Column) -> Column:
+    """The text to be cast, or an empty one. Each step uses the one before once, so nothing is computed twice."""
+    bare = strip(F.translate(c, ",$", ""))
+    return F.regexp_extract(F.regexp_replace(bare, r"^\((.*)\)$", "-$1"), NUMBER_PATTERN, 0)
+
+
 def to_number(c: Column) -> Column:
     """Parse ``1,200``, ``$5``, ``(3.5)`` and plain or scientific numbers; anything else is NULL."""
-    bare = strip(F.translate(c, ",$", ""))
-    signed = F.when(
-        bare.startswith("(") & bare.endswith(")"),
-        F.concat(F.lit("-"), F.substring(bare, F.lit(2), F.length(bare) - 2)),
-    ).otherwise(bare)
-    return finite(F.when(signed.rlike(NUMBER_PATTERN), signed.try_cast("double")))
+    # A number too large for a double comes out infinite.
+    return F.nullif(F.nullif(_number_text(c).try_cast("double"), F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def to_exact_number(c: Column, scale: int = 6) -> Column:
     """As ``to_number`` for long integers and money: a decimal that keeps all 38 digits."""
-    bare = strip(F.translate(c, ",$", ""))
-    signed = F.when(
-        bare.startswith("(") & bare.endswith(")"),
-        F.concat(F.lit("-"), F.substring(bare, F.lit(2), F.length(bare) - 2)),
-    ).otherwise(bare)
-    return F.when(signed.rlike(NUMBER_PATTERN), signed.try_cast(f"decimal(38,{scale})"))
+    return _number_text(c).try_cast(f"decimal(38,{scale})")
 
 
 def display_number(c: Column, digits: int = 3) -> Column:

@@ -21,10 +21,15 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def token_to_null(trimmed: Column, tokens=NULL_TOKENS) -> Column:
+    """NULL for a trimmed text that means "missing". Longer texts are not even lower-cased."""
+    longest = max(len(t.encode()) for t in tokens)
+    return F.when((F.octet_length(trimmed) > longest) | ~F.lower(trimmed).isin(*tokens), trimmed)
+
+
 def null_tokens_to_null(c: Column, tokens=NULL_TOKENS) -> Column:
     """Trim a text and turn the tokens that mean "missing" into NULL; other texts keep their case."""
-    trimmed = strip(c)
-    return F.when(~F.lower(trimmed).isin(*tokens), trimmed)
+    return token_to_null(strip(c), tokens)
 
 
 def compare_text(c: Column) -> Column:

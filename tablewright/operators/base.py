@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import finite
-from ..functions.text import null_tokens_to_null
+from ..functions.text import strip, token_to_null
 from ..session import keep
 
 ROW_ID = "_row_id"
@@ -52,24 +52,22 @@ def columns_of(df: DataFrame, kind: str, by: Iterable[str] = ()) -> list[str]:
 
 
 def normalise(df: DataFrame, by: Iterable[str] = ()) -> DataFrame:
-    """Make every kind of "missing" NULL: tokens in texts, NaN in floats; nested values become JSON text."""
-    skip = set(by)
-    out = []
-    for field in df.schema.fields:
-        c = q(field.name)
-        if field.name.startswith("_") or field.name in skip:
-            out.append(c)
-        elif isinstance(field.dataType, T.StringType):
-            out.append(null_tokens_to_null(c).alias(field.name))
-        elif isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-            out.append(finite(c).alias(field.name))
-        elif isinstance(field.dataType, NESTED_TYPES):
-            out.append(F.to_json(c).alias(field.name))
-        elif isinstance(field.dataType, T.BooleanType):
-            out.append(c.cast("string").alias(field.name))
-        else:
-            out.append(c)
-    return df.select(*out)
+    """Make every kind of "missing" NULL: tokens in texts, NaN in floats; nested values become JSON text.
+
+    Texts are trimmed in a first projection and tested in a second one, so no cell is trimmed twice.
+    """
+    fields = {n: df.schema[n].dataType for n in data_columns(df, by)}
+    texts = [n for n, t in fields.items() if isinstance(t, T.StringType)]
+    first = {n: strip(q(n)) for n in texts}
+    for n, t in fields.items():
+        if isinstance(t, (T.FloatType, T.DoubleType)):
+            first[n] = finite(q(n))
+        elif isinstance(t, NESTED_TYPES):
+            first[n] = F.to_json(q(n))
+        elif isinstance(t, T.BooleanType):
+            first[n] = q(n).cast("string")
+    out = df.select(*[first[n].alias(n) if n in first else q(n) for n in df.columns])
+    return out.select(*[token_to_null(q(n)).alias(n) if n in texts else q(n) for n in df.columns])
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:

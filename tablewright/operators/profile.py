@@ -49,10 +49,16 @@ def _stored(kinds: dict[str, str]) -> dict[str, str]:
     return {c: "Text" if k == CATEGORICAL else k for c, k in kinds.items()}
 
 
-def _parses(kind: str) -> Column:
-    """Whether a cell in long form counts as number (or date): by its stored type, else by its text."""
-    text = to_number(F.col("value")) if kind == NUMERIC else to_date_time(F.col("value"), trimmed=True)
-    return F.when(F.col("stored") == "Text", text.isNotNull()).otherwise(F.col("stored") == kind)
+def _parsed(cells: DataFrame) -> DataFrame:
+    """Add, to cells in long form, whether they count as number and as date: by stored type, else by their text."""
+    text, there = F.col("stored") == "Text", F.col("value").isNotNull()
+    parsed = cells.withColumns({"_x": to_number(F.col("value")), "_d": to_date_time(F.col("value"), trimmed=True)})
+    return parsed.withColumns(
+        {
+            "_x": F.when(text, F.col("_x").isNotNull()).otherwise(there & (F.col("stored") == NUMERIC)),
+            "_d": F.when(text, F.col("_d").isNotNull()).otherwise(there & (F.col("stored") == DATE)),
+        }
+    )
 
 
 def type_evidence(df: DataFrame, by=()) -> DataFrame:
@@ -62,15 +68,14 @@ def type_evidence(df: DataFrame, by=()) -> DataFrame:
     """
     base = normalise(df, by)
     kinds = classes(base, by)
-    cells = long_form(base, list(kinds), by).withColumn("stored", _by_column(_stored(kinds)))
-    there = F.col("value").isNotNull()
+    cells = _parsed(long_form(base, list(kinds), by).withColumn("stored", _by_column(_stored(kinds))))
     return (
         cells.groupBy(*[q(b) for b in by], "column", "stored")
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.count("value").alias("non_null"),
-            F.count_if(there & _parses(NUMERIC)).alias("numeric_ok"),
-            F.count_if(there & _parses(DATE)).alias("date_ok"),
+            F.count(F.when(F.col("_x"), 1)).alias("numeric_ok"),
+            F.count(F.when(F.col("_d"), 1)).alias("date_ok"),
         )
         .withColumn("ord", _by_column({c: i for i, c in enumerate(kinds)}))
     )
@@ -132,7 +137,8 @@ def invalid_values(df: DataFrame, types: dict[str, str], kind: str, by=(), row_i
         names = data_columns(base, by)[:1]
         base = base.limit(0)
     parse = to_number(F.col("value")) if kind == NUMERIC else to_date_time(F.col("value"), trimmed=True)
-    return value_frequencies(base, names, by, row_id).filter(F.col("value").isNotNull() & parse.isNull())
+    values = value_frequencies(base, names, by, row_id).filter(F.col("value").isNotNull())
+    return values.withColumn("_p", parse).filter(F.col("_p").isNull()).drop("_p")
 
 
 def invalid_counts(df: DataFrame, types: dict[str, str], by=()) -> DataFrame:
@@ -251,11 +257,14 @@ def profile_table(df: DataFrame, types: dict[str, str] | None = None, row_id: st
     kinds = classes(base)
     # All facts come from the distinct values of the columns: each is parsed once and counted with its weight.
     values = value_frequencies(base, list(kinds)).withColumn("stored", _by_column(_stored(kinds)))
-    there, n = F.col("value").isNotNull(), F.col("n")
+    n = F.col("n")
     per_key = (
-        values.withColumns({"_x": F.when(there & _parses(NUMERIC), n), "_d": F.when(there & _parses(DATE), n)})
+        _parsed(values)
         .groupBy("column", "stored", F.lower("value").alias("_key"))
-        .agg(*[F.sum(c).alias(c) for c in ("n", "_x", "_d")], F.count("value").alias("variants"))
+        .agg(
+            F.sum("n").alias("n"), F.sum(F.when(F.col("_x"), n)).alias("_x"), F.sum(F.when(F.col("_d"), n)).alias("_d"),
+            F.count("value").alias("variants"),
+        )
     )
 
     def total(c) -> Column:

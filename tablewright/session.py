@@ -13,6 +13,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM never compiles methods beyond 8000 bytes of bytecode. Parsing expressions fused into one stage exceed
+    # that; with this limit Spark generates them as several small methods instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
