@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.operators import profile as p
-from tablewright.operators.base import DATE, NUMERIC, classes
+from tablewright.operators.base import CATEGORICAL, DATE, NUMERIC, columns_of
 from tablewright.operators.scoring import quality_metrics
 from tablewright.operators.cleaning import clean
 from tablewright.plans.runs import cleaning_impact as impact
@@ -21,6 +21,11 @@ def _customer(spark, sf):
     return table(spark, sf, "customer").withColumn("_row_id", F.col("c_custkey"))
 
 
+def _texts(df):
+    """Rules on categorical columns read no others."""
+    return df.select(*columns_of(df, CATEGORICAL))
+
+
 def column_types(spark, sf):
     return p.column_types(dirty(spark, sf)).select(
         "column", "rows", "non_null", "numeric_ok", "date_ok", "detected_type"
@@ -75,7 +80,7 @@ def id_columns(spark, sf):
 
 def high_cardinality(spark, sf):
     frames = [
-        p.high_cardinality(p.profile_table(table(spark, sf, name))).select(
+        p.high_cardinality(p.profile_table(_texts(table(spark, sf, name)))).select(
             F.lit(name).alias("table_name"), "column", F.round("unique_ratio", 6).alias("unique_ratio"))
         for name in ("customer", "part", "documents", "orders")
     ]
@@ -90,7 +95,7 @@ def column_classes(spark, sf):
 
 def filterable_columns(spark, sf):
     frames = [
-        p.filterable_columns(p.profile_table(table(spark, sf, name))).select(
+        p.filterable_columns(p.profile_table(_texts(table(spark, sf, name)))).select(
             F.lit(name).alias("table_name"), "column", "distinct")
         for name in ("customer", "part", "lineitem", "events")
     ]

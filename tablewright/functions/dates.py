@@ -29,6 +29,9 @@ SHORT_YEAR_SHAPES = (
 )
 
 
+_ANY_SHAPE = "|".join(shape for shape, *_ in (*DATE_SHAPES, *SHORT_YEAR_SHAPES))
+
+
 def _attempt(text: Column, patterns) -> Column:
     tries = [F.try_to_timestamp(text, *([F.lit(p)] if p else [])) for p in patterns]
     return F.coalesce(*tries) if len(tries) > 1 else tries[0]
@@ -40,8 +43,8 @@ def to_date_time(c: Column, trimmed: bool = False) -> Column:
     ``trimmed`` says that the column holds trimmed texts already, which keeps the expression small.
     """
     t = c if trimmed else strip(c)
-    # The first shape that fits decides. Every spelling has a digit: plain words are settled by one cheap test.
-    out = F.when(~t.rlike("[0-9]"), F.lit(None).cast("timestamp"))
+    # One test settles the texts that fit no shape; among the others the first shape that fits decides.
+    out = F.when(~t.rlike(_ANY_SHAPE), F.lit(None).cast("timestamp"))
     for shape, patterns in DATE_SHAPES:
         out = out.when(t.rlike(shape), _attempt(t, patterns))
     for shape, century, patterns in SHORT_YEAR_SHAPES:

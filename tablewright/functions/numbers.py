@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .text import strip
 
 # Fixed value: the accepted spelling of a number (no suffixes, no hexadecimal, no underscores).
-NUMBER_PATTERN = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+NUMBER_PATTERN = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
+# Fixed value: a number in brackets is negative.
+BRACKETS = r"^\s*\((.*)\)\s*$"
 
 
 def finite(c: Column) -> Column:
@@ -16,21 +18,30 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
-def _number_text(c: Column) -> Column:
-    """The text to be cast, or an empty one. Each step uses the one before once, so nothing is computed twice."""
-    bare = strip(F.translate(c, ",$", ""))
-    return F.regexp_extract(F.regexp_replace(bare, r"^\((.*)\)$", "-$1"), NUMBER_PATTERN, 0)
+def _number_text(c: Column, trimmed: bool) -> Column:
+    """The text to be cast, NULL if it is no number: a failing cast would cost an exception per cell.
 
+    No step computes another one twice, and the bracket rule runs only on cells that hold a bracket.
+    """
+    cell = c if trimmed else strip(c)
+    bare = F.translate(cell, ",$", "")
+    signed = F.when(cell.contains("("), F.regexp_replace(bare, BRACKETS, "-$1")).otherwise(bare)
+    return F.nullif(F.regexp_extract(signed, NUMBER_PATTERN, 1), F.lit(""))
 
-def to_number(c: Column) -> Column:
-    """Parse ``1,200``, ``$5``, ``(3.5)`` and plain or scientific numbers; anything else is NULL."""
+
+def to_number(c: Column, trimmed: bool = False) -> Column:
+    """Parse ``1,200``, ``$5``, ``(3.5)`` and plain or scientific numbers; anything else is NULL.
+
+    ``trimmed`` says that the column holds trimmed texts already.
+    """
     # A number too large for a double comes out infinite.
-    return F.nullif(F.nullif(_number_text(c).try_cast("double"), F.lit(float("inf"))), F.lit(float("-inf")))
+    value = _number_text(c, trimmed).try_cast("double")
+    return F.nullif(F.nullif(value, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def to_exact_number(c: Column, scale: int = 6) -> Column:
     """As ``to_number`` for long integers and money: a decimal that keeps all 38 digits."""
-    return _number_text(c).try_cast(f"decimal(38,{scale})")
+    return _number_text(c, False).try_cast(f"decimal(38,{scale})")
 
 
 def display_number(c: Column, digits: int = 3) -> Column:

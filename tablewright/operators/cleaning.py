@@ -11,6 +11,7 @@ from ..config import CleaningConfig
 from ..functions.dates import to_date_time
 from ..functions.numbers import to_number
 from ..functions.text import text_mode
+from ..session import keep
 from .base import CATEGORICAL, DATE, NUMERIC, ROW_ID, UNKNOWN, classes, data_columns, normalise, q
 from .duplicates import drop_repeats, duplicate_count
 from .profile import ColumnProfile, collect_profile, profile_table
@@ -34,7 +35,7 @@ def standardize(df: DataFrame, types: dict[str, str], config=None) -> DataFrame:
         if stored != CATEGORICAL:
             return q(name)
         if kind == NUMERIC:
-            return to_number(q(name)).alias(name)
+            return to_number(q(name), trimmed=True).alias(name)
         if kind == DATE:
             return to_date_time(q(name), trimmed=True).alias(name)
         return text_mode(q(name), mode).alias(name) if kind and mode != "strip" else q(name)
@@ -130,7 +131,7 @@ def clean(df: DataFrame, types: dict[str, str], subset=None, config=None, row_id
     """
     cfg = CleaningConfig.of(config)
     subset = list(subset) if subset else None
-    typed = standardize(df, types, cfg)
+    typed = keep(standardize(df, types, cfg))  # parsed once, read by the profile, the fills and the result
     profile = collect_profile(profile_table(typed, types, row_id))
     plan = plan_fills(typed, profile, cfg)
     filled = apply_fills(typed, plan)

@@ -52,7 +52,8 @@ def _stored(kinds: dict[str, str]) -> dict[str, str]:
 def _parsed(cells: DataFrame) -> DataFrame:
     """Add, to cells in long form, whether they count as number and as date: by stored type, else by their text."""
     text, there = F.col("stored") == "Text", F.col("value").isNotNull()
-    parsed = cells.withColumns({"_x": to_number(F.col("value")), "_d": to_date_time(F.col("value"), trimmed=True)})
+    cells = cells.withColumn("_t", F.when(text, F.col("value")))  # stored numbers and dates need no parsing
+    parsed = cells.withColumns({"_x": to_number(F.col("_t"), trimmed=True), "_d": to_date_time(F.col("_t"), trimmed=True)})
     return parsed.withColumns(
         {
             "_x": F.when(text, F.col("_x").isNotNull()).otherwise(there & (F.col("stored") == NUMERIC)),
@@ -136,7 +137,7 @@ def invalid_values(df: DataFrame, types: dict[str, str], kind: str, by=(), row_i
     if not names:
         names = data_columns(base, by)[:1]
         base = base.limit(0)
-    parse = to_number(F.col("value")) if kind == NUMERIC else to_date_time(F.col("value"), trimmed=True)
+    parse = to_number(F.col("value"), trimmed=True) if kind == NUMERIC else to_date_time(F.col("value"), trimmed=True)
     values = value_frequencies(base, names, by, row_id).filter(F.col("value").isNotNull())
     return values.withColumn("_p", parse).filter(F.col("_p").isNull()).drop("_p")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .base import checked_broadcast, q
 
 # Up to this many distinct values per column the built-in aggregate is used.
-COUNTERS_PER_TASK = 250_000
+COUNTERS_PER_TASK = 1_000_000
 
 _PER_OCTAVE = 64
 _OFFSET = 1_100 * _PER_OCTAVE
@@ -28,29 +28,34 @@ def number_columns(df: DataFrame, columns, by=()) -> DataFrame:
     return df.select(*[q(b) for b in by], *[(q(c).cast("double") + 0.0).alias(c) for c in columns])
 
 
-def few_distinct(df: DataFrame, columns, limit: int = COUNTERS_PER_TASK) -> bool:
-    """Whether every column has few enough distinct values for one counter per value."""
+def many_distinct(df: DataFrame, columns, limit: int = COUNTERS_PER_TASK) -> set[str]:
+    """The columns with too many distinct values for one counter per value, by a sketch over the whole table."""
     if not columns:
-        return True
-    estimate = df.agg(*[F.approx_count_distinct(q(c), 0.02).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    return max(estimate) <= limit
+        return set()
+    estimate = df.agg(*[F.approx_count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    return {c for c, d in zip(columns, estimate) if d > limit}
 
 
 def quantiles(df: DataFrame, columns, probs, by=(), limit: int = COUNTERS_PER_TASK) -> DataFrame:
     """``(by..., column, n, q array<double>)`` with one quantile per probability, for columns with values."""
     columns, by, probs = list(columns), list(by), list(probs)
     numbers = number_columns(df, columns, by)
-    if few_distinct(numbers, columns, limit):
-        wide = numbers.groupBy(*[q(b) for b in by]).agg(
-            *[F.count(q(c)).alias(f"_n{i}") for i, c in enumerate(columns)],
-            *[F.percentile(q(c), F.array(*[F.lit(p) for p in probs])).alias(f"_q{i}") for i, c in enumerate(columns)],
-        )
-        rows = [
-            F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n"), F.col(f"_q{i}").alias("q"))
-            for i, c in enumerate(columns)
-        ]
-        return wide.select(*[q(b) for b in by], F.inline(F.array(*rows))).filter("n > 0")
-    return narrowed_quantiles(numbers, columns, probs, by)
+    many = many_distinct(numbers, columns, limit)
+    few = [c for c in columns if c not in many]
+    if not few:
+        return narrowed_quantiles(numbers, columns, probs, by)
+    wide = numbers.groupBy(*[q(b) for b in by]).agg(
+        *[F.count(q(c)).alias(f"_n{i}") for i, c in enumerate(few)],
+        *[F.percentile(q(c), F.array(*[F.lit(p) for p in probs])).alias(f"_q{i}") for i, c in enumerate(few)],
+    )
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n"), F.col(f"_q{i}").alias("q"))
+        for i, c in enumerate(few)
+    ]
+    counted = wide.select(*[q(b) for b in by], F.inline(F.array(*rows))).filter("n > 0")
+    if not many:
+        return counted
+    return counted.unionByName(narrowed_quantiles(numbers, [c for c in columns if c in many], probs, by))
 
 
 def _coarse(v: Column) -> Column:

@@ -248,21 +248,26 @@ def _quoted_line_breaks(lines: DataFrame) -> DataFrame:
 
 def file_checks(spark: SparkSession, paths, header: list[str] | None = None) -> DataFrame:
     """One row per file: size, encoding, first line and the error that keeps it from being read, if any."""
-    listed = (
-        spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
-    )
+    def same_form(c: Column) -> Column:
+        return F.regexp_replace(c, "^file:/+", "file:/")
+
+    # A scan skips files without content, so the list of files comes from the reader's own index.
+    names = spark.read.text(paths).inputFiles()
+    listed = spark.createDataFrame([(n,) for n in names], "file string").select(same_form(F.col("file")).alias("file"))
     lines = _physical_lines(spark, paths)
-    first = lines.groupBy(F.col("_file").alias("file")).agg(
+    first = lines.groupBy(same_form(F.col("_file")).alias("file")).agg(
+        F.max("_bytes").alias("_size"),
         F.min_by("_raw", F.struct("_block", "_pos")).alias("header_line"),
         F.when(F.bool_and(F.is_valid_utf8("_raw")), "utf-8").otherwise("latin-1").alias("encoding"),
     )
+    found = listed.join(first, "file", "left").withColumn("bytes", F.coalesce("_size", F.lit(0)))
     blank = F.coalesce(F.regexp_replace("header_line", r'[\s,"\ufeff]', "") == "", F.lit(True))
     error = (
         F.when(~F.lower("file").endswith(".csv"), "not a .csv file")
         .when(F.col("bytes") <= 0, "empty file")
         .when(blank, "no usable header row")
     )
-    return listed.join(first, "file", "left").select(
+    return found.select(
         "file", "bytes", "encoding", "header_line", (~blank).alias("header_ok"), error.alias("error")
     )
 
