@@ -7,34 +7,24 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-# Fixed values: (shape of the text, date patterns tried in this order). Month comes before day when both fit.
-# The shape test is cheap and keeps a text from being tried against patterns that cannot fit.
-DATE_SHAPES = (
-    (r"^\d{4}(-\d{1,2}(-\d{1,2}([T ].*)?)?)?$", (None,)),
-    (r"^\d{4}/\d{1,2}/\d{1,2}([ T]\d.*)?$", ("yyyy/M/d[ H:mm[:ss]]",)),
-    (r"^\d{8}$", ("yyyyMMdd",)),
-    (r"^\d{1,2}/\d{1,2}/\d{4}( \d.*)?$", ("M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]")),
-    (r"^\d{1,2}-\d{1,2}-\d{4}( \d.*)?$", ("M-d-yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]")),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}( \d.*)?$", ("M.d.yyyy[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]")),
-    (r"^\d{1,2} \p{L}{3,9} \d{4}$", ("d MMM yyyy", "d MMMM yyyy")),
-    (r"^\p{L}{3,9} \d{1,2}, \d{4}$", ("MMM d, yyyy", "MMMM d, yyyy")),
-    (r"^\p{L}{3,9} \d{4}$", ("MMMM yyyy", "MMM yyyy")),
+# The accepted shapes of a date text.
+ISO_SHAPE = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ].*)?)?)?$"
+COMPACT_SHAPE = r"^\d{8}$"
+NUMBER_SHAPE = r"^\d{1,4}([-/.])\d{1,2}\1\d{2,4}([ T]\d.*)?$"
+DAY_NAME_SHAPE = r"^\d{1,2} \p{L}{3,9} \d{4}$"
+NAME_SHAPE = r"^\p{L}{3,9} (\d{1,2}, )?\d{4}$"
+# The patterns tried for each; month comes before day when both fit.
+NUMBER_PATTERNS = ("M-d-yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]")
+DAY_NAME_PATTERNS = ("d MMM yyyy", "d MMMM yyyy")
+NAME_PATTERNS = ("MMM d, yyyy", "MMMM d, yyyy", "MMMM yyyy", "MMM yyyy")
+
+_ANY_SHAPE = "|".join(
+    s.replace(r"\1", "[-/.]") for s in (ISO_SHAPE, COMPACT_SHAPE, NUMBER_SHAPE, DAY_NAME_SHAPE, NAME_SHAPE)
 )
-# Two-digit years; 69-99 mean 1969-1999, the others 2000-2068.
-SHORT_YEAR_SHAPES = (
-    (r"^\d{1,2}-\d{1,2}-(69|[7-9]\d)$", "19", ("M-d-yyyy", "d-M-yyyy")),
-    (r"^\d{1,2}-\d{1,2}-\d{2}$", "20", ("M-d-yyyy", "d-M-yyyy")),
-    (r"^\d{1,2}/\d{1,2}/(69|[7-9]\d)$", "19", ("M/d/yyyy", "d/M/yyyy")),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", "20", ("M/d/yyyy", "d/M/yyyy")),
-)
-
-
-_ANY_SHAPE = "|".join(shape for shape, *_ in (*DATE_SHAPES, *SHORT_YEAR_SHAPES))
 
 
 def _attempt(text: Column, patterns) -> Column:
-    tries = [F.try_to_timestamp(text, *([F.lit(p)] if p else [])) for p in patterns]
-    return F.coalesce(*tries) if len(tries) > 1 else tries[0]
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in patterns])
 
 
 def to_date_time(c: Column, trimmed: bool = False) -> Column:
@@ -43,11 +33,18 @@ def to_date_time(c: Column, trimmed: bool = False) -> Column:
     ``trimmed`` says that the column holds trimmed texts already, which keeps the expression small.
     """
     t = c if trimmed else strip(c)
-    # One test settles the texts that fit no shape; among the others the first shape that fits decides.
-    out = F.when(~t.rlike(_ANY_SHAPE), F.lit(None).cast("timestamp"))
-    for shape, patterns in DATE_SHAPES:
-        out = out.when(t.rlike(shape), _attempt(t, patterns))
-    for shape, century, patterns in SHORT_YEAR_SHAPES:
-        full_year = F.regexp_replace(t, r"(\d\d)$", century + "$1")
-        out = out.when(t.rlike(shape), _attempt(full_year, patterns))
-    return out.cast("timestamp_ntz")
+    dashes = F.regexp_replace(t, r"^(\d{1,4})([-/.])(\d{1,2})\2(\d)", "$1-$3-$4")
+    # Two-digit years: 69-99 mean 1969-1999, the others 2000-2068.
+    late = F.regexp_replace(dashes, r"^(?<md>\d{1,2}-\d{1,2}-)(?<y>69|[7-9]\d)$", "${md}19${y}")
+    full_year = F.regexp_replace(late, r"^(?<md>\d{1,2}-\d{1,2}-)(?<y>\d\d)$", "${md}20${y}")
+    # The first test settles all texts that are no date; a try that fails costs an exception, so few are made.
+    return (
+        F.when(~t.rlike(_ANY_SHAPE), F.lit(None).cast("timestamp"))
+        .when(t.rlike(ISO_SHAPE), F.try_to_timestamp(t))
+        .when(t.rlike(r"^\d{4}[/.]"), F.try_to_timestamp(dashes))
+        .when(t.rlike(COMPACT_SHAPE), F.try_to_timestamp(t, F.lit("yyyyMMdd")))
+        .when(t.rlike(r"^\d{1,2} "), _attempt(t, DAY_NAME_PATTERNS))
+        .when(t.rlike(r"^\d"), _attempt(full_year, NUMBER_PATTERNS))
+        .otherwise(_attempt(t, NAME_PATTERNS))
+        .cast("timestamp_ntz")
+    )

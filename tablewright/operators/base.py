@@ -83,9 +83,12 @@ def long_form(df: DataFrame, columns: list[str], ids: Iterable[str] = (), value:
 
 
 def stack(df: DataFrame, keys: Iterable[str], rows: list[dict[str, Column]]) -> DataFrame:
-    """Turn aggregates side by side into rows, without a shuffle."""
+    """Turn aggregates side by side into rows, without a shuffle.
+
+    The outer form keeps Spark from adding a filter that would compute all the aggregates' expressions again.
+    """
     structs = [F.struct(*[c.alias(n) for n, c in r.items()]) for r in rows]
-    return df.select(*[q(k) for k in keys], F.inline(F.array(*structs)))
+    return df.select(*[q(k) for k in keys], F.inline_outer(F.array(*structs)))
 
 
 def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

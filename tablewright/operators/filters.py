@@ -66,7 +66,7 @@ def filter_audit(df: DataFrame, categorical=None, numeric=None, dates=None, end_
         )
         for i, (_, a) in enumerate(found)
     ]
-    return counts.select(F.inline(F.array(*rows)))
+    return counts.select(F.inline_outer(F.array(*rows)))
 
 
 def category_domain(df: DataFrame, columns: list[str]) -> DataFrame:

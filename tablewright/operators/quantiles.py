@@ -52,7 +52,7 @@ def quantiles(df: DataFrame, columns, probs, by=(), limit: int = COUNTERS_PER_TA
         F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n"), F.col(f"_q{i}").alias("q"))
         for i, c in enumerate(few)
     ]
-    counted = wide.select(*[q(b) for b in by], F.inline(F.array(*rows))).filter("n > 0")
+    counted = wide.select(*[q(b) for b in by], F.inline_outer(F.array(*rows))).filter("n > 0")
     if not many:
         return counted
     return counted.unionByName(narrowed_quantiles(numbers, [c for c in columns if c in many], probs, by))

@@ -82,7 +82,7 @@ def time_axis_evidence(df: DataFrame, columns) -> DataFrame:
         F.struct(F.lit(NUMERIC_AXIS).alias("axis"), number.alias("t")),
         F.struct(F.lit(DATE_AXIS).alias("axis"), seconds.alias("t")),
     )
-    points = freq.select("column", "stored", "n", F.inline(both))
+    points = freq.select("column", "stored", "n", F.inline_outer(both))
     per_point = points.groupBy("column", "stored", "axis", "t").agg(F.sum("n").alias("n"))
     per_axis = per_point.groupBy("column", "stored", "axis").agg(
         F.sum("n").alias("rows"),

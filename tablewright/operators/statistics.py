@@ -180,7 +180,7 @@ def correlation_matrix(df: DataFrame, columns=None, by=()) -> DataFrame:
         F.struct(F.col("column_a").alias("row"), F.col("column_a").alias("column"), one.alias("r")),
         F.struct(F.col("column_b").alias("row"), F.col("column_b").alias("column"), one.alias("r")),
     )
-    return pairs.select(*_keys(by), F.inline(cells)).distinct()
+    return pairs.select(*_keys(by), F.inline_outer(cells)).distinct()
 
 
 def strongest_correlation(pairs: DataFrame, by=()) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators.profile import missing_counts
 from ..operators.scoring import chart_recommendations, confidence_score, quality_metrics, quality_score
 from ..operators.selection import ColumnChoice
 from ..operators.signals import segment_gap, trend
+from ..session import keep
 from ..operators.statistics import completeness, correlation_pairs, moments, outlier_summary, strongest_correlation, top_values
 
 SLICE = "slice"
@@ -87,8 +88,11 @@ def slice_findings(
         )
         parts.append(bars)
     out = parts[0]
-    for part in parts[1:]:
+    for i, part in enumerate(parts[1:], start=1):
         out = out.join(part, SLICE, "left")
+        # One row per slice: caching in between keeps the generated code of the chain of joins small.
+        out = keep(out) if i % 3 == 0 else out
+    out = keep(out)
     charts = [
         (i, k, cols) for i, k, cols in chart_recommendations(choice) if not by or by not in cols
     ]
@@ -130,4 +134,5 @@ def slice_findings(
         "invalid_values": F.col("invalid_numeric") + F.col("invalid_dates"),
         "max_outlier_share": F.coalesce("top_outlier.share", F.lit(0.0)),
     }
-    return confidence_score(out.withColumns(facts))
+    # One row per slice, read by every text and document: computed once, and a small plan for what follows.
+    return keep(confidence_score(out.withColumns(facts)))

@@ -136,7 +136,7 @@ def _view(
     profile = collect_profile(table)
     choice = choose_columns(rows, table, profile, prefs.segment_column, prefs.metric_column, prefs.time_column)
     used = measures(profile)
-    findings = keep(slice_findings(upload.raw, rows, upload.types, choice, None, used, subset))
+    findings = slice_findings(upload.raw, rows, upload.types, choice, None, used, subset)
     preferred = {"time": prefs.time_column, "metric": prefs.metric_column, "segment": prefs.segment_column}
     sections = insight_sections(findings, audience, prefs.column_roles, preferred)
     static = {

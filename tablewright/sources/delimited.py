@@ -112,7 +112,7 @@ def ingest_notes(metrics: DataFrame) -> DataFrame:
             F.lit(4).alias("ord"), F.lit("empty").alias("rule"), F.lit(0).cast("bigint").alias("n"),
             F.lit("The file has a header but no data rows.").alias("note"))),
     )
-    return metrics.select(F.inline(F.filter(rules, lambda r: r.isNotNull())))
+    return metrics.select(F.inline_outer(F.array_compact(rules))).filter("rule is not null")
 
 
 # --- files -----------------------------------------------------------------------------------------------

@@ -151,7 +151,7 @@ def test_summary_and_correlation_with_gaps(spark):
 
 
 def test_outliers(spark):
-    df = spark.createDataFrame(list(zip([10, 12, 11, 200, 13], [1, 1.5, 1.8, 2.0, 2.2], [1, 1, 1, 2, 3])),
+    df = spark.createDataFrame(list(zip([10, 12, 11, 200, 13], [1.0, 1.5, 1.8, 2.0, 2.2], [1, 1, 1, 2, 3])),
                                "sales int, profit double, three int")
     got = {r["column"]: r["outliers"] for r in st.outlier_summary(df).collect()}
     assert got == {"sales": 1}  # "three" has three distinct values only
