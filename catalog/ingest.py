@@ -43,7 +43,7 @@ def csv_notes(spark, sf):
 def csv_document_cells(spark, sf):
     """Whole document texts read as records: how many cells each would have."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("_line_no"), F.col("text").alias("line"))
-    return dl.classify_records(docs.filter(~F.col("line").contains('"')), 3).select(
+    return dl.classify_records(docs, 3).select(
         F.col("_line_no").alias("doc_id"), F.col("_n").alias("field_count")
     )
 
@@ -87,9 +87,8 @@ ORACLES = {
         SELECT 1 AS ord, 'repaired' AS rule, count(*) FILTER (kind = 'short') AS n FROM kinds
         UNION ALL SELECT 2, 'skipped', count(*) FILTER (kind = 'long') FROM kinds
         UNION ALL SELECT 3, 'blank', count(*) FILTER (kind = 'blank') FROM kinds) WHERE n > 0""",
-    "csv_document_cells": """SELECT doc_id, CAST(CASE WHEN text = '' THEN 0
-        ELSE length(text) - length(replace(text, ',', '')) + 1 END AS INTEGER) AS field_count
-        FROM documents WHERE NOT contains(text, '"')""",
+    "csv_document_cells": """SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(regexp_extract_all(',' || text,
+        ',("(?:[^"]|"")*"[^,]*|"(?:[^"]|"")*$|[^,]*)')) END AS INTEGER) AS field_count FROM documents""",
     "csv_types": f"""{_LINES}, k AS (SELECT c[1] AS id, c[2] AS status, c[3] AS priority FROM kinds
           WHERE kind IN ('ok', 'short'))
         SELECT 'id' AS "column", count(id) AS non_null, 'Numeric' AS detected_type FROM k
