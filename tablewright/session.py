@@ -37,7 +37,11 @@ def pin_file_splits(spark: SparkSession) -> None:
 
 
 def checkpoint_ready(spark: SparkSession) -> str:
-    """Use the shared checkpoint folder the cluster names; choose a local one only where none is set."""
+    """Use the shared checkpoint folder the cluster names.
+
+    A folder of this machine is chosen only where all executors run on it (local mode); elsewhere a missing setting
+    raises, as other machines could not read such files.
+    """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -45,6 +49,8 @@ def checkpoint_ready(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-"))
     return context.getCheckpointDir()
 
