@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .quality_rules import op7_quality_rules
 
 QUERIES = {
+    "op7_quality_rules": op7_quality_rules,
     "op9_line_dedup": op9_line_dedup,
 }
 
