@@ -96,37 +96,45 @@ def _vote(rule: Rule) -> Column:
 
 
 def fit_label_model(counts: dict[tuple[int, ...], int], n_rules: int, *, rounds: int = 100, prior: float = 0.8):
-    """Expectation-maximisation on vote patterns: how likely good and bad documents are to get each vote, per rule.
+    """Expectation-maximisation on vote patterns: what each rule votes on good documents and on each kind of junk.
 
-    counts: documents per pattern. Starts from one reject vote meaning a bad document, as junk of one kind draws votes
-    of few rules. A rule can't be worse than guessing: where the estimate says so it loses its say. Returns the share of good documents and, per rule, log-likelihood ratios
-    of its three votes.
+    counts: documents per pattern. The hidden class of a document is good (0) or the kind of junk that rule j is about
+    (j + 1), since junk of one kind draws votes of few rules. A rule is held to be no worse than guessing: it rejects
+    at least half of its own kind and at most half of the good documents. Returns log shares of the classes and, per
+    class and rule, log probabilities of the three votes.
     """
+    kinds = n_rules + 1
+    share = [prior] + [(1 - prior) / n_rules] * n_rules
+    tables = [[(1 / 3, 1 / 3, 1 / 3)] * n_rules for _ in range(kinds)]
+    of = {}
+    for p in counts:
+        n = p.count(0)
+        of[p] = [0.1 if n else 1.0] + [0.9 / n if v == 0 else 0.0 for v in p]
     total = sum(counts.values())
-    if not total:
-        return prior, [(0.0, 0.0, 0.0)] * n_rules
-    good = {p: (0.95, 0.1, 0.02)[min(2, p.count(0))] for p in counts}
-    share, ratios = prior, []
-    for _ in range(rounds):
-        n_good = sum(good[p] * c for p, c in counts.items())
-        share = min(0.999, max(0.001, (n_good + 4 * prior) / (total + 4)))
-        ratios = []
-        for j in range(n_rules):
-            seen = [[0.1, 0.1, 0.1], [0.1, 0.1, 0.1]]
-            for p, c in counts.items():
-                seen[1][p[j]] += good[p] * c
-                seen[0][p[j]] += (1 - good[p]) * c
-            yes, no = ([x / sum(side) for x in side] for side in (seen[1], seen[0]))
-            reject, _, keep = ratio = tuple(max(-6.0, min(6.0, math.log(a / b))) for a, b in zip(yes, no))
-            ratios.append((min(reject, 0.0), 0.0, max(keep, 0.0)) if reject < keep else (0.0, 0.0, 0.0))
-        before = good
-        good = {}
+    for _ in range(rounds if total else 0):
+        mass = [sum(of[p][c] * n for p, n in counts.items()) for c in range(kinds)]
+        share = [(m + (4 * prior if c == 0 else 0.1)) / (total + 4 * prior + 0.1 * n_rules) for c, m in enumerate(mass)]
+        tables = []
+        for c in range(kinds):
+            row = []
+            for j in range(n_rules):
+                seen = [0.1, 0.1, 0.1]
+                for p, n in counts.items():
+                    seen[p[j]] += of[p][c] * n
+                reject = seen[0] / sum(seen)
+                bounded = min(reject, 0.5) if c == 0 else max(reject, 0.5) if c == j + 1 else reject
+                rest = seen[1] + seen[2]
+                row.append((bounded, (1 - bounded) * seen[1] / rest, (1 - bounded) * seen[2] / rest))
+            tables.append(row)
+        before, of = of, {}
         for p in counts:
-            odds = math.log(share / (1 - share)) + sum(ratios[j][v] for j, v in enumerate(p))
-            good[p] = 1 / (1 + math.exp(-odds))
-        if max(abs(good[p] - before[p]) for p in counts) < 1e-9:
+            likely = [math.log(share[c]) + sum(math.log(tables[c][j][v]) for j, v in enumerate(p)) for c in range(kinds)]
+            most = max(likely)
+            weights = [math.exp(x - most) for x in likely]
+            of[p] = [w / sum(weights) for w in weights]
+        if max(abs(of[p][0] - before[p][0]) for p in counts) < 1e-9:
             break
-    return share, ratios
+    return [math.log(x / sum(share)) for x in share], [[tuple(map(math.log, v)) for v in row] for row in tables]
 
 
 def judge_quality(
@@ -143,14 +151,19 @@ def judge_quality(
     names = [f"_v{j}" for j in range(len(rules))]
     counted = figures.select(*votes).groupBy(*names).count().collect()  # at most 3 ** len(rules) rows
     counts = {tuple(r[n] for n in names): r["count"] for r in sorted(counted)}
-    share, ratios = fit_label_model(counts, len(rules))
-    odds = F.lit(math.log(share / (1 - share)))
-    for j, rule in enumerate(rules):
-        reject, abstain, keep = ratios[j]
-        v = _vote(rule)
-        odds = odds + F.when(v == 0, F.lit(reject)).when(v == 2, F.lit(keep)).otherwise(F.lit(abstain))
-    p = 1 / (1 + F.exp(-odds))
-    return figures.withColumn("p_good", p).withColumn("passed", F.col("p_good") >= least).withColumnRenamed("_id", id_col)
+    share, tables = fit_label_model(counts, len(rules))
+    likely = []
+    for c, row in enumerate(tables):
+        value = F.lit(share[c])
+        for j, logs in enumerate(row):
+            v = F.col(f"_v{j}")
+            value = value + F.when(v == 0, F.lit(logs[0])).when(v == 1, F.lit(logs[1])).otherwise(F.lit(logs[2]))
+        likely.append(value.alias(f"_k{c}"))
+    judged = figures.select("*", *votes).select("*", *likely)
+    odds = sum((F.exp(F.col(f"_k{c}") - F.col("_k0")) for c in range(1, len(tables))), F.lit(0.0))
+    drop = [*names, *(f"_k{c}" for c in range(len(tables)))]
+    judged = judged.withColumn("p_good", 1 / (1 + odds)).drop(*drop)
+    return judged.withColumn("passed", F.col("p_good") >= least).withColumnRenamed("_id", id_col)
 
 
 def op7_quality_rules(spark, sf_dir):
