@@ -33,7 +33,7 @@ RULES = (
     Rule("capitals", "10 * n_capitals > 4 * word_chars", "10 * n_capitals <= word_chars"),
     Rule("exclamations", "4 * n_exclamations > n_words", "50 * n_exclamations <= n_words"),
     Rule("repeated_words", "10 * n_repeat_words > 3 * n_words", "10 * n_repeat_words <= n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines <= n_lines"),
+    Rule("repeated_lines", "2 * n_dup_lines > n_lines", "10 * n_dup_lines <= n_lines"),
 )
 
 
@@ -100,12 +100,12 @@ def fit_label_model(counts: dict[tuple[int, ...], int], n_rules: int, *, rounds:
 
     counts: documents per pattern. The hidden class of a document is good (0) or the kind of junk that rule j is about
     (j + 1), since junk of one kind draws votes of few rules. A rule is held to be no worse than guessing: it rejects
-    at least half of its own kind and at most half of the good documents. Returns log shares of the classes and, per
+    at least half of its own kind and at most half of the good documents it votes on. Abstaining says nothing. Returns log shares of the classes and, per
     class and rule, log probabilities of the three votes.
     """
     kinds = n_rules + 1
     share = [prior] + [(1 - prior) / n_rules] * n_rules
-    tables = [[(1 / 3, 1 / 3, 1 / 3)] * n_rules for _ in range(kinds)]
+    tables = [[(0.5, 1.0, 0.5)] * n_rules for _ in range(kinds)]
     of = {}
     for p in counts:
         n = p.count(0)
@@ -121,10 +121,9 @@ def fit_label_model(counts: dict[tuple[int, ...], int], n_rules: int, *, rounds:
                 seen = [0.1, 0.1, 0.1]
                 for p, n in counts.items():
                     seen[p[j]] += of[p][c] * n
-                reject = seen[0] / sum(seen)
+                reject = seen[0] / (seen[0] + seen[2])
                 bounded = min(reject, 0.5) if c == 0 else max(reject, 0.5) if c == j + 1 else reject
-                rest = seen[1] + seen[2]
-                row.append((bounded, (1 - bounded) * seen[1] / rest, (1 - bounded) * seen[2] / rest))
+                row.append((bounded, 1.0, 1 - bounded))
             tables.append(row)
         before, of = of, {}
         for p in counts:
