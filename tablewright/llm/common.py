@@ -16,6 +16,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Everything in ASCII that is no digit and no lower-case letter separates words of the decontamination contract.
 NOT_WORD_RUN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before lower-casing, to count words only.
+ANY_CASE_NOT_WORD_RUN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
