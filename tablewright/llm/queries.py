@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_benchmark_decontamination
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .minhash_dedup import op10_minhash_dedup
 from .quality_rules import op7_quality_rules
 from .token_output import op3_token_output
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op9_line_dedup": op9_line_dedup,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 ORACLES = {
