@@ -5,10 +5,12 @@ from __future__ import annotations
 from .decontaminate import OP6_SQL, op6_benchmark_decontamination
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .minhash_dedup import op10_minhash_dedup
+from .quality_classifier import op2_quality_classifier
 from .quality_rules import op7_quality_rules
 from .token_output import op3_token_output
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_token_output": op3_token_output,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
