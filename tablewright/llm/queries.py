@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_benchmark_decontamination
+from .language_id import op8_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .minhash_dedup import op10_minhash_dedup
 from .quality_classifier import op2_quality_classifier
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_token_output": op3_token_output,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
