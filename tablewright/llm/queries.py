@@ -6,6 +6,7 @@ from .decontaminate import OP6_SQL, op6_benchmark_decontamination
 from .language_id import op8_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .minhash_dedup import op10_minhash_dedup
+from .mixing import op5_source_mixing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op7_quality_rules
 from .token_output import op3_token_output
@@ -13,6 +14,7 @@ from .token_output import op3_token_output
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_output": op3_token_output,
+    "op5_source_mixing": op5_source_mixing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
