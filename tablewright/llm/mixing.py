@@ -18,7 +18,7 @@ from .common import Workspace, row_key, table
 
 #: Parameters: words a block aims at, blocks of the whole corpus at most (they grow instead; each source has one at
 #: least), and words an output shard aims at, with the most shards.
-BLOCK_WORDS = 20_000
+BLOCK_WORDS = 100_000
 MOST_BLOCKS = 200_000
 SHARD_WORDS = 2_000_000
 MOST_SHARDS = 65_536
@@ -130,7 +130,8 @@ def plan_mix(
 
 
 def _fill(block: pd.DataFrame) -> pd.DataFrame:
-    """Of one block's documents, in permuted order, every one that still fits into the words wanted."""
+    """Of one block's documents, in permuted order, those that still fit into the words wanted, and one more if that
+    comes nearer."""
     same = ["_id", "_row"]
     docs = block.groupby(same, dropna=False, as_index=False).agg(
         _size=("_size", "sum"), _order=("_order", "first"), _copy=("_copy", "first"), _shard=("_shard", "first"), _want=("_want", "first"),
@@ -139,6 +140,9 @@ def _fill(block: pd.DataFrame) -> pd.DataFrame:
     for size in docs["_size"]:
         chosen.append(size <= left)
         left -= size if chosen[-1] else 0
+    rest = [(abs(left - size), i) for i, size in enumerate(docs["_size"]) if not chosen[i]]
+    if rest and min(rest)[0] < left:  # one more document comes nearer than none
+        chosen[min(rest)[1]] = True
     return docs[chosen][["_id", "_row", "_copy", "_shard"]]
 
 
