@@ -10,8 +10,10 @@ from .mixing import op5_source_mixing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op7_quality_rules
 from .token_output import op3_token_output
+from .url_filters import OP1_SQL, op1_url_filters
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_output": op3_token_output,
     "op5_source_mixing": op5_source_mixing,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_url_filters": OP1_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
 }
