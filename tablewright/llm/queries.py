@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_benchmark_decontamination
+from .html_extract import op4_html_extraction
 from .language_id import op8_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .minhash_dedup import op10_minhash_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_output": op3_token_output,
+    "op4_html_extraction": op4_html_extraction,
     "op5_source_mixing": op5_source_mixing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
