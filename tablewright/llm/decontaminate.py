@@ -12,11 +12,13 @@ import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from .common import ANY_CASE_NOT_WORD_RUN, NOT_WORD_RUN, ascii_lower, let, row_key, table, words
+from .common import ANY_CASE_NOT_WORD_RUN, NOT_WORD_RUN, Workspace, ascii_lower, let, row_key, table, words
 
 WINDOW = 13
 #: A sieve in front of the joins: what it lets through wrongly is only compared in vain. 2 ** 22 bits are 512 KB.
 SIEVE_BITS = 22
+#: Contaminated rows up to which their counted list is broadcast (16 bytes each); beyond, the join shuffles.
+BROADCAST_ROWS = 2_000_000
 GRAM = 5
 
 
@@ -150,17 +152,8 @@ def _covered(spans: Column) -> Column:
     )
 
 
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, *, least_share: int = 20, id_col="doc_id", text_col="text", item_col="item_id",
-    item_text_col="text",
-) -> DataFrame:
-    """Per row: the id, n_words, n_hit (words inside occurrences), spans, items (sorted as strings) and contaminated.
-
-    A window is 13 words of an item in a row, or the whole of a shorter item. A row is contaminated if some word is hit
-    and least_share times n_hit reaches n_words. NULL and empty texts have no words and are clean, NULL and empty items
-    have no windows, a NULL item id is left out of items, repeated rows each get a row, an empty table on either side
-    leaves nothing hit. Other columns of the input are not looked at.
-    """
+def _judged(docs: DataFrame, benchmark: DataFrame, least_share: int, id_col, text_col, item_col, item_text_col) -> DataFrame:
+    """Per row: _id, _row and what find_contamination gives."""
     spans = benchmark_spans(
         docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col,
     ).select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2"), "spans", "items")
@@ -171,12 +164,43 @@ def find_contamination(
     out = counted.join(
         spans, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_row") == F.col("_row2")), "left",
     ).select(
-        F.col("_id").alias(id_col), "n_words", F.coalesce("spans", no_span).alias("spans"),
+        "_id", "_row", "n_words", F.coalesce("spans", no_span).alias("spans"),
         F.coalesce(F.sort_array(F.transform("items", lambda x: x.cast("string"))), no_item).alias("items"),
     ).withColumn("n_hit", _covered(F.col("spans")).cast("long"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (least_share * F.col("n_hit") >= F.col("n_words")))
 
 
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, *, least_share: int = 20, id_col="doc_id", text_col="text", item_col="item_id",
+    item_text_col="text",
+) -> DataFrame:
+    """Per row: the id, n_words, n_hit (words inside occurrences), spans, items (sorted as strings) and contaminated.
+
+    A window is 13 words of an item in a row, or the whole of a shorter item. A row is contaminated if some word is hit
+    and least_share times n_hit reaches n_words. NULL and empty texts have no words and are clean, NULL and empty items
+    have no windows, a NULL item id is left out of items, repeated rows each get a row, an empty table on either side
+    leaves nothing hit. Other columns of the input are not looked at.
+    """
+    out = _judged(docs, benchmark, least_share, id_col, text_col, item_col, item_text_col)
+    return out.withColumnRenamed("_id", id_col).drop("_row")
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, least_share: int = 20, id_col="doc_id", text_col="text", item_col="item_id",
+    item_text_col="text",
+) -> DataFrame:
+    """The rows of docs, all columns as they are, that find_contamination calls clean."""
+    judged = _judged(docs, benchmark, least_share, id_col, text_col, item_col, item_text_col).where("contaminated")
+    work = Workspace(docs.sparkSession, "contaminated-documents")
+    bad = work.write(judged.select(F.col("_id").alias("_i"), F.col("_row").alias("_r")).distinct(), "bad")
+    few = bad.count() <= BROADCAST_ROWS
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")).select(
+        "_doc", F.col("_doc").getField(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col("_doc").getField(text_col), F.lit(""))).alias("_row"),
+    )
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r"))
+    return rows.join(F.broadcast(bad) if few else bad, same, "left_anti").select("_doc.*")
+
+
 def op6_benchmark_decontamination(spark, sf_dir):
     out = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(

@@ -271,6 +271,24 @@ def near_duplicates(
     )
 
 
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, without near duplicates: of each component the smallest id stays, and
+    of rows that repeat an id one. Rows with a NULL id all stay."""
+    judged = near_duplicates(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col)
+    per_id = judged.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
+        F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"),
+    )
+    work = Workspace(docs.sparkSession, "kept-documents")
+    odd = work.write(per_id.where(~F.col("_kept") | (F.col("_n") > 1)), "odd")
+    few = odd.count() <= BROADCAST_IDS
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("_doc"), F.col(id_col).cast("long").alias("_id"))
+    marked = rows.join(F.broadcast(odd) if few else odd, "_id", "left")
+    single = marked.where(F.col("_n").isNull())
+    repeated = marked.where(F.col("_kept") & (F.col("_n") > 1)).groupBy("_id").agg(F.min("_doc").alias("_doc"))
+    return single.select("_doc").union(repeated.select("_doc")).select("_doc.*")
+
+
 def _across(placed: DataFrame) -> DataFrame:
     """Pairs of one bucket that are in different components, block against block."""
     blocks = F.ceil(F.col("_size") / SPREAD).cast("int")

@@ -106,6 +106,20 @@ def score_quality(
     return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 
+def keep_good(docs: DataFrame, weights: np.ndarray | None, *, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is at least `least`; all rows without a model."""
+    if weights is None:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [chances(np.array([v @ weights[i, 0]]))[0] >= least for i, v in features(batch.column(at))]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
