@@ -113,12 +113,13 @@ def fit_label_model(counts: dict[tuple[int, ...], int], n_rules: int, *, rounds:
     total = sum(counts.values())
     for _ in range(rounds if total else 0):
         mass = [sum(of[p][c] * n for p, n in counts.items()) for c in range(kinds)]
-        share = [(m + (4 * prior if c == 0 else 0.1)) / (total + 4 * prior + 0.1 * n_rules) for c, m in enumerate(mass)]
+        share = [(m + (4 * prior if c == 0 else 1)) / (total + 4 * prior + n_rules) for c, m in enumerate(mass)]
         tables = []
         for c in range(kinds):
             row = []
             for j in range(n_rules):
-                seen = [0.1, 0.1, 0.1]
+                # Prior beliefs, as votes: good documents pass a rule, junk of a rule's own kind does not.
+                seen = [0.1, 0.0, 10.0] if c == 0 else [5.0, 0.0, 0.1] if c == j + 1 else [0.1, 0.0, 0.1]
                 for p, n in counts.items():
                     seen[p[j]] += of[p][c] * n
                 reject = seen[0] / (seen[0] + seen[2])
