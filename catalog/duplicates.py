@@ -145,9 +145,7 @@ ORACLES = {
         UNION ALL {_rule('weak', 'column_subset', 'status', "'Weak'")}
         UNION ALL {_rule('usable', 'column_subset', 'order_id, priority', _SUBSET_STATUS)}
         UNION ALL {_rule('coarse', 'column_subset', 'status, priority', _SUBSET_STATUS)}
-        UNION ALL SELECT 'unknown', 'column_subset', t, t, d, g, 1.0::DOUBLE, u, 'Unavailable' FROM
-          (SELECT total_rows AS t, duplicate_row_count AS d, duplicate_group_count AS g, unique_record_ratio AS u
-           FROM ({_rule('rows', 'exact', None, "'x'")}))
+        UNION ALL SELECT 'unknown', 'column_subset', 0, 0, 0, 0, 0.0::DOUBLE, 0.0::DOUBLE, 'Unavailable'
         UNION ALL {_rule('sparse', 'column_subset', 'order_id, priority, _row_id', _SUBSET_STATUS)}""",
     "dup_documents": f"""SELECT doc_id, lang, n_chars FROM (SELECT *,
         count(*) OVER (PARTITION BY {_TEXT_KEY}) AS n FROM documents) WHERE n > 1""",

@@ -331,8 +331,8 @@ ORACLES = {
     "guided_categories": f"""{sql_with()} SELECT 'status' AS "column", status AS value, count(*) AS n,
         CAST(row_number() OVER (ORDER BY count(*) DESC, status) AS INTEGER) AS rank FROM norm GROUP BY status""",
     "event_status_counts": f"WITH {_EVENTS} SELECT status, count(*) AS n FROM ev GROUP BY status",
-    "event_snapshot": f"""WITH {_EVENTS}, l AS (SELECT * FROM ev ORDER BY timestamp DESC LIMIT 20)
-        SELECT status, count(*) AS n, max(timestamp) AS last_seen, max_by(event_type, timestamp) AS last_event_type
+    "event_snapshot": f"""WITH {_EVENTS}, l AS (SELECT * FROM ev ORDER BY timestamp DESC, run_id DESC LIMIT 20)
+        SELECT status, count(*) AS n, max(timestamp) AS last_seen, max_by(event_type, (timestamp, run_id)) AS last_event_type
         FROM l GROUP BY status""",
     "latest_events": f"WITH {_EVENTS} SELECT * FROM ev ORDER BY timestamp DESC, run_id DESC LIMIT 20",
     "latest_event": f"WITH {_EVENTS} SELECT * FROM ev ORDER BY timestamp DESC, run_id DESC LIMIT 1",

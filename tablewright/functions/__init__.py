@@ -8,7 +8,9 @@ from .labels import (
     readiness_label,
     relationship_strength,
     segment_support,
-    support_reason,
+    correlation_reason,
+    segment_reason,
+    trend_reason,
     trend_support,
 )
 from .numbers import display_number, finite, metric_text, percent_text, to_exact_number, to_number

@@ -54,21 +54,36 @@ def confidence_label(score: Column) -> Column:
     return _cascade([(score >= 80, "High"), (score >= 55, "Medium")], "Low")
 
 
-def support_reason(kind: str, label: Column) -> Column:
-    """One sentence on what the label of a correlation, trend or segment signal permits."""
-    few = {
-        "correlation": "Too few complete pairs remain to read anything into this correlation.",
-        "trend": "Too few separate points in time remain to speak of a trend.",
-        "segment": "Too few filled groups remain to compare segments.",
-    }[kind]
-    some = {
-        "correlation": "The pair moves together, but sample or effect is still modest.",
-        "trend": "The direction is visible, but periods or coverage are still limited.",
-        "segment": "The gap is visible, but group size or effect is still modest.",
-    }[kind]
+def correlation_reason(n: Column, r: Column, label: Column) -> Column:
+    """What the label of a correlation rests on, in figures."""
+    figures = F.format_string("r = %.2f over %d complete rows", r, n)
     return (
-        F.when(label == INSUFFICIENT, few)
-        .when(label == WEAK, "The correlation is numerically present but too small to rely on.")
-        .when(label == DIRECTIONAL, some)
-        .when(label == SUPPORTED, "Sample and effect are large enough to treat this as a real signal.")
+        F.when(label == INSUFFICIENT, F.format_string("%d complete rows; 5 are needed.", n))
+        .when(label == WEAK, F.concat(figures, F.lit("; below 0.20 in size.")))
+        .when((label == DIRECTIONAL) & (n < 15), F.concat(figures, F.lit("; 15 rows are needed for more.")))
+        .when(label == DIRECTIONAL, F.concat(figures, F.lit("; 0.35 in size is needed for more.")))
+        .when(label == SUPPORTED, F.concat(figures, F.lit(".")))
+    )
+
+
+def trend_reason(n: Column, periods: Column, coverage: Column, label: Column) -> Column:
+    """What the label of a trend rests on: too few periods and too little coverage are told apart."""
+    seen = F.format_string("%d rows in %d periods", n, periods)
+    filled = F.format_string("%.0f%% of rows usable", coverage * 100)
+    return (
+        F.when(label == INSUFFICIENT, F.concat(seen, F.lit("; 4 rows in 3 periods are needed.")))
+        .when((label == DIRECTIONAL) & (periods < 7), F.concat(seen, F.lit("; 7 periods are needed for more.")))
+        .when(label == DIRECTIONAL, F.concat(seen, F.lit(", but only "), filled, F.lit("; 65% are needed for more.")))
+        .when(label == SUPPORTED, F.concat(seen, F.lit(", "), filled, F.lit(".")))
+    )
+
+
+def segment_reason(groups: Column, smallest: Column, effect: Column, label: Column) -> Column:
+    """What the label of a gap between segments rests on, in figures."""
+    seen = F.format_string("%d groups, the smaller of the two compared with %d rows", groups, smallest)
+    return (
+        F.when(label == INSUFFICIENT, F.concat(seen, F.lit("; 2 groups of 2 rows are needed.")))
+        .when((label == DIRECTIONAL) & (smallest < 5), F.concat(seen, F.lit("; 5 rows are needed for more.")))
+        .when(label == DIRECTIONAL, F.concat(seen, F.format_string("; the effect size %.2f is below 0.60.", effect)))
+        .when(label == SUPPORTED, F.concat(seen, F.format_string("; effect size %.2f.", effect)))
     )

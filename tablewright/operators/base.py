@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +93,15 @@ def stack(df: DataFrame, keys: Iterable[str], rows: list[dict[str, Column]]) ->
     return df.select(*[q(k) for k in keys], F.inline_outer(F.array(*structs)))
 
 
+def join_slices(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "inner", broadcast: bool = False) -> DataFrame:
+    """Join on equal keys where a NULL key (a slice of its own) equals NULL; the keys appear once."""
+    keys = list(keys)
+    other = right.withColumnsRenamed({k: f"_right{i}" for i, k in enumerate(keys)})
+    same = reduce(and_, [q(k).eqNullSafe(F.col(f"_right{i}")) for i, k in enumerate(keys)])
+    joined = left.join(checked_broadcast(other) if broadcast else other, same, how)
+    return joined.drop(*[f"_right{i}" for i in range(len(keys))])
+
+
 def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Count a derived table and mark it for broadcast only if it is small; otherwise Spark joins by shuffle."""
     small = keep(small)

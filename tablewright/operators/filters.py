@@ -21,6 +21,15 @@ def _moment(df: DataFrame, c: str) -> Column:
     return q(c) if classes(df)[c] == DATE else to_date_time(q(c).cast("string"))
 
 
+def _is_any(df: DataFrame, c: str, values) -> Column:
+    """Whether the cell is one of the values; a value that the column's type cannot hold matches nothing."""
+    dtype = df.schema[c].dataType
+    casts = [F.lit(v).try_cast(dtype) for v in values]
+    held = df.sparkSession.range(1).select(*[x.alias(f"v{i}") for i, x in enumerate(casts)]).first()
+    kept = [F.lit(v).cast(dtype) for v in held if v is not None]
+    return q(c).isin(*kept) if kept else F.lit(False)
+
+
 def predicates(df: DataFrame, categorical=None, numeric=None, dates=None, end_of_day: bool = False):
     """``(condition, audit row)`` per usable filter; an empty value list or an unknown column filters nothing.
 
@@ -29,7 +38,7 @@ def predicates(df: DataFrame, categorical=None, numeric=None, dates=None, end_of
     out = []
     for c, values in (categorical or {}).items():
         if c in df.columns and values:
-            out.append((q(c).isin(*values), (c, "values", f"{c}: {len(values)} selected value(s)")))
+            out.append((_is_any(df, c, values), (c, "values", f"{c}: {len(values)} selected value(s)")))
     for c, bounds in (numeric or {}).items():
         if c in df.columns and bounds is not None:
             low, high = bounds

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import checked_broadcast, q
+from ..functions.numbers import finite
+from ..session import keep
+from .base import join_slices, q
 
 # Up to this many distinct values per column the built-in aggregate is used.
 COUNTERS_PER_TASK = 1_000_000
@@ -21,11 +23,13 @@ COUNTERS_PER_TASK = 1_000_000
 _PER_OCTAVE = 64
 _OFFSET = 1_100 * _PER_OCTAVE
 _FINE = 65_536
+# Values a last bucket may hold; larger ones are narrowed again.
+BUCKET_ROWS = 1_000_000
 
 
 def number_columns(df: DataFrame, columns, by=()) -> DataFrame:
-    """The columns as doubles; adding zero turns negative zero into zero."""
-    return df.select(*[q(b) for b in by], *[(q(c).cast("double") + 0.0).alias(c) for c in columns])
+    """The columns as doubles. NaN and infinities are missing; adding zero turns negative zero into zero."""
+    return df.select(*[q(b) for b in by], *[(finite(q(c).cast("double")) + 0.0).alias(c) for c in columns])
 
 
 def many_distinct(df: DataFrame, columns, limit: int = COUNTERS_PER_TASK) -> set[str]:
@@ -73,44 +77,46 @@ def _wanted(probs, n: Column, before: Column, here: Column) -> Column:
     return hit
 
 
-def narrowed_quantiles(numbers: DataFrame, columns, probs, by=()) -> DataFrame:
+def narrowed_quantiles(numbers: DataFrame, columns, probs, by=(), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     by = list(by)
     group = [*by, "column"]
-    cells = numbers.unpivot([q(b) for b in by], [q(c) for c in columns], "column", "v").filter(
-        F.col("v").isNotNull() & ~F.isnan("v")
-    )
-    cells = cells.withColumn("b1", _coarse(F.col("v")))
+    cells = numbers.unpivot([q(b) for b in by], [q(c) for c in columns], "column", "v").filter(F.col("v").isNotNull())
+    cells = cells.withColumn("b", _coarse(F.col("v")).cast("string"))
 
     def running(frame: DataFrame, within: list[str], order: str) -> DataFrame:
         earlier = W.partitionBy(*[q(c) for c in within]).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        return frame.withColumn("below", F.coalesce(F.sum("here").over(earlier), F.lit(0)))
+        return frame.withColumn("earlier", F.coalesce(F.sum("here").over(earlier), F.lit(0)))
 
     # Step 1: a few thousand coarse buckets per column at most.
-    coarse = cells.groupBy(*[q(g) for g in group], "b1").agg(
+    counted = cells.groupBy(*[q(g) for g in group], "b").agg(
         F.count(F.lit(1)).alias("here"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
-    coarse = running(coarse, group, "b1").withColumn(
-        "n", F.sum("here").over(W.partitionBy(*[q(g) for g in group]))
-    )
-    coarse = coarse.filter(_wanted(probs, F.col("n"), F.col("below"), F.col("here")))
-    coarse = coarse.select(*[q(g) for g in group], "b1", "n", F.col("below").alias("below1"), "lo", "hi")
-
-    # Step 2: the chosen buckets in 65,536 even parts between their own ends.
-    inside = cells.join(checked_broadcast(coarse), [*group, "b1"])
-    share = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
-    inside = inside.withColumn("b2", F.coalesce(F.floor(share * (_FINE - 1)), F.lit(0)).cast("int"))
-    fine = inside.groupBy(*[q(g) for g in group], "b1", "b2", "n", "below1").agg(F.count(F.lit(1)).alias("here"))
-    fine = running(fine, [*group, "b1"], "b2").withColumn("below", F.col("below") + F.col("below1"))
-    fine = fine.filter(_wanted(probs, F.col("n"), F.col("below"), F.col("here"))).select(
-        *[q(g) for g in group], "b1", "b2", F.col("below").alias("below2")
-    )
+    counted = running(counted, group, "lo").withColumn("n", F.sum("here").over(W.partitionBy(*[q(g) for g in group])))
+    chosen = counted.withColumn("below", F.col("earlier")).filter(_wanted(probs, F.col("n"), F.col("below"), F.col("here")))
+    chosen = keep(chosen.select(*[q(g) for g in group], "b", "n", "below", "here", "lo", "hi"))
+
+    # Step 2: the chosen buckets in 65,536 even parts between their own ends, once and then until all are small. A part
+    # spans less than its bucket, as the ends of a bucket with two values differ.
+    while True:
+        inside = join_slices(cells, chosen.drop("here"), [*group, "b"], broadcast=True)
+        share = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
+        part = F.coalesce(F.floor(share * (_FINE - 1)), F.lit(0)).cast("int")
+        cells = inside.select(*[q(g) for g in group], "v", F.concat_ws(".", "b", part.cast("string")).alias("b"),
+                              F.col("b").alias("_in"), "n", F.col("below").alias("_below"))
+        fine = cells.groupBy(*[q(g) for g in group], "b", "_in", "n", "_below").agg(
+            F.count(F.lit(1)).alias("here"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        )
+        fine = running(fine, [*group, "_in"], "lo").withColumn("below", F.col("earlier") + F.col("_below"))
+        chosen = keep(fine.filter(_wanted(probs, F.col("n"), F.col("below"), F.col("here"))).select(
+            *[q(g) for g in group], "b", "n", "below", "here", "lo", "hi"))
+        cells = cells.select(*[q(g) for g in group], "v", "b")
+        if not chosen.filter((F.col("here") > bucket_rows) & (F.col("lo") < F.col("hi"))).limit(1).count():
+            break
 
     # Step 3: the distinct values of the parts that hold a wanted rank.
-    values = inside.join(checked_broadcast(fine), [*group, "b1", "b2"])
-    values = values.groupBy(*[q(g) for g in group], "b1", "b2", "n", "below2", "v").agg(
-        F.count(F.lit(1)).alias("here")
-    )
-    values = running(values, [*group, "b1", "b2"], "v").withColumn("below", F.col("below") + F.col("below2"))
+    values = join_slices(cells, chosen.drop("here", "lo", "hi"), [*group, "b"], broadcast=True)
+    values = values.groupBy(*[q(g) for g in group], "b", "n", "below", "v").agg(F.count(F.lit(1)).alias("here"))
+    values = running(values, [*group, "b"], "v").withColumn("below", F.col("below") + F.col("earlier"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("below")) & (rank < F.col("below") + F.col("here")), F.col("v")))

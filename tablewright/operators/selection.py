@@ -111,7 +111,11 @@ def choose_time(df: DataFrame, table: DataFrame, preferred: str | None = None, e
         if found:
             return preferred, found["axis"]
     best = time_axis_ranking(df, table, exclude).first()
-    return (best["column"], best["axis"]) if best else (None, None)
+    if best:
+        return best["column"], best["axis"]
+    # Without a usable axis the first date column stands in, if there is one.
+    dates = table.filter((F.col("detected_type") == DATE) & ~F.col("column").isin(*exclude)).orderBy("ord").select("column").first()
+    return (dates["column"], "datetime") if dates else (None, None)
 
 
 def choose_columns(

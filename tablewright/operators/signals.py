@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import to_date_time
-from ..functions.labels import segment_support, support_reason, trend_support
+from ..functions.labels import segment_reason, segment_support, trend_reason, trend_support
 from ..functions.numbers import to_number
 from ..functions.text import strip
 from .base import DATE, NUMERIC, as_text, classes, q
@@ -54,7 +54,9 @@ def segment_gap(df: DataFrame, category: str, value: str, by=()) -> DataFrame:
         effect_size(F.col("t.m"), F.col("t.sd"), F.col("b.m"), F.col("b.sd")).alias("effect_size"),
     )
     label = segment_support(F.col("group_count"), F.col("min_group_size"), F.col("effect_size"))
-    return out.withColumn("support", label).withColumn("reason", support_reason("segment", F.col("support")))
+    return out.withColumn("support", label).withColumn("reason", segment_reason(
+        F.col("group_count"), F.col("min_group_size"), F.col("effect_size"), F.col("support"),
+    ))
 
 
 # --- time ---------------------------------------------------------------------------------------------------------
@@ -145,7 +147,9 @@ def trend(df: DataFrame, time: str, value: str, axis: str = DATE_AXIS, by=()) ->
         "sample_size", "distinct_periods", (F.col("sample_size") / F.col("_rows")).alias("coverage"),
     )
     label = trend_support(F.col("sample_size"), F.col("distinct_periods"), F.col("coverage"))
-    return out.withColumn("support", label).withColumn("reason", support_reason("trend", F.col("support")))
+    return out.withColumn("support", label).withColumn("reason", trend_reason(
+        F.col("sample_size"), F.col("distinct_periods"), F.col("coverage"), F.col("support"),
+    ))
 
 
 def _axis_label(t: Column, axis: str) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.labels import correlation_support, relationship_strength, support_reason
+from ..functions.labels import correlation_reason, correlation_support, relationship_strength
 from ..functions.numbers import to_number
-from .base import CATEGORICAL, DATE, NUMERIC, as_text, checked_broadcast, classes, columns_of, data_columns, q, stack
+from .base import CATEGORICAL, DATE, NUMERIC, as_text, classes, columns_of, data_columns, join_slices, q, stack
 from .profile import value_frequencies
 from .quantiles import number_columns, quantiles
 
@@ -56,7 +56,7 @@ def numeric_summary(df: DataFrame, columns=None, by=()) -> DataFrame:
     parts = quantiles(df, columns, (0.25, 0.5, 0.75), by).select(
         *_keys(by), "column", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75")
     )
-    return moments(df, columns, by).join(parts, [*by, "column"], "left").select(
+    return join_slices(moments(df, columns, by), parts, [*by, "column"], "left").select(
         *_keys(by), "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
@@ -193,7 +193,7 @@ def strongest_correlation(pairs: DataFrame, by=()) -> DataFrame:
     return best.withColumn("support", label).withColumns(
         {
             "strength": relationship_strength(F.col("r")),
-            "reason": support_reason("correlation", F.col("support")),
+            "reason": correlation_reason(F.col("n"), F.col("r"), F.col("support")),
         }
     )
 
@@ -253,7 +253,7 @@ def _against_bounds(df: DataFrame, columns, by, bounds: DataFrame, keep_facts, a
         ]
         return stack(wide, (), rows)
     cells = number_columns(df, columns, by).unpivot(_keys(by), [q(c) for c in columns], "column", "v")
-    joined = cells.filter(F.col("v").isNotNull()).join(checked_broadcast(bounds), [*by, "column"])
+    joined = join_slices(cells.filter(F.col("v").isNotNull()), bounds, [*by, "column"], broadcast=True)
     return joined.groupBy(*_keys(by), "column", *keep_facts).agg(
         *[agg(F.col("v"), F.col).alias(name) for name, agg in aggs.items()]
     )

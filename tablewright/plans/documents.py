@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import content_key
 from ..functions.numbers import display_number
+from ..operators.base import DATE, NUMERIC
+from ..operators.profile import issue_table
 from .findings import SLICE
 from .narrative import SECTIONS, insight_sections
 
@@ -138,23 +140,33 @@ def context_document(
     """``(slice, document)``: shapes, types, validation, summaries and a preview in one compact JSON text.
 
     Each part is a small table (one row per column or less) turned into one array; the parts are stacked under
-    their names and put together once.
+    their names and put together once. Summaries are those of the first columns in table order. Bad values are given
+    as exact counts with a preview per column, numbers and dates apart; ``invalid`` itself is the full list.
     """
+    order = F.array(*[F.lit(c) for c in types]).cast("array<string>")
+
     def as_array(frame: DataFrame, name: str, limit: int | None = None) -> DataFrame:
-        order = [c for c in frame.columns]
-        shown = frame.orderBy(*order).limit(limit) if limit else frame
-        packed = shown.select(F.to_json(F.struct(*shown.columns)).alias("j"))
-        return packed.agg(F.sort_array(F.collect_list("j")).alias("items")).select(F.lit(name).alias("part"), "items")
+        placed = frame.withColumn("_place", F.array_position(order, F.col("column")))
+        if limit:
+            first = [r["_place"] for r in placed.select("_place").distinct().orderBy("_place").limit(limit).collect()]
+            placed = placed.filter(F.col("_place").isin(*first))
+        rank = F.col("rank") if "rank" in frame.columns else F.lit(0)
+        packed = placed.select(F.struct("_place", rank.alias("_rank"), F.to_json(F.struct(*frame.columns)).alias("j")).alias("p"))
+        items = F.transform(F.array_sort(F.collect_list("p")), lambda p: p["j"])
+        return packed.agg(items.alias("items")).select(F.lit(name).alias("part"), "items")
 
     numeric = summary.select("column", "count", *[
         display_number(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")
     ])
-    kept = sorted({r["column"] for r in top.select("column").distinct().collect()})[:CATEGORY_SUMMARIES]
     parts = as_array(missing, "missing_values")
+    for kind, name in ((NUMERIC, "invalid_numeric"), (DATE, "invalid_dates")):
+        columns = [c for c, t in types.items() if t == kind]
+        bad = invalid.filter(F.col("column").isin(*columns))
+        bad = bad if "first_row" in bad.columns else bad.withColumn("first_row", F.lit(0))  # then by value
+        parts = parts.unionByName(as_array(issue_table(bad), name))
     for frame, name, limit in (
-        (invalid.select("column", "value", "n"), "invalid_values", 100),
         (numeric, "numeric_summary", NUMERIC_SUMMARIES),
-        (top.filter(F.col("column").isin(*kept)).select("column", "rank", "value", "n"), "categorical_summary", None),
+        (top.select("column", "rank", "value", "n"), "categorical_summary", CATEGORY_SUMMARIES),
         (outliers.select("column", "outliers", display_number(F.col("share"), 4).alias("share")), "outlier_summary",
          OUTLIER_SUMMARIES),
     ):

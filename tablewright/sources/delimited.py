@@ -133,7 +133,8 @@ class CsvTable:
 
 
 def _physical_lines(spark: SparkSession, paths) -> DataFrame:
-    return spark.read.option("lineSep", "\n").text(paths).select(
+    # Other files of a folder are no part of the table.
+    return spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.[cC][sS][vV]").text(paths).select(
         F.col("value").alias("_raw"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
@@ -179,12 +180,11 @@ def _single_line_records(lines: DataFrame) -> DataFrame:
     )
 
 
-def _quoted_line_breaks(lines: DataFrame) -> DataFrame:
-    """Join physical lines that lie inside one quoted field.
+def _quote_steps(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each line and each file split does to the state "a field is open".
 
     A line maps "a field is open before it" to "a field is open after it". That map is constant, identity or a
-    swap, so the state before any line follows from the last constant map and the number of swaps since. It is
-    computed within each file split and then across splits, which never puts a whole file into one task.
+    swap, so the state before any line follows from the last constant map and the number of swaps since.
     """
     a, b = ends_open(F.col("line")), ends_open(F.col("line"), starts_open=True)
     step = lines.withColumns({"_a": a, "_b": b}).withColumns(
@@ -207,6 +207,28 @@ def _quoted_line_breaks(lines: DataFrame) -> DataFrame:
     per_split = step.groupBy("_file", "_block").agg(
         F.sum("_swap").alias("_swap"), F.max_by(fixed, F.when(F.col("_const").isNotNull(), F.col("_pos"))).alias("_end")
     )
+    return step, per_split
+
+
+def unclosed_quotes(lines: DataFrame) -> DataFrame:
+    """Files whose last quoted field is never closed, from one row per split; nothing is gathered."""
+    _, per_split = _quote_steps(lines)
+    upto = W.partitionBy("_file").orderBy("_block")
+    total = per_split.withColumn("_total", F.sum("_swap").over(upto))
+    fixed = F.when(F.col("_end").isNotNull(), F.struct("_block", (F.col("_end.v") + F.col("_end.s") + F.col("_total") - F.col("_swap")).alias("v")))
+    ends = total.groupBy("_file").agg(F.max(fixed).alias("_last"), F.sum("_swap").alias("_all"))
+    # Adding and taking away swaps are the same modulo two.
+    return ends.filter((F.coalesce(F.col("_last.v"), F.lit(0)) + F.col("_all")) % 2 == 1).select("_file")
+
+
+def _quoted_line_breaks(lines: DataFrame) -> DataFrame:
+    """Join physical lines that lie inside one quoted field.
+
+    The state before each line is computed within each file split and then across splits, which never puts a whole
+    file into one task.
+    """
+    step, per_split = _quote_steps(lines)
+    local = W.partitionBy("_file", "_block").orderBy("_pos")
     files = W.partitionBy("_file").orderBy("_block")
     files_before = files.rowsBetween(W.unboundedPreceding, -1)
     per_split = per_split.withColumn("_total", F.sum("_swap").over(files))
@@ -272,9 +294,25 @@ def file_checks(spark: SparkSession, paths, header: list[str] | None = None) ->
     )
 
 
+def _common_header(records: DataFrame, first_file: str) -> list[str]:
+    """The column names that all files have in one order; a file with others raises instead of shifting its cells."""
+    heads = records.filter(F.col("_line_no") == 1)
+    columns = parse_header(heads.filter(F.col("_file") == first_file).select("line").first()["line"])
+    # Files with one and the same first line count once; a second spelling is looked at with the file it is in.
+    for r in heads.groupBy("line").agg(F.min("_file").alias("file")).orderBy("file").toLocalIterator():
+        other = parse_header(r["line"])
+        if other != columns:
+            kind = "in another order" if sorted(other) == sorted(columns) else "not the same"
+            raise ValueError(f"the columns of {r['file']} are {kind} as those of {first_file}; read it on its own")
+    return columns
+
+
 def read_csv(spark: SparkSession, paths) -> CsvTable:
     """Read one or more CSV files that share a header.
 
+    In a folder only .csv files are read. A file with other columns, and one with a quoted field that is never closed,
+    raises before any row is read.
+
     One scan measures the file splits (line counts, encoding, open quotes); the small result decides between
     the direct plan and the one for quoted line breaks. Everything returned is lazy.
     """
@@ -283,7 +321,8 @@ def read_csv(spark: SparkSession, paths) -> CsvTable:
         raise ValueError("only .csv files are supported")
     pin_file_splits(spark)
     lines = _physical_lines(spark, names)
-    splits = keep(_split_table(lines))
+    # Facts kept from an earlier reading of the same paths may be about files that were replaced since.
+    splits = keep(_split_table(lines).unpersist())
     facts = splits.agg(
         F.count(F.lit(1)).alias("n"), F.bool_or("_open").alias("open"), F.min("_file").alias("file")
     ).first()
@@ -291,10 +330,12 @@ def read_csv(spark: SparkSession, paths) -> CsvTable:
         raise ValueError("the CSV is empty")
     per_split = splits.select("_file", "_block", "_first_pos", "_line_offset", "_utf8")
     decoded = _decoded(lines.join(_maybe_broadcast(per_split, facts["n"]), ["_file", "_block"]))
+    if facts["open"]:
+        bad = unclosed_quotes(decoded).limit(5).collect()
+        if bad:
+            raise ValueError("a quoted field is never closed in " + ", ".join(sorted(r["_file"] for r in bad)))
     records = _quoted_line_breaks(decoded) if facts["open"] else _single_line_records(decoded)
-
-    head = records.filter((F.col("_line_no") == 1) & (F.col("_file") == facts["file"])).select("line").first()
-    columns = parse_header(head["line"])
+    columns = _common_header(records, facts["file"])
 
     sizes = records.groupBy("_file").agg(F.max("_line_no").alias("_records")) if facts["open"] else (
         splits.groupBy("_file").agg(F.sum("_lines").alias("_records"))

@@ -45,10 +45,10 @@ def latest_event(events: DataFrame, order: str, tie: str) -> DataFrame:
     return events.agg(row).filter(F.col("e").isNotNull()).select("e.*")
 
 
-def event_snapshot(events: DataFrame, limit: int = 20) -> DataFrame:
-    """Counts by status over the last events, with the newest event of each status."""
-    recent = newest(events, "timestamp", limit)
+def event_snapshot(events: DataFrame, limit: int = 20, tie: str = "run_id") -> DataFrame:
+    """Counts by status over the last events, with the newest event of each status; equal times go by ``tie``."""
+    recent = newest(events, "timestamp", limit, tie)
     return recent.groupBy("status").agg(
         F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last_seen"),
-        F.max_by("event_type", "timestamp").alias("last_event_type"),
+        F.max_by("event_type", F.struct("timestamp", tie)).alias("last_event_type"),
     )
