@@ -13,7 +13,7 @@ from ..functions.numbers import to_number
 from ..functions.text import text_mode
 from ..session import keep
 from .base import CATEGORICAL, DATE, NUMERIC, ROW_ID, UNKNOWN, classes, data_columns, normalise, q
-from .duplicates import drop_repeats, duplicate_count
+from .duplicates import duplicate_count, first_rows
 from .profile import ColumnProfile, collect_profile, profile_table
 from .quantiles import quantiles
 from .statistics import top_values
@@ -135,8 +135,12 @@ def clean(df: DataFrame, types: dict[str, str], subset=None, config=None, row_id
     profile = collect_profile(profile_table(typed, types, row_id))
     plan = plan_fills(typed, profile, cfg)
     filled = apply_fills(typed, plan)
-    found = duplicate_count(filled, subset).first()["duplicate_count"]
-    rows = drop_repeats(filled, subset, row_id) if cfg.duplicate_action == "remove" and found else filled
+    if cfg.duplicate_action == "remove":
+        first = keep(first_rows(filled, subset, row_id))  # keys are made once, for the count and for the result
+        found = first.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).first()["n"]
+        rows = filled.join(first.select(row_id), row_id, "left_semi") if found else filled
+    else:
+        found, rows = duplicate_count(filled, subset).first()["duplicate_count"], filled
     log = _log(cfg, plan, profile, types, subset, found)
     return CleanResult(rows, typed, filled, log, plan, found)
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import to_date_time
 from ..functions.numbers import to_number
@@ -34,6 +35,8 @@ HIGH_CARDINALITY_RATIO = 0.8
 HIGH_CARDINALITY_MIN = 4
 
 _SEQUENCE_BLOCK = 1_000_000
+# Texts beyond this size are grouped by a digest.
+_DIGEST_BYTES = 64
 
 
 # --- types ------------------------------------------------------------------------------------------------
@@ -248,6 +251,61 @@ def sequence_columns(df: DataFrame, columns: list[str], row_id: str = ROW_ID) ->
     return [c for i, c in enumerate(columns) if found[f"ok{i}"]]
 
 
+def _key_counts(base: DataFrame, kinds: dict[str, str], parse: bool) -> DataFrame:
+    """``(column, stored, _key, n, _x, _d, variants)``: cells, cells read as number and as date, and spellings per
+    comparison key (trimmed, lower case) of every column.
+
+    Numbers are grouped as they are stored. Texts longer than a digest are grouped by one, so that no long text is
+    shuffled. Distinct values are parsed, each once, and counted with their weight; without ``parse`` none is.
+    """
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    stored = {c: base.schema[c].dataType for c in kinds}
+    groups = {
+        "bigint": [c for c, t in stored.items() if isinstance(t, whole)],
+        "double": [c for c, t in stored.items() if isinstance(t, (T.FloatType, T.DoubleType))],
+    }
+    rest = [c for c in kinds if c not in groups["bigint"] + groups["double"]]
+    kind = _by_column(_stored(kinds))
+    parts = []
+    for name, columns in groups.items():
+        if columns:
+            cells = base.select(*[q(c).cast(name).alias(c) for c in columns]).unpivot([], [q(c) for c in columns], "column", "value")
+            counted = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+            read = F.when(F.col("value").isNotNull(), F.col("n"))
+            parts.append(counted.select(
+                "column", kind.alias("stored"), F.col("value").cast("string").alias("_key"), "n", read.alias("_x"),
+                F.lit(None).cast("bigint").alias("_d"), F.when(F.col("value").isNotNull(), 1).otherwise(0).cast("bigint").alias("variants"),
+            ))
+    if rest:
+        cells = long_form(base, rest).withColumn("stored", kind)
+        text = F.col("value")
+        long = F.octet_length(text) > _DIGEST_BYTES
+        cells = cells.withColumns({"_v": F.when(long, F.concat(F.lit("\0"), F.md5(text))).otherwise(text),
+                                   "_k": F.when(long, F.concat(F.lit("\0"), F.md5(F.lower(text)))), "_long": F.when(long, text)})
+        if parse:
+            cells = cells.withColumns({"_lx": to_number(F.col("_long"), trimmed=True).isNotNull(), "_ld": to_date_time(F.col("_long"), trimmed=True).isNotNull()})
+        else:
+            cells = cells.withColumns({"_lx": F.lit(False), "_ld": F.lit(False)})
+        values = cells.groupBy("column", "stored", "_v", "_k", "_lx", "_ld").agg(F.count(F.lit(1)).alias("n"))
+        values = values.withColumnRenamed("_v", "value")
+        if parse:
+            short = _parsed(values.withColumn("value", F.when(F.col("_k").isNull(), F.col("value"))))
+            values = short.withColumns({"_x": F.col("_x") | F.col("_lx"), "_d": F.col("_d") | F.col("_ld")})
+            values = values.withColumn("value", F.coalesce("value", "_k"))
+        else:
+            there = F.col("value").isNotNull()
+            values = values.withColumns({"_x": there & (F.col("stored") == NUMERIC), "_d": there & (F.col("stored") == DATE)})
+        n = F.col("n")
+        parts.append(values.groupBy("column", "stored", F.coalesce("_k", F.lower("value")).alias("_key")).agg(
+            F.sum("n").alias("n"), F.sum(F.when(F.col("_x"), n)).alias("_x"), F.sum(F.when(F.col("_d"), n)).alias("_d"),
+            F.count("value").alias("variants"),
+        ).select("column", "stored", "_key", "n", "_x", "_d", "variants"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def profile_table(df: DataFrame, types: dict[str, str] | None = None, row_id: str = ROW_ID) -> DataFrame:
     """One row per column with everything the choosing rules need. It is small, and cached for them.
 
@@ -256,17 +314,7 @@ def profile_table(df: DataFrame, types: dict[str, str] | None = None, row_id: st
     """
     base = normalise(df)
     kinds = classes(base)
-    # All facts come from the distinct values of the columns: each is parsed once and counted with its weight.
-    values = value_frequencies(base, list(kinds)).withColumn("stored", _by_column(_stored(kinds)))
-    n = F.col("n")
-    per_key = (
-        _parsed(values)
-        .groupBy("column", "stored", F.lower("value").alias("_key"))
-        .agg(
-            F.sum("n").alias("n"), F.sum(F.when(F.col("_x"), n)).alias("_x"), F.sum(F.when(F.col("_d"), n)).alias("_d"),
-            F.count("value").alias("variants"),
-        )
-    )
+    per_key = _key_counts(base, kinds, parse=not types or any(c not in types for c in kinds))
 
     def total(c) -> Column:
         return F.coalesce(F.sum(c), F.lit(0))
