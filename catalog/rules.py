@@ -73,7 +73,7 @@ def confidence_score(spark, sf):
 
 
 def chart_recommendations(spark, sf):
-    df = table(spark, sf, "orders")
+    df = table(spark, sf, "orders").withColumn("_row_id", F.col("o_orderkey"))
     profile = profile_table(df)
     choice = choose_columns(df, profile, collect_profile(profile))
     found = sc.recommendation_table(spark, sc.chart_recommendations(choice))
@@ -297,16 +297,16 @@ ORACLES = {
             AS confidence_label,
           CASE WHEN len(hit) = 0 THEN 'stable evidence' ELSE array_to_string(list_transform(hit, lambda x: x[1]), ', ') END
             AS reasons FROM t""",
-    "chart_recommendations": """SELECT * FROM (VALUES (1, 'category_bar', 'o_orderstatus'), (2, 'numeric_hist', 'o_totalprice'),
-        (3, 'scatter_relationship', NULL), (4, 'correlation_heatmap', NULL), (5, 'trend_analysis', 'o_orderdate, o_totalprice'))
-        v(ord, key, columns) WHERE columns IS NOT NULL UNION ALL
-        SELECT k, n, a || ', ' || b FROM (VALUES (3, 'scatter_relationship'), (4, 'correlation_heatmap')) v(k, n),
-        (SELECT a, b FROM (SELECT 0 AS o, 'o_orderkey' AS a, 'o_custkey' AS b, abs(corr(o_orderkey, o_custkey)) AS r
-            FROM orders WHERE false
-          UNION ALL SELECT 1, 'o_custkey', 'o_totalprice', abs(corr(o_custkey, o_totalprice)) FROM orders
-          UNION ALL SELECT 0, 'o_orderkey', 'o_custkey', abs(corr(o_orderkey, o_custkey)) FROM orders
-          UNION ALL SELECT 0, 'o_orderkey', 'o_totalprice', abs(corr(o_orderkey, o_totalprice)) FROM orders)
-          ORDER BY r DESC, o LIMIT 1)""",
+    # o_orderkey is an identifier: it rises with the row number.
+    "chart_recommendations": """WITH m AS (SELECT 'o_custkey' AS c, stddev_samp(o_custkey) AS s FROM orders
+          UNION ALL SELECT 'o_totalprice', stddev_samp(o_totalprice) FROM orders),
+        v AS (SELECT c FROM m ORDER BY s DESC, c LIMIT 1),
+        k AS (SELECT c FROM (SELECT 'o_orderstatus' AS c, count(DISTINCT o_orderstatus) AS d FROM orders
+          UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM orders) ORDER BY d, c LIMIT 1),
+        p AS (SELECT string_agg(c, ', ' ORDER BY c) AS pair FROM m)
+        SELECT 1 AS ord, 'category_bar' AS key, c AS columns FROM k UNION ALL SELECT 2, 'numeric_hist', c FROM v
+        UNION ALL SELECT 3, 'scatter_relationship', pair FROM p UNION ALL SELECT 4, 'correlation_heatmap', pair FROM p
+        UNION ALL SELECT 5, 'trend_analysis', 'o_orderdate, ' || c FROM v""",
     "suggested_analyses": f"""{sql_with(REPLAYED)}, m AS ({_metrics(_ALL[:4],
             "(coalesce(lower(order_id), '~'), coalesce(lower(priority), '~'))", 'status')})
         SELECT status, ord, key FROM m, (VALUES (1, 'quality_overview'), (2, 'summary_statistics'),

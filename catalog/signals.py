@@ -39,7 +39,7 @@ def time_series(spark, sf):
 
 def time_series_columns(spark, sf):
     """The time and value columns a trend would use."""
-    df = table(spark, sf, "orders")
+    df = table(spark, sf, "orders").withColumn("_row_id", F.col("o_orderkey"))
     profile = profile_table(df)
     value = sel.choose_value(df, profile, collect_profile(profile))
     time, axis = sel.choose_time(df, profile, exclude={value})
@@ -71,13 +71,17 @@ def time_axis(spark, sf):
     return rounded(out, {"coverage": 6})
 
 
+def _numbered(lines):
+    return lines.withColumn("_row_id", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+
+
 def time_axis_choice(spark, sf):
-    df = table(spark, sf, "lineitem")
+    df = _numbered(table(spark, sf, "lineitem"))
     return rounded(sel.time_axis_ranking(df, profile_table(df), {"l_quantity"}), {"coverage": 6})
 
 
 def category_choice(spark, sf):
-    return sel.category_ranking(profile_table(table(spark, sf, "lineitem")))
+    return sel.category_ranking(profile_table(_numbered(table(spark, sf, "lineitem"))))
 
 
 def numeric_choice(spark, sf):
@@ -86,8 +90,8 @@ def numeric_choice(spark, sf):
 
 
 def scatter_choice(spark, sf):
-    df = table(spark, sf, "lineitem")
-    pair = sel.choose_pair(df.select(*MEASURES), collect_profile(profile_table(df.select(*MEASURES))))
+    df = _numbered(table(spark, sf, "lineitem"))
+    pair = sel.choose_pair(df.select(*MEASURES), collect_profile(profile_table(df.select("_row_id", *MEASURES))))
     return stacked([
         df.agg(F.lit(i + 1).alias("ord"), F.lit(c).alias("column"), F.count(c).alias("n")) for i, c in enumerate(pair)
     ])
