@@ -2,8 +2,8 @@
 
 Rows with one shingle set are one node (its smallest id). In every band bucket all nodes are compared with one hub, not
 with each other; links found so are joined into components. A bucket whose nodes are in one component is done, in the
-others the best-linked node is the next hub, and what is still apart after some rounds is compared pair by pair across
-components. Pairs are pruned by batches of signature positions: once the posterior chance that the similarity reaches
+others the best-linked node is the next hub. What is still apart then is compared block by block across components,
+inside the tasks, so that only links leave them. Pairs are pruned by batches of signature positions: once the posterior chance that the similarity reaches
 the threshold falls below `miss`, the pair is dropped. What survives is confirmed on the full shingle sets.
 """
 
@@ -24,7 +24,7 @@ from .wordcodes import gram_codes, mix, text_blocks, word_codes, word_places
 #: Signature: bands x rows positions. A pair of similarity 0.8 shares no band once in 300,000 times.
 BANDS, ROWS = 32, 5
 BATCH = 32
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Nodes a hub meets in one group, and nodes in a block of a bucket that is compared pair by pair.
 SPREAD = 256
 #: Ids up to which a counted list is broadcast (8 bytes each); beyond, the join shuffles.
@@ -100,17 +100,23 @@ def _by_signature(threshold: float, miss: float):
     least = least_matches(threshold, miss)
 
     def alike(a: bytes, b: bytes) -> bool:
-        x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-        matches = 0
-        for i, need in enumerate(least):
-            matches += int((x[i * BATCH: (i + 1) * BATCH] == y[i * BATCH: (i + 1) * BATCH]).sum())
-            if matches < need:
-                return False
-        return True
+        return bool(_likely(np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)[None, :], least)[0])
 
     return alike
 
 
+def _likely(equal: np.ndarray, least: list[int]) -> np.ndarray:
+    """Which rows of equal signature positions stay after every batch."""
+    alive, matches = np.ones(len(equal), bool), np.zeros(len(equal), np.int64)
+    for i, need in enumerate(least):
+        at = np.flatnonzero(alive)
+        if not len(at):
+            break
+        matches[at] += equal[at, i * BATCH: (i + 1) * BATCH].sum(axis=1)
+        alive[at] = matches[at] >= need
+    return alive
+
+
 def _by_sets(percent: int):
     def alike(a: bytes, b: bytes) -> bool:
         x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -210,7 +216,7 @@ def near_duplicates(
 
     width = 4 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(BANDS)])
-    members = nodes.select(F.col("_id").alias("node"), F.explode(bands).alias("band"))
+    members = nodes.select(F.col("_id").alias("node"), F.posexplode(bands).alias("at", "band"))
     shared = members.groupBy("band").agg(F.count_distinct("node").alias("_n")).where("_n > 1").select("band")
     members = work.write(members.join(shared, "band"), "members")
     payload = _listed(nodes, members.select(F.col("node").alias("_id")).distinct()).select("_id", F.col("sig").alias("data"))
@@ -223,34 +229,36 @@ def near_duplicates(
         return _listed(source, ids).mapInArrow(run, "_id long, data binary")
 
     alike, same = _by_signature(percent / 100, miss), _by_sets(percent)
-    none = spark.createDataFrame([], "hub long, node long")
-    tested, links, labels, degrees = none, none, None, None
+    tested, links, labels, degrees = None, None, None, None
     for turn in range(HUB_ROUNDS + 1):
-        if labels is None:
-            placed = members.select("band", "node", F.col("node").alias("comp"), F.lit(0).alias("degree"))
-        else:
+        placed = members.withColumn("comp", F.col("node")).withColumn("degree", F.lit(0))
+        if labels is not None:
             placed = members.join(labels, "node", "left").join(degrees, "node", "left").select(
-                "band", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"),
+                "band", "at", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("degree", F.lit(0)).alias("degree"),
             )
-        hubs = placed.groupBy("band").agg(
+        buckets = placed.groupBy("band").agg(
             F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_size"),
             F.max_by(F.struct("node", "comp"), F.struct("degree", -F.col("node"))).alias("_hub"),
         ).where("_low < _high")
-        if turn < HUB_ROUNDS:
-            pairs = placed.join(hubs, "band").where(F.col("comp") != F.col("_hub.comp")).select(F.col("_hub.node").alias("hub"), "node")
+        if turn == HUB_ROUNDS:
+            apart = work.write(placed.join(buckets.select("band", "_size"), "band").where("_size > 2"), "apart")
+            wanted = apart.select(F.col("node").alias("_id")).distinct()
+            data = nodes.join(sets(wanted), "_id").select(F.col("_id").alias("node"), "sig", "data")
+            found = _across(apart.join(data, "node"), least_matches(percent / 100, miss), same)
         else:
-            pairs = _across(placed.join(hubs.select("band", "_size"), "band"))
-        pairs = pairs.select(F.least("hub", "node").alias("_x"), F.greatest("hub", "node").alias("_y"), "hub", "node")
-        pairs = pairs.groupBy("_x", "_y").agg(F.min_by(F.struct("hub", "node"), "hub").alias("_p")).select("_x", "_y", "_p.*")
-        if turn:
-            pairs = pairs.join(tested, ["_x", "_y"], "left_anti")
-        pairs = work.write(pairs.select("hub", "node", "_x", "_y"), f"pairs-{turn}")
-        if pairs.limit(1).count() == 0:
-            break
-        tested = pairs.select("_x", "_y") if turn == 0 else tested.union(pairs.select("_x", "_y"))
-        likely = work.write(_compare(pairs.select("hub", "node"), payload, alike), f"likely-{turn}")
-        wanted = likely.select(F.col("hub").alias("_id")).union(likely.select("node")).distinct()
-        found = work.write(_compare(likely, sets(wanted), same), f"links-{turn}")
+            pairs = placed.join(buckets, "band").where(F.col("comp") != F.col("_hub.comp")).select(F.col("_hub.node").alias("hub"), "node")
+            pairs = pairs.select(F.least("hub", "node").alias("_x"), F.greatest("hub", "node").alias("_y"), "hub", "node")
+            pairs = pairs.groupBy("_x", "_y").agg(F.min_by(F.struct("hub", "node"), "hub").alias("_p")).select("_x", "_y", "_p.*")
+            if turn:
+                pairs = pairs.join(tested, ["_x", "_y"], "left_anti")
+            pairs = work.write(pairs.select("hub", "node", "_x", "_y"), f"pairs-{turn}")
+            tested = pairs.select("_x", "_y") if turn == 0 else tested.union(pairs.select("_x", "_y"))
+            likely = work.write(_compare(pairs.select("hub", "node"), payload, alike), f"likely-{turn}")
+            wanted = likely.select(F.col("hub").alias("_id")).union(likely.select("node")).distinct()
+            found = _compare(likely, sets(wanted), same)
+        found = work.write(found, f"links-{turn}")
+        if turn and found.limit(1).count() == 0:
+            continue
         links = found if turn == 0 else links.union(found)
         labels = connect(links, work, f"labels-{turn}")
         ends = links.select("hub").union(links.select("node")).toDF("node")
@@ -258,11 +266,7 @@ def near_duplicates(
 
     # Members of one set take their node's component; an id that stands for several sets joins them all.
     owned = usable.select("_id", "digest").join(first.withColumnRenamed("_id", "node"), "digest")
-    if labels is not None:
-        owned = owned.join(labels, "node", "left")
-        owned = owned.select("_id", F.coalesce("comp", "node").alias("comp"))
-    else:
-        owned = owned.select("_id", F.col("node").alias("comp"))
+    owned = owned.join(labels, "node", "left").select("_id", F.coalesce("comp", "node").alias("comp"))
     owned = owned.groupBy("_id").agg(F.min("comp").alias("comp"))
     component = F.coalesce("comp", "_id")
     return signed.select("_id", "n_shingles").join(owned, "_id", "left").select(
@@ -289,13 +293,63 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80
     return single.select("_doc").union(repeated.select("_doc")).select("_doc.*")
 
 
-def _across(placed: DataFrame) -> DataFrame:
-    """Pairs of one bucket that are in different components, block against block."""
+def _across(placed: DataFrame, least: list[int], same) -> DataFrame:
+    """Links between nodes of one bucket that are in different components, enough of them to join all that belong together.
+
+    Large buckets are cut into blocks, and every two blocks meet in one group. A pair is looked at in the first band it
+    shares, pruned by its signature positions and confirmed on the sets; pairs that links of the group have joined
+    already are passed over.
+    """
     blocks = F.ceil(F.col("_size") / SPREAD).cast("int")
-    rows = placed.select("band", "node", "comp", blocks.alias("_blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("_block"))
-    left = rows.select("band", F.col("node").alias("hub"), F.col("comp").alias("_c"), "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    right = rows.select("band", "node", "comp", F.col("_block").alias("_other"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
-    return left.join(right, ["band", "_block", "_other"]).where((F.col("_c") < F.col("comp"))).select("hub", "node")
+    rows = placed.withColumn("_block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select(
+        "band", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y"), "_block", "at", "node", "comp", "sig", "data",
+    ).repartition("band", "_x", "_y").sortWithinPartitions("band", "_x", "_y", "node")
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        parent = {r[6]: r[6] for r in rows}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        if len(parent) < 2:
+            return []
+        sigs = np.frombuffer(b"".join(r[7] for r in rows), np.uint32).reshape(len(rows), _N)
+        comps, block = np.array([r[6] for r in rows]), np.array([r[3] for r in rows])
+        out = []
+        for i, (_, x, y, own, at, node, comp, _, data) in enumerate(rows[:-1]):
+            later = np.arange(i + 1, len(rows))
+            later = later[(comps[later] != comp) & ((x == y) | (block[later] != own))]
+            if not len(later):
+                continue
+            equal = sigs[later] == sigs[i]
+            first = equal.reshape(len(later), BANDS, ROWS).all(axis=2).argmax(axis=1) == at
+            later, equal = later[first], equal[first]
+            for j in later[_likely(equal, least)]:
+                if root(comp) != root(rows[j][6]) and same(data, rows[j][8]):
+                    parent[root(comp)] = root(rows[j][6])
+                    out.append((node, rows[j][5]))
+        return out
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(found):
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["hub", "node"])
+
+        group = []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                if group and row[:3] != group[0][:3]:
+                    yield made(links(group))
+                    group = []
+                group.append(row)
+        if group:
+            yield made(links(group))
+
+    return rows.mapInArrow(stream, "hub long, node long").distinct()
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
