@@ -297,6 +297,20 @@ ORACLES = {
             AS confidence_label,
           CASE WHEN len(hit) = 0 THEN 'stable evidence' ELSE array_to_string(list_transform(hit, lambda x: x[1]), ', ') END
             AS reasons FROM t""",
+    "confidence_breakdown": f"""{sql_with(REPLAYED)}, m AS ({_metrics(_ALL[:4], _KEY, 'status')}),
+        read AS (SELECT status, order_id, priority, {sql_number('amount')} AS amount, {sql_date('order_date')} AS order_date FROM norm),
+        q AS (SELECT status, quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.75) AS q3 FROM read GROUP BY 1),
+        f AS (SELECT status, count(*) AS n, (count(*) FILTER (order_id IS NULL) + count(*) FILTER (priority IS NULL)
+            + count(*) FILTER (amount IS NULL) + count(*) FILTER (order_date IS NULL)) / (count(*) * 5) AS gaps,
+          count(*) FILTER (amount < q1 - 1.5 * (q3 - q1) OR amount > q3 + 1.5 * (q3 - q1)) / count(amount) AS share
+          FROM read JOIN q USING (status) GROUP BY 1)
+        SELECT status AS slice, label, penalty FROM f JOIN m USING (status), (VALUES ('small sample', 30), ('limited sample', 15),
+          ('missing-value pressure', 20), ('residual missing values', 10), ('duplicate risk', 10), ('parsing issues', 15),
+          ('high outlier pressure', 12), ('moderate outlier pressure', 6)) v(label, penalty)
+        WHERE CASE label WHEN 'small sample' THEN n < 8 WHEN 'limited sample' THEN n BETWEEN 8 AND 19
+          WHEN 'missing-value pressure' THEN gaps >= 0.1 WHEN 'residual missing values' THEN gaps >= 0.03 AND gaps < 0.1
+          WHEN 'duplicate risk' THEN duplicates > 0 WHEN 'parsing issues' THEN invalid_numeric + invalid_dates > 0
+          WHEN 'high outlier pressure' THEN share >= 0.15 ELSE share > 0 AND share < 0.15 END""",
     # o_orderkey is an identifier: it rises with the row number.
     "chart_recommendations": """WITH m AS (SELECT 'o_custkey' AS c, stddev_samp(o_custkey) AS s FROM orders
           UNION ALL SELECT 'o_totalprice', stddev_samp(o_totalprice) FROM orders),
