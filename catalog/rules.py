@@ -311,6 +311,21 @@ ORACLES = {
           WHEN 'missing-value pressure' THEN gaps >= 0.1 WHEN 'residual missing values' THEN gaps >= 0.03 AND gaps < 0.1
           WHEN 'duplicate risk' THEN duplicates > 0 WHEN 'parsing issues' THEN invalid_numeric + invalid_dates > 0
           WHEN 'high outlier pressure' THEN share >= 0.15 ELSE share > 0 AND share < 0.15 END""",
+    "next_questions": f"""{sql_with(REPLAYED)},
+        read AS (SELECT status, lower(trim(priority)) AS priority, {sql_number('amount')} AS amount, {sql_date('order_date')} AS order_date,
+          order_id FROM norm),
+        q AS (SELECT status, quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.75) AS q3 FROM read GROUP BY 1),
+        f AS (SELECT status, count(*) FILTER (amount IS NOT NULL AND order_date IS NOT NULL) AS points,
+          count(*) FILTER (amount < q1 - 1.5 * (q3 - q1) OR amount > q3 + 1.5 * (q3 - q1)) AS outside,
+          count(*) FILTER (order_id IS NULL OR priority IS NULL OR amount IS NULL OR order_date IS NULL) AS gaps
+          FROM read JOIN q USING (status) GROUP BY 1),
+        g AS (SELECT status, count(*) FILTER (n >= 2) AS groups FROM (SELECT status, priority, count(*) AS n FROM read
+          WHERE priority IS NOT NULL AND amount IS NOT NULL GROUP BY ALL) GROUP BY 1),
+        hits AS (SELECT status, unnest(list_filter([CASE WHEN groups >= 2 THEN 'segment' END, CASE WHEN points > 0 THEN 'trend' END,
+          CASE WHEN outside > 0 THEN 'outliers' END, CASE WHEN gaps > 0 THEN 'missing' END], lambda x: x IS NOT NULL)[:4]) AS rule
+          FROM f LEFT JOIN g USING (status))
+        SELECT status AS slice, CAST(row_number() OVER (PARTITION BY status ORDER BY
+          list_position(['segment', 'trend', 'outliers', 'missing'], rule)) AS INTEGER) AS ord, rule FROM hits""",
     # o_orderkey is an identifier: it rises with the row number.
     "chart_recommendations": """WITH m AS (SELECT 'o_custkey' AS c, stddev_samp(o_custkey) AS s FROM orders
           UNION ALL SELECT 'o_totalprice', stddev_samp(o_totalprice) FROM orders),
