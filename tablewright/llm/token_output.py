@@ -31,7 +31,7 @@ END_ID = 0
 
 #: Parameters: tokens at which a shard is closed (a longer document has a shard of its own size) and words kept ready.
 SHARD_TOKENS = 2_000_000
-READY_WORDS = 300_000
+READY_WORDS = 500_000
 
 
 class WaveletMatrix:
@@ -142,55 +142,54 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordEncoder:
-    """Encodes texts word by word with the tokenizer, keeping the ids of words seen before.
+class WordEncoder(dict):
+    """Encodes texts word by word with the tokenizer; itself the table of the ids of words seen before.
 
     The tokenizer of these files cuts a text before every single blank or line break between two other characters, so
     the ids of the pieces are those of the text. A piece of letters and the signs after them needs no further cutting,
     as no entry of the vocabulary joins the two. Texts with other white space, or with special tokens, are encoded whole.
+    The table has two generations: when the new one is full it becomes the old one, and words met again move over.
     """
 
-    ODD = re.compile(r"[^\S \n]|\s\s|^\s|\s$|<\|")
-    PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?#$%&*|]*")
+    ODD = re.compile(r"[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+    PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?#$%&*|]*").fullmatch
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters, self.ready = self.tokenizer.model, _byte_letters(), {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}H", *e.ids) for e in made]
-
-    def _learn(self, words: set[str]) -> None:
-        ready, tokenize, letters, plain, odd = self.ready, self.model.tokenize, self.letters, self.PLAIN.fullmatch, []
-        for word in words:
-            if plain(word):
-                ids = [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters))]
-                ready[word] = struct.pack(f"<{len(ids)}H", *ids)
+        self.tokenize, self.letters, self.old = self.tokenizer.model.tokenize, _byte_letters(), {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if self.PLAIN(word):
+                spelt = word.replace(" ", self.letters[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                made = [t.id for t in self.tokenize(spelt)]
             else:
-                odd.append(word)
-        ready.update(zip(odd, self._whole(odd)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as unsigned 16-bit numbers."""
-        cut, whole = {}, []
-        for i, text in enumerate(texts):
-            if "\0" in text or self.ODD.search(text):
-                whole.append(i)
-            elif text:
-                cut[i] = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        if len(self.ready) > READY_WORDS:
-            self.ready.clear()
-        self._learn(set().union(*cut.values()) - self.ready.keys())
-        ready = self.ready
-        out = [b""] * len(texts)
-        for i, pieces in cut.items():
-            out[i] = b"".join([ready[p] for p in pieces])
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
-            out[i] = ids
-        return out
+                made = self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(made)}H", *made)
+        if len(self) >= READY_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def whole(self, text: str) -> bool:
+        return bool(
+            "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
+            or "<|" in text or self.ODD(text)
+        )
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as unsigned 16-bit numbers."""
+        if not text:
+            return b""
+        if self.whole(text):
+            made = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(made)}H", *made)
+        pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        return b"".join(map(self.__getitem__, pieces))
 
 
 @functools.lru_cache(maxsize=2)
@@ -218,10 +217,9 @@ def _encode(path: str, shard_tokens: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for key, ids in zip(some.column(0).to_pylist(), encoder.encode(texts)):
+                for key, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
                     keys.append(key)
-                    parts.append(ids + end)
+                    parts.append(encoder.encode(text or "") + end)
                     size += len(parts[-1]) // 2
                     if size >= shard_tokens:
                         yield shard()
