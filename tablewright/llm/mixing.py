@@ -110,7 +110,11 @@ def plan_mix(
         for frame in frames:
             for shard in frame["id"]:
                 own, before = split_quotas(numbers, shards, int(shard), seed)
-                yield pd.DataFrame({"_s": names, "_from": before, "_to": before + own, "_shard": int(shard)}).query("_to > _from")
+                some = np.flatnonzero(own)
+                if len(some):
+                    yield pd.DataFrame({
+                        "_s": [names[i] for i in some], "_from": before[some], "_to": (before + own)[some], "_shard": int(shard),
+                    })
 
     spark = sizes.sparkSession
     ranges = spark.range(0, shards).mapInPandas(runs, "_s string, _from long, _to long, _shard int")
