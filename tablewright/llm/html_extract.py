@@ -48,7 +48,7 @@ MARKS = frozenset(
     "ad ads adsense advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu "
     "menubar breadcrumb breadcrumbs sidebar sidenav rail footer masthead cookie cookies consent gdpr notice notices notification alert "
     "popup modal overlay comment comments commentlist respond reply replies disqus share sharing social related recommended newsletter "
-    "subscribe subscription signup login search searchbox pagination pager skip widget toolbar complementary contentinfo form".split()
+    "subscribe subscription signup login search searchbox pagination pager skip widget toolbar complementary contentinfo dialog form".split()
 )
 MAIN = frozenset(["article", "main"])
 #: Elements deeper than this become siblings; their texts keep their order.
@@ -56,7 +56,7 @@ DEEPEST = 100
 
 _tag = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?\]\]>|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 _mark = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_words = re.compile(r"[a-z]+|[0-9]+")
+_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _space = re.compile(r"\s+")
 
 
@@ -113,7 +113,7 @@ def parse(page: str) -> Node:
                 elif stack[i].tag in BLOCKS and stack[i].tag not in ("p", "li", "td", "th", "tr", "dt", "dd"):
                     break
                 i -= 1
-        node = Node(name, " ".join(sorted({w for v in _mark.findall(attributes) for w in _words.findall("".join(v[1:]).lower())})) if attributes else "", number)
+        node = Node(name, " ".join(sorted({w.lower() for v in _mark.findall(attributes) for w in _words.findall("".join(v[1:]))})) if attributes else "", number)
         number += 1
         stack[-1].inside.append(node)
         closed = name in VOID or attributes.rstrip().endswith("/") and name not in BLOCKS
@@ -263,7 +263,7 @@ def extract(page: Node, reference: Node | None, template: frozenset[int]) -> str
 
     Content are the page's nodes aligned with the wrapper's article and main slots, and the page's own such elements
     where none is aligned. Text inside them is never template, as a host may hold many copies of an article. Hosts and
-    pages without such slots give every slot that varies.
+    pages without such slots give every slot that varies, or, where nothing varies, all slots.
     """
     pairs = align(reference, page) if reference else []
     slots = {x.number for x in mains(reference)} if reference else set()
@@ -272,7 +272,10 @@ def extract(page: Node, reference: Node | None, template: frozenset[int]) -> str
     if len(found) < len(own):
         found = own
     text = "\n".join(t for t in map(text_of, found) if t)
-    return text or text_of(page, frozenset(y.number for x, y in pairs if x.number in template), headers=False)
+    if text:
+        return text
+    text = text_of(page, frozenset(y.number for x, y in pairs if x.number in template), headers=False)
+    return text or text_of(page, headers=False)  # all of it is on most pages of the host: copies of one article
 
 
 def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:

@@ -27,6 +27,7 @@ def test_article_text():
     ("", ""), ("just text", "just text"), ("a < b & c <3", "a < b & c <3"), ("<p>x<p>y</div></p>z", "x\ny\nz"), ("<p>unclosed <b>b", "unclosed b"),
     ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"), ("<script>x", ""), ("<!-- x", ""), ("<p a='>' b=\"<p>\">q</p>", "q"), ("<p>&amp;amp; &#0; &nope;</p>", "&amp; \ufffd &nope;"),
     ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), ("<p>a<br>b</p>", "a\nb"), ("x<textarea>no</textarea>y", "xy"), ("<P CLASS=Ad>no</P><p>yes", "yes"),
+    ("<div class='topAdSlot'>no</div><div class='headline loaded'>yes</div><div role=dialog>no</div>", "yes"),
 ])
 def test_bad_markup(bad, want):
     assert extract(parse(bad), None, frozenset()) == want
@@ -64,6 +65,12 @@ def test_copies_of_an_article_are_no_template(spark):
     assert {r.text for r in extract_pages(pages).collect()} == {"Title 1\nBold 1.\nTwo <b> lines éA same\none\ntwo"}
 
 
+def test_copies_without_an_article_slot_keep_their_text(spark):
+    copy = "<body><div><p>the same text</p></div><div class=menu>m</div>"
+    pages = spark.createDataFrame([(i, "http://b.org/x", copy) for i in range(9)], "page_id long, url string, html string")
+    assert {r.text for r in extract_pages(pages).collect()} == {"the same text"}
+
+
 def test_empty_table(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
     assert text_of(parse("<p>x")) == "x"
