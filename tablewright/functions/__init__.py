@@ -13,5 +13,5 @@ from .labels import (
     trend_reason,
     trend_support,
 )
-from .numbers import display_number, finite, metric_text, percent_text, to_exact_number, to_number
+from .numbers import display_number, finite, metric_text, percent_text, to_number
 from .text import NULL_TOKENS, compare_text, null_tokens_to_null, strip, text_mode, title_case

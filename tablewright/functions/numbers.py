@@ -39,11 +39,6 @@ def to_number(c: Column, trimmed: bool = False) -> Column:
     return F.nullif(F.nullif(value, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
-def to_exact_number(c: Column, scale: int = 6) -> Column:
-    """As ``to_number`` for long integers and money: a decimal that keeps all 38 digits."""
-    return _number_text(c, False).try_cast(f"decimal(38,{scale})")
-
-
 def display_number(c: Column, digits: int = 3) -> Column:
     """Round half to even for display (3 digits) or for context documents (4 digits)."""
     return F.bround(c.cast("double"), digits)

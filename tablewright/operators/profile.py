@@ -182,20 +182,6 @@ def issue_table(invalid: DataFrame, preview: int = 5) -> DataFrame:
 # --- distinct values and identifiers ----------------------------------------------------------------------------
 
 
-def distinct_counts(df: DataFrame, columns=None, by=()) -> DataFrame:
-    """Non-null cells, distinct values and distinct comparison keys (trimmed, lower case) per column."""
-    keys = [q(b) for b in by]
-    values = value_frequencies(df, columns, by).filter(F.col("value").isNotNull())
-    per_key = values.groupBy(*keys, "column", F.lower("value").alias("_key")).agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("variants")
-    )
-    return per_key.groupBy(*keys, "column").agg(
-        F.sum("n").alias("non_null"),
-        F.sum("variants").alias("distinct"),
-        F.count(F.lit(1)).alias("distinct_keys"),
-    )
-
-
 def has_id_name(column: Column) -> Column:
     name = F.lower(column)
     return (

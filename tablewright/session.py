@@ -1,8 +1,10 @@
-"""Session settings the operators rely on, and a fault-tolerant way to cut lineage."""
+"""Session settings the operators rely on, the shared folder, and cached tables."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -55,12 +57,25 @@ def checkpoint_ready(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a frame that many later jobs read to reliable storage, so lost executors cost no recomputation."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+_kept: list[DataFrame] = []
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Cache a frame read by several jobs; lost blocks are recomputed from the source."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Cache a frame read by several jobs; lost blocks are recomputed from the source. See ``kept_tables``."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(df)
+    return df
+
+
+@contextmanager
+def kept_tables() -> Iterator[None]:
+    """Release, at the end of the block, every table that operators cached inside it.
+
+    Results are lazy, so read or write them inside the block: ``with kept_tables(): base_run(...).cleaned.rows.write...``
+    """
+    before = len(_kept)
+    try:
+        yield
+    finally:
+        while len(_kept) > before:
+            _kept.pop().unpersist()

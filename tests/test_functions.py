@@ -33,11 +33,6 @@ def test_dates(texts):
     assert {r["s"]: r["v"] for r in got} == {k: v and datetime(*v) for k, v in DATES.items()}
 
 
-def test_exact_number_keeps_long_integers(texts):
-    row = texts(["12345678901234567890"]).select(fn.to_exact_number(F.col("s")).alias("v")).first()
-    assert str(row["v"]) == "12345678901234567890.000000"
-
-
 def test_null_tokens(texts):
     values = [" N/A ", "None", "NaT", "missing", "\t", "", "--", "unknown", " Keep Me ", "\xa0na　"]
     got = [r["v"] for r in texts(values).select(fn.null_tokens_to_null(F.col("s")).alias("v")).collect()]

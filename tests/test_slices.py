@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import selection
 from tablewright.operators import statistics as st
+from tablewright.operators.cleaning import clean
 from tablewright.operators.duplicates import key_diagnostics
 from tablewright.operators.filters import apply_filters
+from tablewright.operators.profile import type_map
 from tablewright.operators.quantiles import narrowed_quantiles, number_columns, quantiles
+from tablewright.session import kept_tables
 from tablewright.sources.delimited import read_csv
 from tablewright.sources.events import event_snapshot
 
@@ -89,6 +92,16 @@ def test_first_date_stands_in_for_an_axis(spark, monkeypatch):
     assert selection.choose_time(df, table, exclude={"d", "e"}) == (None, None)
 
 
+def test_a_run_leaves_no_cached_table(spark):
+    df = spark.createDataFrame([(i, f"g{i % 3}", str(i * 7 % 20)) for i in range(60)], "_row_id bigint, g string, v string")
+    persisted = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = persisted()
+    with kept_tables():
+        result = clean(df, type_map(df), ["g", "v"])
+        assert result.rows.count() == 60 and persisted() > before
+    assert persisted() == before
+
+
 def write(folder, name, text):
     (folder / name).write_text(text)
     return str(folder)
