@@ -273,10 +273,10 @@ _AGGREGATES = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
 
 
 def grouped_metric(
-    df: DataFrame, group: str, value: str | None = None, agg: str = "count", top_n: int = 15,
+    df: DataFrame, group: str, value: str | None = None, agg: str = "count", top_n: int | None = 15,
     sort: str = "descending",
 ) -> DataFrame:
-    """A metric per group, sorted and cut to the first groups (a top-k report).
+    """A metric per group, sorted and cut to the first groups (a top-k report), or all groups with ``top_n`` None.
 
     ``count`` counts rows, whatever the value. For the others rows without a value are left out. A missing
     group is called "Missing"; where the group is a date, rows without it are left out.
@@ -305,7 +305,10 @@ def grouped_metric(
         }.get(kinds[group], [F.lower("_g").asc(), F.asc("_g")])
     else:
         order = [F.desc("value"), F.asc("_g")]
-    return out.orderBy(*order).limit(top_n).select(F.col("_g").alias(group), "value")
+    ordered = out.orderBy(*order)
+    # A limit gathers its rows in one task; without one the sort stays spread over the cluster.
+    shown = ordered if top_n is None else ordered.limit(top_n)
+    return shown.select(F.col("_g").alias(group), "value")
 
 
 def _as_number(df: DataFrame, c: str, kinds) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import statistics as st
 from ..operators.base import CATEGORICAL, NUMERIC, classes
@@ -82,8 +81,7 @@ def chart_data(kind: str, df: DataFrame, **o) -> DataFrame:
         return st.grouped_metric(df, o["group"], o.get("value"), o.get("agg", "count"), o.get("top_n", 12),
                                  o.get("sort", "descending"))
     if kind == "line":
-        groups = df.select(F.count_distinct(F.col(f"`{o['x']}`"))).first()[0]
-        return st.grouped_metric(df, o["x"], o["value"], o.get("agg", "mean"), max(groups + 1, 3), "natural")
+        return st.grouped_metric(df, o["x"], o["value"], o.get("agg", "mean"), None, "natural")
     if kind == "histogram":
         return display_histogram(df, o["column"])
     if kind == "scatter":
