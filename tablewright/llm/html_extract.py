@@ -3,8 +3,9 @@
 Of every host one page of usual length is the reference. Each other page's tree is aligned with it by simple tree
 matching, and over all pages of the host every reference node counts how often it was met and how often with the same
 text. Nodes that stay the same are the host's template; what varies is content, but for slots whose marks say that they
-are menus, adverts, forms and the like. References meet their pages by broadcast if they are measured to be small, else
-by a join on host and salt, so a host with a third of all pages is dealt to many tasks.
+are menus, adverts, forms and the like, and that do not hold most of what varies. References meet their pages by
+broadcast if they are measured to be small, else by a join on host and salt, so a host with a third of all pages is dealt
+to many tasks.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ CLOSES = {t: frozenset(["p"]) for t in BLOCKS - {"br", "body", "html", "head"}}
 }
 #: An open element is not ended beyond these.
 SCOPE = {"li": frozenset(["ul", "ol", "menu"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "tr": frozenset(["table"])}
-#: Words in class, id or role that mark a slot as no content.
+#: Words in class, id or role that mark a slot as no content, if it does not hold most of the text (see `marked`).
 MARKS = frozenset(
     "ad ads adsense advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu "
     "menubar breadcrumb breadcrumbs sidebar sidenav rail footer masthead cookie cookies consent gdpr notice notices notification alert "
@@ -51,6 +52,8 @@ MARKS = frozenset(
     "subscribe subscription signup login search searchbox pagination pager skip widget toolbar complementary contentinfo dialog form".split()
 )
 MAIN = frozenset(["article", "main"])
+#: Elements that no mark removes.
+UNMARKED = MAIN | {"#page", "html", "body"}
 #: Elements deeper than this become siblings; their texts keep their order.
 DEEPEST = 100
 
@@ -84,7 +87,21 @@ class Node:
 
     @property
     def dropped(self) -> bool:
-        return self.tag in DROPPED or not MARKS.isdisjoint(self.marks.split())
+        return self.tag in DROPPED
+
+    @property
+    def header(self) -> bool:
+        return self.tag == "header" or self.tag not in UNMARKED and "header" in self.marks.split()
+
+
+def preorder(top: Node) -> list[Node]:
+    """The node and all below it, in page order."""
+    out, todo = [], [top]
+    while todo:
+        x = todo.pop()
+        out.append(x)
+        todo.extend(reversed(x.kids))
+    return out
 
 
 def parse(page: str) -> Node:
@@ -195,9 +212,59 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return out
 
 
+def marked(top: Node, skip: frozenset[int] = frozenset(), *, headers: bool = True) -> frozenset[int]:
+    """Numbers of the slots of a page that marks remove.
+
+    Marks never remove html, body, article or main, nor what is around the page's articles (around the largest, where
+    some article lies outside all marked slots: then the others are comments, teasers and the like). They remove no slot
+    that holds more than half of the text of its article or main (of the page, outside those), and no mark counts whose
+    slots hold as much together. Text in skip, and in headers unless they are wanted, is not counted.
+    """
+    nodes = preorder(top)
+    words = {x.number: MARKS.intersection(x.marks.split()) for x in nodes if x.marks and x.tag not in UNMARKED}
+    slots = {n for n, found in words.items() if found}
+    if not slots:
+        return frozenset()
+    weight = {}
+    for x in reversed(nodes):
+        hidden = x.dropped or x.number in skip or not headers and x.header
+        weight[x.number] = 0 if hidden else sum(len(y.strip()) if isinstance(y, str) else weight[y.number] for y in x.inside)
+    parent, base, inner, cores = {}, {top.number: top.number}, {top.number: False}, {"article": [], "main": []}
+    within = {t: {top.number: False} for t in cores}
+    for x in nodes:
+        n = x.number
+        for t, found in cores.items():
+            if x.tag == t and not within[t][n] and weight[n]:
+                found.append(n)
+        if x.tag in MAIN and base[n] == top.number:
+            base[n] = n
+        for k in x.kids:
+            parent[k.number], base[k.number], inner[k.number] = n, base[n], inner[n] or n in slots
+            for t, flags in within.items():
+                flags[k.number] = flags[n] or x.tag == t
+    kept = cores["article"] or cores["main"]
+    if any(not inner[n] for n in kept):
+        kept = [max(kept, key=lambda n: weight[n])]
+    for n in kept:
+        while n in parent:
+            n = parent[n]
+            slots.discard(n)
+    slots = {n for n in slots if 2 * weight[n] <= weight[base[n]]}
+    together: dict[tuple[int, str], int] = {}
+    below = set()
+    for x in nodes:
+        n = x.number
+        if n in slots and n not in below:
+            for w in words[n]:
+                together[base[n], w] = together.get((base[n], w), 0) + weight[n]
+        if n in slots or n in below:
+            below.update(k.number for k in x.kids)
+    return frozenset(n for n in slots if any(2 * together.get((base[n], w), 0) <= weight[base[n]] for w in words[n]))
+
+
 def text_of(node: Node, skip: frozenset[int] = frozenset(), *, headers: bool = True) -> str:
-    """The blocks of text below a node, one per line; slots marked as no content and those in skip are left out, and
-    headers too unless they are wanted."""
+    """The blocks of text below a node, one per line; elements that never are content and those in skip are left out,
+    and headers too unless they are wanted."""
     blocks, run = [], []
 
     def flush() -> None:
@@ -213,7 +280,7 @@ def text_of(node: Node, skip: frozenset[int] = frozenset(), *, headers: bool = T
             run.append(x)
         elif ends:
             flush()
-        elif x.number in skip or x is not node and (x.dropped or not headers and (x.tag == "header" or "header" in x.marks.split())):
+        elif x.number in skip or x is not node and (x.dropped or not headers and x.header):
             if x.tag in BLOCKS:
                 flush()
         else:
@@ -225,12 +292,12 @@ def text_of(node: Node, skip: frozenset[int] = frozenset(), *, headers: bool = T
     return "\n".join(blocks)
 
 
-def mains(top: Node) -> list[Node]:
-    """The outermost article and main elements outside slots that are no content."""
+def mains(top: Node, skip: frozenset[int]) -> list[Node]:
+    """The outermost article and main elements outside slots that are no content, which skip has."""
     found, todo = [], [top]
     while todo:
         x = todo.pop()
-        if x is top or not x.dropped:
+        if not x.dropped and x.number not in skip:
             if x.tag in MAIN:
                 found.append(x)
             else:
@@ -261,21 +328,19 @@ def counts(reference: Node, texts: dict[int, str], page: Node) -> tuple[list[int
 def extract(page: Node, reference: Node | None, template: frozenset[int]) -> str:
     """The main text of a page by its host's wrapper.
 
-    Content are the page's nodes aligned with the wrapper's article and main slots, and the page's own such elements
-    where none is aligned. Text inside them is never template, as a host may hold many copies of an article. Hosts and
-    pages without such slots give every slot that varies, or, where nothing varies, all slots.
+    Content are the page's article and main elements without marked slots. Text inside them is never template, as a host
+    may hold many copies of an article. Pages without such text give every slot that varies, or, where nothing varies,
+    all slots.
     """
-    pairs = align(reference, page) if reference else []
-    slots = {x.number for x in mains(reference)} if reference else set()
-    found = sorted((y for x, y in pairs if x.number in slots and not y.dropped), key=lambda y: y.number)
-    own = mains(page)
-    if len(found) < len(own):
-        found = own
-    text = "\n".join(t for t in map(text_of, found) if t)
+    slots = marked(page)
+    text = "\n".join(t for t in (text_of(x, slots) for x in mains(page, slots)) if t)
     if text:
         return text
-    text = text_of(page, frozenset(y.number for x, y in pairs if x.number in template), headers=False)
-    return text or text_of(page, headers=False)  # all of it is on most pages of the host: copies of one article
+    pairs = align(reference, page) if reference and template else []
+    same = frozenset(y.number for x, y in pairs if x.number in template)
+    text = text_of(page, same | marked(page, same, headers=False), headers=False)
+    # Else all of it is on most pages of the host: copies of one article.
+    return text or text_of(page, marked(page, headers=False), headers=False)
 
 
 def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:

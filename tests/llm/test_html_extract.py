@@ -33,6 +33,33 @@ def test_bad_markup(bad, want):
     assert extract(parse(bad), None, frozenset()) == want
 
 
+LONG = "the whole article is here"
+
+
+@pytest.mark.parametrize("bad", [
+    "<body class='no-sidebar'><article>{}</article>", "<body class='no-sidebar'><div class=content>{}</div>", "<html class=widget><body id=search><p>{}",
+    "<body class='search-results'><main class='has-comments'>{}</main>", "<article class='post has-comments'>{}</article><div class=sidebar>more</div>",
+    "<div class='elementor-widget-container'><article>{}</article></div>", "<article><div class='elementor-widget-container'>{}</div><div class=share>Tweet</div></article>",
+    "<div class='content-sidebar-wrap'><div>{}</div><div class=sidebar>more</div></div>", "<article>{}</article><ol class=comments><li><article>nice</article></ol>",
+    "<div class='widget'><article>{}</article></div><article class=teaser>x</article>".replace("<article class=teaser>x</article>", "<p>" + "outside " * 20),
+])
+def test_marks_never_take_the_article(bad):
+    assert extract(parse(bad.format(LONG)), None, frozenset()) == LONG
+
+
+def test_many_slots_of_one_mark_are_content():
+    blocks = "".join(f"<div class='widget'><p>part {i}</p></div>" for i in range(9))
+    assert extract(parse(f"<body>{blocks}<div class=sidebar>more</div>"), None, frozenset()) == "\n".join(f"part {i}" for i in range(9))
+
+
+def test_marks_yield_to_what_varies(spark):
+    """A constant block longer than the article does not make its marked slot a small one."""
+    fixed, own = prose(1, 200), [f"own text {i} {prose(i, 6)}" for i in range(6)]
+    pages = [(i, "http://w.org/x", f"<body class=no-sidebar><div>{fixed}</div><div class=widget><p>{own[i]}</p></div><div class=share>s{i}</div>") for i in range(6)]
+    got = extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == dict(enumerate(own))
+
+
 def test_alignment_is_largest():
     a, b = parse("<div><p>1</p><ul><li>x</ul><p>2</p></div>"), parse("<div><ul><li>y<li>z</ul><p>2</p><hr></div>")
     assert sorted(x.tag for x, _ in align(a, b)) == ["#page", "div", "li", "p", "ul"]
