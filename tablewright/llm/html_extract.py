@@ -10,8 +10,10 @@ to many tasks.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,8 +56,6 @@ MARKS = frozenset(
 MAIN = frozenset(["article", "main"])
 #: Elements that no mark removes.
 UNMARKED = MAIN | {"#page", "html", "body"}
-#: Elements deeper than this become siblings; their texts keep their order.
-DEEPEST = 100
 
 _tag = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?\]\]>|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 _mark = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -67,10 +67,11 @@ class Node:
     """An element: its tag, its marks (words of class, id and role), what is in it (texts and elements), its place in
     page order and, once asked for, its text."""
 
-    __slots__ = ("tag", "marks", "label", "inside", "number", "_shape", "_kids")
+    __slots__ = ("tag", "marks", "label", "inside", "number", "size", "_shape", "_kids")
 
     def __init__(self, tag: str, marks: str, number: int):
-        self.tag, self.marks, self.label, self.inside, self.number, self._shape, self._kids = tag, marks, tag + " " + marks, [], number, None, None
+        self.tag, self.marks, self.label, self.inside, self.number = tag, marks, tag + " " + marks, [], number
+        self.size, self._shape, self._kids = 0, None, None
 
     @property
     def kids(self) -> list[Node]:
@@ -79,10 +80,14 @@ class Node:
         return self._kids
 
     @property
-    def shape(self) -> str:
-        """The labels of the tree below; equal for trees that match in full."""
+    def shape(self) -> bytes:
+        """A digest of the labels of the tree below, equal for trees that match in full; sets size, its elements, too."""
         if self._shape is None:
-            self._shape = f"{self.label}({','.join([k.shape for k in self.kids])})"
+            for x in reversed(preorder(self)):
+                below = hashlib.blake2b(x.label.encode("utf-8", "surrogatepass") + b"\0", digest_size=16)
+                for k in x.kids:
+                    below.update(k._shape)
+                x.size, x._shape = 1 + sum(k.size for k in x.kids), below.digest()
         return self._shape
 
     @property
@@ -108,6 +113,12 @@ def parse(page: str) -> Node:
     """The tree of a page. Bad markup never raises: stray end tags are skipped, open elements end where HTML says."""
     top = Node("#page", "", 0)
     stack, at, number = [top], 0, 1
+    opened: Counter[str] = Counter()
+
+    def end_from(i: int) -> None:
+        opened.subtract([x.tag for x in stack[i:]])
+        del stack[i:]
+
     for start, end, closing, name, attributes in _tags(page):
         if start > at:
             stack[-1].inside.append(page[at:start])
@@ -115,18 +126,16 @@ def parse(page: str) -> Node:
         if not name:
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
+            if opened[name]:
+                end_from(max(i for i, x in enumerate(stack) if x.tag == name) if stack[-1].tag != name else len(stack) - 1)
             continue
         closes = CLOSES.get(name)
         if closes:
             stop = SCOPE.get(name, ())
             i = len(stack) - 1
-            while i > 0 and stack[i].tag not in stop:
+            while i > 0 and stack[i].tag not in stop and any(opened[t] for t in closes):
                 if stack[i].tag in closes:
-                    del stack[i:]
+                    end_from(i)
                 elif stack[i].tag in BLOCKS and stack[i].tag not in ("p", "li", "td", "th", "tr", "dt", "dd"):
                     break
                 i -= 1
@@ -134,8 +143,9 @@ def parse(page: str) -> Node:
         number += 1
         stack[-1].inside.append(node)
         closed = name in VOID or attributes.rstrip().endswith("/") and name not in BLOCKS
-        if not closed and len(stack) < DEEPEST:
+        if not closed:
             stack.append(node)
+            opened[name] += 1
     if at < len(page):
         stack[-1].inside.append(page[at:])
     return top
@@ -164,32 +174,47 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     Equal trees at both ends of two lists of children are matched first, which loses nothing; the rest is found by
     dynamic programming.
     """
-    sizes: dict[tuple[str, str], int] = {}
+    sizes: dict[tuple[bytes, bytes], int] = {}
 
-    def size(x: Node, y: Node) -> int:
+    def known(x: Node, y: Node) -> int | None:
         if x.label != y.label:
             return 0
         if not x.kids or not y.kids:
             return 1
-        key = (x.shape, y.shape)
-        if key not in sizes:
-            sizes[key] = 1 + sum(n for _, _, n in children(x.kids, y.kids))
-        return sizes[key]
+        return x.size if x.shape == y.shape else sizes.get((x.shape, y.shape))
 
-    def children(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node, int]]:
+    def ends(xs: list[Node], ys: list[Node]) -> tuple[int, int, int]:
         low, p, q = 0, len(xs), len(ys)
         while low < p and low < q and xs[low].shape == ys[low].shape:
             low += 1
         while p > low and q > low and xs[p - 1].shape == ys[q - 1].shape:
             p, q = p - 1, q - 1
-        pairs = [(x, y, x.shape.count("(")) for x, y in (*zip(xs[:low], ys[:low]), *zip(xs[p:], ys[q:]))]
+        return low, p, q
+
+    def size_all(xs: list[Node], ys: list[Node]) -> None:
+        """Fill in the sizes that matching these lists asks for, those of the trees below first."""
+        todo: list[tuple] = [(None, xs, ys)]
+        while todo:
+            key, us, vs = todo[-1]
+            low, p, q = ends(us, vs)
+            missing = {(x.shape, y.shape): (x.kids, y.kids) for x in us[low:p] for y in vs[low:q] if known(x, y) is None}
+            if missing:
+                todo.extend((k, *lists) for k, lists in missing.items())
+                continue
+            todo.pop()
+            if key and key not in sizes:
+                sizes[key] = 1 + sum(n for _, _, n in children(us, vs))
+
+    def children(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node, int]]:
+        low, p, q = ends(xs, ys)
+        pairs = [(x, y, x.size) for x, y in (*zip(xs[:low], ys[:low]), *zip(xs[p:], ys[q:]))]
         left, right = xs[low:p], ys[low:q]
         if left and right:
             best = [[0] * (len(right) + 1)]
             for x in left:
                 above, row = best[-1], [0]
                 for j, y in enumerate(right):
-                    n = size(x, y)
+                    n = known(x, y)
                     row.append(max(above[j + 1], row[j], above[j] + n if n else 0))
                 best.append(row)
             i, j = len(left), len(right)
@@ -203,11 +228,13 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
                     pairs.append((left[i], right[j], best[i + 1][j + 1] - best[i][j]))
         return pairs
 
+    a.shape, b.shape  # sets the sizes of all nodes
     out, todo = [], [(a, b)] if a.label == b.label else []
     while todo:
         x, y = todo.pop()
         out.append((x, y))
         if x.kids and y.kids:
+            size_all(x.kids, y.kids)
             todo.extend((p, q) for p, q, _ in children(x.kids, y.kids))
     return out
 
@@ -305,24 +332,37 @@ def mains(top: Node, skip: frozenset[int]) -> list[Node]:
     return found
 
 
-def node_texts(top: Node) -> dict[int, str]:
-    """The text below each element, white space folded; by number."""
-    out: dict[int, str] = {}
-
-    def walk(x: Node) -> str:
-        text = " ".join(t for t in (y.strip() if isinstance(y, str) else walk(y) for y in x.inside) if t)
-        out[x.number] = text
-        return text
+class Texts:
+    """The text below each element, white space folded, as a range of the page's text."""
+
+    def __init__(self, top: Node):
+        pieces, at, self.ranges = [], 0, {}
+        todo: list = [(top, None)]
+        while todo:
+            x, start = todo.pop()
+            if isinstance(x, str):
+                text = _space.sub(" ", x).strip()
+                if text:
+                    pieces.append(text)
+                    at += len(text) + 1
+            elif start is None:
+                todo.append((x, at))
+                todo.extend((y, None) for y in reversed(x.inside))
+            else:
+                self.ranges[x.number] = (start, max(start, at - 1))
+        self.text = " ".join(pieces)
 
-    walk(top)
-    return out
+    def same(self, number: int, other: Texts, others: int) -> bool:
+        """Whether two elements have the same text, and any."""
+        (a, b), (c, d) = self.ranges[number], other.ranges[others]
+        return a < b and b - a == d - c and self.text[a:b] == other.text[c:d]
 
 
-def counts(reference: Node, texts: dict[int, str], page: Node) -> tuple[list[int], list[int]]:
+def counts(reference: Node, texts: Texts, page: Node) -> tuple[list[int], list[int]]:
     """Numbers of the reference nodes that the page has, and of those with the same text."""
-    own = node_texts(page)
+    own = Texts(page)
     pairs = align(reference, page)
-    return [x.number for x, _ in pairs], [x.number for x, y in pairs if texts[x.number] and texts[x.number] == own[y.number]]
+    return [x.number for x, _ in pairs], [x.number for x, y in pairs if texts.same(x.number, own, y.number)]
 
 
 def extract(page: Node, reference: Node | None, template: frozenset[int]) -> str:
@@ -363,14 +403,14 @@ class _Parsed:
     """Trees and node texts of the references that a task meets; the few last ones are kept."""
 
     def __init__(self):
-        self.kept: dict[str, tuple[Node, dict[int, str]]] = {}
+        self.kept: dict[str, tuple[Node, Texts]] = {}
 
-    def __call__(self, host: str, page: str) -> tuple[Node, dict[int, str]]:
+    def __call__(self, host: str, page: str) -> tuple[Node, Texts]:
         if host not in self.kept:
             if len(self.kept) >= 256:
                 self.kept.clear()
             top = parse(page)
-            self.kept[host] = (top, node_texts(top))
+            self.kept[host] = (top, Texts(top))
         return self.kept[host]
 
 

@@ -33,6 +33,29 @@ def test_bad_markup(bad, want):
     assert extract(parse(bad), None, frozenset()) == want
 
 
+@pytest.mark.parametrize("n", [5, 120, 4000])
+def test_nothing_is_cut_at_any_depth(n):
+    deep = "<div>" * n + "<p>in</p><script>no()</script><style>no</style><nav>no</nav><aside>no</aside><form>no</form>" + "</div>" * n
+    page = f"<body><div><article><p>before</p>{deep}<p>after</p></article></div><p>outside"
+    assert extract(parse(page), None, frozenset()) == "before\nin\nafter"
+    inline = "<body><article><p>" + "<b>" * n + "bold</p><script>no()</script><p>next</p></article><p>outside"
+    assert extract(parse(inline), None, frozenset()) == "bold\nnext"
+
+
+@pytest.mark.parametrize("n", [5, 120, 4000])
+def test_deep_pages_align(spark, n):
+    make = lambda i: f"<body>{'<div>' * n}<p>Welcome to all</p><p>own {i}</p>{'<i>x' * (i % 2)}{'</div>' * n}<div>fixed end</div><p>tail {i}"
+    a, b = parse(make(0)), parse(make(1))
+    assert len(align(a, b)) == 6 + n
+    pages = spark.createDataFrame([(i, "http://d.org/x", make(i)) for i in range(0, 12, 2)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_pages(pages).collect()} == {i: f"own {i}\ntail {i}" for i in range(0, 12, 2)}
+
+
+def test_many_open_tags_and_stray_ends_are_fast():
+    page = "<b>" * 20_000 + "</i>" * 20_000 + "<p>x" * 2_000
+    assert extract(parse(page), None, frozenset()) == "\n".join(["x"] * 2_000)
+
+
 LONG = "the whole article is here"
 
 
