@@ -1,11 +1,12 @@
 """Main text of web pages by wrapper induction.
 
-Of every host one page of usual length is the reference. Each other page's tree is aligned with it by simple tree
-matching, and over all pages of the host every reference node counts how often it was met and how often with the same
-text. Nodes that stay the same are the host's template; what varies is content, but for slots whose marks say that they
-are menus, adverts, forms and the like, and that do not hold most of what varies. References meet their pages by
-broadcast if they are measured to be small, else by a join on host and salt, so a host with a third of all pages is dealt
-to many tasks.
+A host's pages are grouped by layout, a hash of the upper tree; layouts of fewer than three pages go together, or to the
+host's most frequent layout if that has more pages. Of every group one page of usual length is the reference. Each other
+page's tree is aligned with it by simple tree matching, and over all pages of the group every reference node counts how
+often it was met and how often with the same text. Nodes that stay the same are the group's template; what varies is
+content, but for slots whose marks say that they are menus, adverts, forms and the like, and that do not hold most of
+what varies. References meet their pages by broadcast if they are measured to be small, else by a join on group and salt,
+so a group with a third of all pages is dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import Workspace, table
 
-#: Bytes of references up to which they are sent to every task, and groups that a host's pages are dealt to beyond.
+#: Bytes of references up to which they are sent to every task, and parts that a group's pages are dealt to beyond.
 BROADCAST_BYTES = 64_000_000
+#: Rows of counts per group or host up to which they are sent to every task.
+BROADCAST_ROWS = 1_000_000
 SALTS = 64
 #: A node is template if at least so many pages have it, and so many in a hundred of them with the same text.
 LEAST_PAGES = 3
@@ -56,6 +59,11 @@ MARKS = frozenset(
 MAIN = frozenset(["article", "main"])
 #: Elements that no mark removes.
 UNMARKED = MAIN | {"#page", "html", "body"}
+#: Elements that make the layout of a page, and those whose inside does not count for it.
+FRAMES = frozenset("div section header footer nav aside article main form center table dl ul ol".split())
+WHOLE = frozenset("article main header footer nav aside form table dl ul ol".split())
+#: Levels below the body that count.
+LAYOUT_LEVELS = 3
 
 _tag = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?\]\]>|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>?)", re.S)
 _mark = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -63,14 +71,19 @@ _words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _space = re.compile(r"\s+")
 
 
+def _label(tag: str, marks: str) -> str:
+    """What elements are compared by: no numbers, which often count pages, and no marks of elements that a page has once."""
+    return tag if tag in UNMARKED else " ".join([tag, *(w for w in marks.split() if not w.isdigit())])
+
+
 class Node:
-    """An element: its tag, its marks (words of class, id and role), what is in it (texts and elements), its place in
+    """An element: its tag, its marks (words and numbers of class, id and role), its label, what is in it (texts and elements), its place in
     page order and, once asked for, its text."""
 
     __slots__ = ("tag", "marks", "label", "inside", "number", "size", "_shape", "_kids")
 
     def __init__(self, tag: str, marks: str, number: int):
-        self.tag, self.marks, self.label, self.inside, self.number = tag, marks, tag + " " + marks, [], number
+        self.tag, self.marks, self.label, self.inside, self.number = tag, marks, _label(tag, marks), [], number
         self.size, self._shape, self._kids = 0, None, None
 
     @property
@@ -151,6 +164,28 @@ def parse(page: str) -> Node:
     return top
 
 
+def layout(top: Node) -> int:
+    """A hash of the upper tree: the frames directly in the body in their order, below them without repeats in a row."""
+    body = top
+    while body.tag in ("#page", "html"):
+        inner = [k for k in body.kids if k.tag in ("html", "body")]
+        if not inner:
+            break
+        body = inner[0]
+    found = hashlib.blake2b(digest_size=8)
+    todo: list[tuple[Node, int]] = [(body, 0)]
+    while todo:
+        x, level = todo.pop()
+        found.update(f"{level} {x.label}\n".encode("utf-8", "surrogatepass"))
+        if level == LAYOUT_LEVELS or x.tag in WHOLE:
+            continue
+        kids = [k for k in x.kids if k.tag in FRAMES]
+        if level:
+            kids = [k for i, k in enumerate(kids) if not i or k.label != kids[i - 1].label]
+        todo.extend((k, level + 1) for k in reversed(kids))
+    return int.from_bytes(found.digest(), "big", signed=True)
+
+
 def _tags(page: str):
     """Start, end, whether closing, name and attributes of each tag; comments have no name. Raw elements hold one text."""
     at = 0
@@ -391,27 +426,52 @@ def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
     )
 
 
-def _with_references(hosted: DataFrame, references: DataFrame, broadcast: bool) -> DataFrame:
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = pa.array([layout(parse(page)) for page in batch.column(2).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, found], names=["_id", "_url", "_html", "_host", "_layout"])
+
+
+def _grouped(hosted: DataFrame, work: Workspace) -> DataFrame:
+    """Adds _group, the code of a host's layout, or of what its layouts of few pages go to."""
+    id_type = dict(hosted.dtypes)["_id"]
+    laid = work.write(hosted.mapInArrow(_layouts, f"_id {id_type}, _url string, _html string, _host string, _layout long"), "pages")
+    code = F.xxhash64("_host", "_layout")
+    sizes = laid.groupBy("_host", "_layout").agg(F.count(F.lit(1)).alias("_n"))
+    many = F.col("_n") >= LEAST_PAGES
+    most = F.max(F.when(many, F.struct("_n", code.alias("_code"))))
+    few = F.coalesce(F.sum(F.when(~many, F.col("_n"))), F.lit(0))
+    others = sizes.groupBy("_host").agg(
+        F.when(most["_n"] > few, most["_code"]).otherwise(F.xxhash64("_host")).alias("_other"),
+    )
+    kept = sizes.where(many).select(code.alias("_kept"))
+    kept, others = (F.broadcast(t) if t.count() <= BROADCAST_ROWS else t for t in (kept, others))
+    group = F.coalesce("_kept", "_other")
+    joined = laid.join(kept, code == F.col("_kept"), "left").join(others, "_host")
+    return joined.select("_id", "_url", "_html", group.alias("_group"))
+
+
+def _with_references(grouped: DataFrame, references: DataFrame, broadcast: bool) -> DataFrame:
     if broadcast:
-        return hosted.join(F.broadcast(references), "_host", "left")
+        return grouped.join(F.broadcast(references), "_group", "left")
     salted = references.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = hosted.withColumn("_salt", F.pmod(F.xxhash64("_id", "_html"), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, ["_host", "_salt"], "left").drop("_salt")
+    dealt = grouped.withColumn("_salt", F.pmod(F.xxhash64("_id", "_html"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["_group", "_salt"], "left").drop("_salt")
 
 
 class _Parsed:
     """Trees and node texts of the references that a task meets; the few last ones are kept."""
 
     def __init__(self):
-        self.kept: dict[str, tuple[Node, Texts]] = {}
+        self.kept: dict[int, tuple[Node, Texts]] = {}
 
-    def __call__(self, host: str, page: str) -> tuple[Node, Texts]:
-        if host not in self.kept:
+    def __call__(self, group: int, page: str) -> tuple[Node, Texts]:
+        if group not in self.kept:
             if len(self.kept) >= 256:
                 self.kept.clear()
             top = parse(page)
-            self.kept[host] = (top, Texts(top))
-        return self.kept[host]
+            self.kept[group] = (top, Texts(top))
+        return self.kept[group]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,47 +480,47 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         keys = list(found)
         made = pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
+            pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()),
             pa.array([found[k][0] for k in keys], pa.int64()), pa.array([found[k][1] for k in keys], pa.int64()),
-        ], names=["_host", "node", "met", "same"])
+        ], names=["_group", "node", "met", "same"])
         found.clear()
         return made
 
     for batch in batches:
-        for host, page, reference in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            top, texts = parsed(host, reference)
+        for group, page, reference in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            top, texts = parsed(group, reference)
             met, same = counts(top, texts, parse(page))
             for i, numbers in ((0, met), (1, same)):
                 for n in numbers:
-                    found.setdefault((host, n), [0, 0])[i] += 1
+                    found.setdefault((group, n), [0, 0])[i] += 1
         if len(found) > 100_000:
             yield out()
     yield out()
 
 
-def induce(hosted: DataFrame, work: Workspace) -> tuple[DataFrame, bool]:
-    """Per host the reference page and the numbers of its template nodes, counted over all its pages."""
-    usual = hosted.groupBy("_host").agg(F.avg(F.length("_html")).alias("_usual"))
-    small = usual.count() <= 1_000_000
+def induce(grouped: DataFrame, work: Workspace) -> tuple[DataFrame, bool]:
+    """Per group the reference page and the numbers of its template nodes, counted over all its pages."""
+    usual = grouped.groupBy("_group").agg(F.avg(F.length("_html")).alias("_usual"))
+    small = usual.count() <= BROADCAST_ROWS
     near = F.struct(F.abs(F.length("_html") - F.col("_usual")).alias("d"), F.xxhash64("_html").alias("h"))
-    ranked = hosted.join(F.broadcast(usual) if small else usual, "_host")
-    references = work.write(ranked.groupBy("_host").agg(F.min_by("_html", near).alias("_reference")), "references")
+    ranked = grouped.join(F.broadcast(usual) if small else usual, "_group")
+    references = work.write(ranked.groupBy("_group").agg(F.min_by("_html", near).alias("_reference")), "references")
     size = references.agg(F.sum(F.octet_length("_reference"))).first()[0] or 0
     broadcast = size <= BROADCAST_BYTES
-    joined = _with_references(hosted, references, broadcast).select("_host", "_html", "_reference")
-    found = joined.mapInArrow(_count, "_host string, node int, met long, same long").groupBy("_host", "node").agg(
+    joined = _with_references(grouped, references, broadcast).select("_group", "_html", "_reference")
+    found = joined.mapInArrow(_count, "_group long, node int, met long, same long").groupBy("_group", "node").agg(
         F.sum("met").alias("met"), F.sum("same").alias("same"),
     ).where((F.col("met") >= LEAST_PAGES) & (100 * F.col("same") >= SAME_PERCENT * F.col("met")))
-    nodes = found.groupBy("_host").agg(F.sort_array(F.collect_list("node")).alias("_template"))
-    return work.write(references.join(nodes, "_host", "left"), "wrappers"), broadcast
+    nodes = found.groupBy("_group").agg(F.sort_array(F.collect_list("node")).alias("_template"))
+    return work.write(references.join(nodes, "_group", "left"), "wrappers"), broadcast
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parsed = _Parsed()
     for batch in batches:
         texts = []
-        for host, page, reference, template in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-            texts.append(extract(parse(page), parsed(host, reference)[0] if reference else None, frozenset(template or ())))
+        for group, page, reference, template in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            texts.append(extract(parse(page), parsed(group, reference)[0] if reference else None, frozenset(template or ())))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["_id", "_url", "text", "n_chars"],
@@ -473,10 +533,11 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     Pages with a NULL url, or none with `://`, share one wrapper of their own. NULL and empty html has an empty text.
     Repeated rows each get a row; other columns are not looked at; an empty table gives an empty result.
     """
-    hosted = _hosted(pages, id_col, url_col, html_col)
-    wrappers, broadcast = induce(hosted, Workspace(pages.sparkSession, "html-extract"))
-    joined = _with_references(hosted, wrappers, broadcast).select("_id", "_url", "_host", "_html", "_reference", "_template")
-    id_type = dict(hosted.dtypes)["_id"]
+    work = Workspace(pages.sparkSession, "html-extract")
+    grouped = _grouped(_hosted(pages, id_col, url_col, html_col), work)
+    wrappers, broadcast = induce(grouped, work)
+    joined = _with_references(grouped, wrappers, broadcast).select("_id", "_url", "_group", "_html", "_reference", "_template")
+    id_type = dict(grouped.dtypes)["_id"]
     out = joined.mapInArrow(_extract, f"_id {id_type}, _url string, text string, n_chars long")
     return out.withColumnsRenamed({"_id": id_col, "_url": url_col})
 

@@ -121,6 +121,31 @@ def test_copies_without_an_article_slot_keep_their_text(spark):
     assert {r.text for r in extract_pages(pages).collect()} == {"the same text"}
 
 
+@pytest.mark.parametrize("limits", [(html_extract.BROADCAST_BYTES, html_extract.BROADCAST_ROWS), (0, 0)])
+def test_each_layout_of_a_host_has_its_template(spark, monkeypatch, limits):
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", limits[0])
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", limits[1])
+    own = [f"own {i} {prose(i, 20)}" for i in range(26)]
+    layouts = [
+        "<body class='postid-{i}'><div id='wrap-{i}'><p>Welcome to the blog</p></div><div id='content-{i}'>{own}</div><div>All rights</div>",
+        "<body class='page page-{i}'><section><p>The shop opens at nine</p></section><div class=top><div>Call us</div><div id='item{i}x'>{own}</div></div>",
+        "<body><div><p>Forum rules</p></div><div>{own}</div><div>Powered by us</div><div>Terms</div>",
+    ]
+    html = [layouts[i % 3].format(i=i, own=own[i]) for i in range(24)]
+    # Two pages alike in nothing else: their texts are all their own.
+    html += [f"<body><center>{own[24]}</center>", f"<body><section>{own[25]}</section><center></center>"]
+    pages = spark.createDataFrame([(i, "http://three.org/x", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract_pages(pages).collect()} == dict(enumerate(own))
+
+
+def test_layouts_of_few_pages_share_one_template(spark):
+    """Every page has a layout of its own, by the number of its blocks."""
+    make = lambda i: "<body><div><p>Welcome</p></div>" + "".join(f"<div>own {i} {k}</div>" for k in range(i + 1)) + "<footer>f</footer>"
+    pages = spark.createDataFrame([(i, "http://f.org/x", make(i)) for i in range(8)], "page_id long, url string, html string")
+    want = {i: "\n".join(f"own {i} {k}" for k in range(i + 1)) for i in range(8)}
+    assert {r.page_id: r.text for r in extract_pages(pages).collect()} == want
+
+
 def test_empty_table(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
     assert text_of(parse("<p>x")) == "x"
