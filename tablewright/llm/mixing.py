@@ -2,9 +2,10 @@
 
 Documents fall into blocks of their source by hash, so a source of any size is dealt out evenly. A source's target
 says how many of its blocks the mix takes: all of them once or twice, the first ones of the permuted order once more,
-and a part of one block. A splitting tree shares these quotas out: at every node the blocks of all sources that go to
-the left half of the shards are one multivariate hypergeometric draw. Each shard finds its own quotas by walking from
-the root, then takes its run of every source's permuted blocks and shuffles locally.
+and a part of one block; what that block cannot fill comes from the blocks after it, document by document. A splitting
+tree shares these quotas out: at every node the blocks of all sources that go to the left half of the shards are one
+multivariate hypergeometric draw. Each shard finds its own quotas by walking from the root, then takes its run of every
+source's permuted blocks and shuffles locally.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SHARD_WORDS = 2_000_000
 MOST_SHARDS = 65_536
 #: Sources up to which their figures are broadcast; beyond, joins shuffle and AQE splits hot sources.
 BROADCAST_SOURCES = 100_000
+#: Words that a source with further blocks may miss before documents of these are looked at.
+SMALL_GAP = 100
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = 7
 
@@ -77,7 +80,7 @@ def split_quotas(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tupl
 def plan_mix(
     sizes: DataFrame, targets: DataFrame, work: Workspace, *, seed: int = SEED, shards: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The blocks taken, (_source, _block, _copy, _shard), and the documents taken from partly used blocks,
+    """The blocks taken, (_source, _block, _copy, _shard), and the documents taken one by one,
     (_id, _row, _copy, _shard). Targets have _blocks (see `with_blocks`)."""
     if shards is None:
         taken_words = targets.agg(F.sum("target")).first()[0] or 0
@@ -123,31 +126,75 @@ def plan_mix(
     dealt = work.write(dealt, "dealt")
     partly = dealt.where(F.col("_part") & (F.col("_copy") == F.col("_whole") + 1))
     edge = partly.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_copy", "_shard", (F.col("_rest") - F.col("_upto") + F.col("_words")).alias("_want"))
-    few = docs.join(_small(edge), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    few = few.where("_size > 0").select("_source", "_id", "_row", "_copy", "_shard", "_order", "_size", "_want")
-    id_type = dict(few.dtypes)["_id"]
-    picked = few.groupBy("_source").applyInPandas(_fill, f"_id {id_type}, _row long, _copy int, _shard int")
     return (
         dealt.where(~F.col("_part") | (F.col("_copy") <= F.col("_whole"))).select("_source", "_block", "_copy", "_shard"),
-        picked,
+        _fill_up(docs, edge, work),
     )
 
 
-def _fill(block: pd.DataFrame) -> pd.DataFrame:
-    """Of one block's documents, in permuted order, those that still fit into the words wanted, and one more if that
-    comes nearer."""
-    same = ["_id", "_row"]
-    docs = block.groupby(same, dropna=False, as_index=False).agg(
-        _size=("_size", "sum"), _order=("_order", "first"), _copy=("_copy", "first"), _shard=("_shard", "first"), _want=("_want", "first"),
-    ).sort_values(["_order", *same])
-    left, chosen = (docs["_want"].iloc[0] if len(docs) else 0), []
+def _fill_up(docs: DataFrame, edge: DataFrame, work: Workspace) -> DataFrame:
+    """The documents, (_id, _row, _copy, _shard), that fill what is wanted of each source's last pass beyond whole blocks.
+
+    The part block comes first. While a source misses more than a small document, the blocks after it give documents of
+    at most half the gap, as many blocks as hold half of it; so every round halves the gap or has seen all blocks, and
+    what it passes over is too long for what is left. At last the one unused document that comes nearest is added, if
+    it comes nearer than none.
+    """
+    few = docs.join(_small(edge), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") >= F.col("_b"))).where("_size > 0")
+    unused = work.write(few.groupBy("_source", "_block", "_id", "_row").agg(
+        F.sum("_size").alias("_size"), *[F.first(c).alias(c) for c in ("_order", "_copy", "_shard", "_b", "_want")],
+    ), "edge")
+    id_type = dict(unused.dtypes)["_id"]
+    schema = f"_source string, _id {id_type}, _row long, _copy int, _shard int, _size long"
+    first = unused.where(F.col("_block") == F.col("_b")).drop("_b")
+    picked = work.write(first.groupBy("_source").applyInPandas(_fill, schema), "picked-0")
+    gaps = edge.select(F.col("_s").alias("_source"), F.col("_want").cast("double").alias("_gap"), F.col("_b").cast("long").alias("_seen"))
+    rounds, new = [picked], picked
+    while True:
+        filled = new.groupBy(F.col("_source").alias("_f")).agg(F.sum("_size").alias("_filled"))
+        gaps = gaps.join(filled, F.col("_source").eqNullSafe(F.col("_f")), "left")
+        gaps = work.write(gaps.select("_source", (F.col("_gap") - F.coalesce("_filled", F.lit(0))).alias("_gap"), "_seen"), f"gaps-{len(rounds)}")
+        active = gaps.where((F.col("_gap") > SMALL_GAP) & F.col("_seen").isNotNull()).withColumnRenamed("_source", "_s")
+        if active.isEmpty():
+            break
+        open_ = unused.drop("_b", "_want").join(
+            _small(active), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") > F.col("_seen")) & (2 * F.col("_size") <= F.col("_gap")),
+        )
+        # One row per block.
+        order = Window.partitionBy("_s").orderBy("_e")
+        ends = open_.groupBy("_s", F.col("_block").alias("_e"), "_gap").agg(F.sum("_size").alias("_words"))
+        ends = ends.withColumn("_upto", F.sum("_words").over(order)).where(2 * (F.col("_upto") - F.col("_words")) < F.col("_gap"))
+        # All blocks are seen where those left hold less than half the gap: _last is NULL then.
+        ends = work.write(ends.groupBy("_s").agg(
+            F.max("_e").alias("_end"), F.max(F.when(2 * F.col("_upto") >= F.col("_gap"), F.col("_e"))).alias("_last"),
+        ), f"ends-{len(rounds)}")
+        taken = open_.drop("_s").join(_small(ends), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") <= F.col("_end")))
+        taken = taken.select("_source", "_id", "_row", "_copy", "_shard", "_block", "_order", "_size", F.col("_gap").alias("_want"))
+        new = work.write(taken.groupBy("_source").applyInPandas(_fill, schema), f"picked-{len(rounds)}")
+        rounds.append(new)
+        seen = gaps.join(_small(ends), F.col("_source").eqNullSafe(F.col("_s")), "left")
+        gaps = seen.select("_source", "_gap", F.col("_last").alias("_seen"))
+    for more in rounds[1:]:
+        picked = picked.unionByName(more)
+    used = picked.select(F.col("_source").alias("_s"), F.col("_id").alias("_i"), F.col("_row").alias("_r"))
+    same = F.col("_source").eqNullSafe(F.col("_s")) & F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r"))
+    short = gaps.where("_gap > 0").select(F.col("_source").alias("_g"), "_gap")
+    near = unused.join(_small(short), F.col("_source").eqNullSafe(F.col("_g"))).where(F.col("_size") < 2 * F.col("_gap"))
+    near = near.join(used, same, "left_anti").groupBy("_source").agg(F.min_by(
+        F.struct("_id", "_row", "_copy", "_shard"), F.struct(F.abs(F.col("_size") - F.col("_gap")), "_block", "_order", "_id", "_row"),
+    ).alias("_one"))
+    columns = ["_id", "_row", "_copy", "_shard"]
+    return work.write(picked.select(*columns).unionByName(near.select("_one.*")), "picked")
+
+
+def _fill(docs: pd.DataFrame) -> pd.DataFrame:
+    """Of one source's documents, in permuted order, those that still fit into the words wanted."""
+    docs = docs.sort_values(["_block", "_order", "_id", "_row"])
+    left, chosen = docs["_want"].iloc[0], []
     for size in docs["_size"]:
-        chosen.append(size <= left)
+        chosen.append(bool(size <= left))
         left -= size if chosen[-1] else 0
-    rest = [(abs(left - size), i) for i, size in enumerate(docs["_size"]) if not chosen[i]]
-    if rest and min(rest)[0] < left:  # one more document comes nearer than none
-        chosen[min(rest)[1]] = True
-    return docs[chosen][["_id", "_row", "_copy", "_shard"]]
+    return docs[chosen][["_source", "_id", "_row", "_copy", "_shard", "_size"]]
 
 
 def _small(per_source: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ import re
 import numpy as np
 import pytest
 
-from tablewright.llm.mixing import mix, mix_report, source_targets, split_quotas
+from tablewright.llm import mixing
+from tablewright.llm.common import Workspace
+from tablewright.llm.mixing import blocked, mix, mix_report, plan_mix, source_targets, split_quotas, with_blocks
 
 from .conftest import prose
 
@@ -80,6 +82,30 @@ def test_report_and_mix_agree(documents, odd_rows):
     assert {s: n for s, n in words.items() if n} == {s: n for s, n in taken.items() if n}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_a_long_document_at_the_boundary(spark, monkeypatch, seed):
+    """Small documents of later blocks fill what a block with a very long one cannot, whichever block that is."""
+    monkeypatch.setattr(mixing, "SMALL_GAP", 10)
+    sizes, rows = {"a": [20_000] * 6 + [40] * 3_000, "b": [40] * 4_000, "c": [30_000] * 3 + [7] * 9_000}, []
+    for s, all_sizes in sizes.items():
+        rows += [(1_000_000 * ord(s) + i, i, s, n) for i, n in enumerate(all_sizes)]
+    table = spark.createDataFrame(rows, "_id long, _row long, _source string, _size long")
+    want = source_targets(table, weights=(2, 1, 1), share=0.5)
+    work = Workspace(spark, "test-mix")
+    fixed = work.write(with_blocks(want, block_words=4_000), "targets")
+    blocks, picked = plan_mix(table, fixed, work, seed=seed, shards=3)
+    placed = blocked(table, fixed, seed)
+    whole = placed.join(blocks.select("_source", "_block", "_copy"), ["_source", "_block"]).select("_source", "_id", "_copy", "_size")
+    single = picked.join(table, ["_id", "_row"]).select("_source", "_id", "_copy", "_size")
+    got, seen = collections.Counter(), collections.Counter()
+    for r in whole.unionByName(single).collect():
+        got[r._source] += r._size
+        seen[r._id, r._copy] += 1
+    assert max(seen.values()) == 1  # no document twice in one pass
+    for r in fixed.collect():
+        assert abs(got[r._source] - r.target) <= 40, (r, got)
+
+
 def test_reruns_agree(documents):
     a = mix_report(documents(corpus())).select("doc_id", "taken")
     b = mix_report(documents(corpus()[::-1]).repartition(5)).select("doc_id", "taken")
