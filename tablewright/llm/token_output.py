@@ -1,17 +1,16 @@
 """Token ids on disk as wavelet matrices, one compressed file per shard.
 
 Documents are dealt by ranges of their id and encoded in order. A shard is one self-contained block of bytes: a header,
-the documents' ids and lengths, and sixteen bit planes of all token ids with block counts for rank. Spark writes the
+the documents' ids and lengths, for each of sixteen bit planes the ones before every block (rank) and the plane's bits in
+pieces compressed on their own. A token is read from sixteen pieces, whatever the size of the shard. Spark writes the
 shards as rows of Parquet in the shared folder, so lost tasks are repeated and half-written files never count.
 """
 
 from __future__ import annotations
 
-import functools
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,47 +20,62 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from .common import Workspace, table
+from .subwords import default_tokenizer, text_encoder
 
-#: Fixed values of the shard format.
-MAGIC = b"TWWM1\0\0\0"
+#: Fixed values of the shard format: bits between two counts of ones, and bytes of a plane compressed together.
+MAGIC = b"TWWM2\0\0\0"
 HEADER = struct.Struct("<8sQIIII")
 PLANES = 16
 BLOCK = 512
+PIECE = 1 << 16
 END_ID = 0
 
-#: Parameters: tokens at which a shard is closed (a longer document has a shard of its own size) and words kept ready.
+#: Parameter: tokens at which a shard is closed (a longer document has a shard of its own size).
 SHARD_TOKENS = 2_000_000
-READY_WORDS = 500_000
 
 
 class WaveletMatrix:
     """Bit planes of a sequence of numbers below 2 ** 16, highest bit first, each plane in the order that the planes
-    above leave: zeros before ones. Answers access, rank and select from the planes alone."""
+    above leave: zeros before ones. Answers access, rank, select and occurrences from the planes alone.
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self._ranks: list[np.ndarray | None] = [None] * PLANES
+    plane(level, piece) gives the bytes of one piece of a plane; ranks[level][k] are the ones before block k.
+    """
+
+    def __init__(self, n: int, zeros: Sequence[int], ranks: np.ndarray, plane):
+        self.n, self.zeros, self.ranks, self._plane = n, zeros, ranks, plane
+        self._read: dict[tuple[int, int], np.ndarray] = {}
 
     @classmethod
-    def build(cls, ids: np.ndarray) -> WaveletMatrix:
+    def build(cls, ids: np.ndarray) -> tuple[list[int], np.ndarray, list[bytes]]:
+        """(zeros, ranks, planes) of a sequence."""
         v = ids.astype(np.uint16)
-        planes, zeros = [], []
-        for level in range(PLANES - 1, -1, -1):
-            bit = (v & np.uint16(1 << level)) != 0
-            planes.append(np.packbits(bit))
+        zeros, ranks, planes = [], np.zeros((PLANES, -(-len(v) // BLOCK) + 1), "<u4"), []
+        for level in range(PLANES):
+            bit = (v & np.uint16(1 << (PLANES - 1 - level))) != 0
+            packed = np.packbits(bit)
+            planes.append(packed.tobytes())
+            if len(v):
+                ranks[level, 1:] = np.cumsum(np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.int64))
             low = v[~bit]
             zeros.append(len(low))
             v = np.concatenate([low, v[bit]])
-        return cls(len(ids), planes, zeros)
+        return zeros, ranks, planes
 
-    def _bits(self, level: int) -> np.ndarray:
-        return np.unpackbits(self.planes[level], count=self.n).view(bool)
+    def _piece(self, level: int, piece: int) -> np.ndarray:
+        if (level, piece) not in self._read:
+            self._read[level, piece] = np.frombuffer(self._plane(level, piece), np.uint8)
+        return self._read[level, piece]
+
+    def bits(self, level: int) -> np.ndarray:
+        pieces = -(-((self.n + 7) // 8) // PIECE)
+        whole = np.concatenate([np.zeros(0, np.uint8), *(self._piece(level, k) for k in range(pieces))])
+        return np.unpackbits(whole, count=self.n).view(bool)
 
     def to_ids(self) -> np.ndarray:
         """The whole sequence, from the lowest plane up."""
         v = np.zeros(self.n, np.uint16)
         for level in range(PLANES - 1, -1, -1):
-            bit = self._bits(level)
+            bit = self.bits(level)
             above = np.empty_like(v)
             above[~bit] = v[: self.zeros[level]]
             above[bit] = v[self.zeros[level]:] | np.uint16(1 << (PLANES - 1 - level))
@@ -69,15 +83,14 @@ class WaveletMatrix:
         return v
 
     def _ones(self, level: int, i: int) -> int:
-        """Ones before position i of a plane, from the counts of its blocks and the bits of one block."""
-        if self._ranks[level] is None:
-            size = BLOCK // 8
-            bits = np.bitwise_count(self.planes[level]).astype(np.int64)
-            sums = np.add.reduceat(bits, np.arange(0, max(len(bits), 1), size)) if len(bits) else np.zeros(0, np.int64)
-            self._ranks[level] = np.concatenate([[0], np.cumsum(sums)])
-        block = i // BLOCK
-        part = np.unpackbits(self.planes[level][block * (BLOCK // 8): (i + 7) // 8])[: i - block * BLOCK]
-        return int(self._ranks[level][block]) + int(part.sum())
+        """Ones before position i of a plane: the stored count of its block and the bits of that block before i."""
+        block, size = i // BLOCK, BLOCK // 8
+        found = int(self.ranks[level][block])
+        if i % BLOCK:
+            piece = self._piece(level, block * size // PIECE)
+            at = block * size % PIECE
+            found += int(np.unpackbits(piece[at: at + size], count=i % BLOCK).sum())
+        return found
 
     def access(self, i: int) -> int:
         value = 0
@@ -88,15 +101,20 @@ class WaveletMatrix:
             i = self.zeros[level] + ones if bit else i - ones
         return value
 
-    def rank(self, value: int, start: int, end: int) -> int:
-        """How often value is at positions start to end - 1."""
+    def _range(self, value: int, start: int, end: int) -> tuple[int, int]:
+        """Where the occurrences of value at start to end - 1 stand below the last plane."""
+        if value >> PLANES:
+            return 0, 0
         for level in range(PLANES):
             a, b = self._ones(level, start), self._ones(level, end)
-            if value >> (PLANES - 1 - level) & 1:
-                start, end = self.zeros[level] + a, self.zeros[level] + b
-            else:
-                start, end = start - a, end - b
-        return end - start
+            one = value >> (PLANES - 1 - level) & 1
+            start, end = (self.zeros[level] + a, self.zeros[level] + b) if one else (start - a, end - b)
+        return start, end
+
+    def rank(self, value: int, start: int, end: int) -> int:
+        """How often value is at positions start to end - 1."""
+        a, b = self._range(value, start, end)
+        return b - a
 
     def select(self, value: int, k: int) -> int:
         """The position of the k-th (from 0) occurrence of value, or -1."""
@@ -108,93 +126,52 @@ class WaveletMatrix:
             low, high = (low, middle) if self.rank(value, 0, middle) > k else (middle, high)
         return low
 
-
-def write_shard(keys: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """One shard as bytes: header, null map, document ids, lengths and planes, compressed."""
-    m = WaveletMatrix.build(ids)
-    body = b"".join([
+    def occurrences(self, value: int) -> np.ndarray:
+        """All positions of value in ascending order: from below the last plane back up."""
+        start, end = self._range(value, 0, self.n)
+        at = np.arange(start, end)
+        for level in range(PLANES - 1, -1, -1) if len(at) else ():
+            bit = self.bits(level)
+            one = value >> (PLANES - 1 - level) & 1
+            at = np.flatnonzero(bit if one else ~bit)[at - (self.zeros[level] if one else 0)]
+        return at
+
+
+def write_shard(keys: Sequence[int | None], lengths: Sequence[int], ids: np.ndarray) -> bytes:
+    """One shard as bytes. Header; index (null map, document ids, lengths, zeros and ranks of the planes), compressed;
+    sizes of the pieces; the pieces, compressed one by one."""
+    if len(ids) and int(ids.max()) >> PLANES:
+        raise ValueError(f"token ids must be below {1 << PLANES}")
+    zeros, ranks, planes = WaveletMatrix.build(ids)
+    index = zstandard.compress(b"".join([
         np.array([k is None for k in keys], np.uint8).tobytes(), np.array([k or 0 for k in keys], "<i8").tobytes(),
-        np.array(lengths, "<u8").tobytes(), np.array(m.zeros, "<u8").tobytes(), *[p.tobytes() for p in m.planes],
-    ])
-    return HEADER.pack(MAGIC, len(ids), len(keys), PLANES, zlib.crc32(body), 0) + zstandard.compress(body, 1)
+        np.array(lengths, "<u8").tobytes(), np.array(zeros, "<u8").tobytes(), ranks.tobytes(),
+    ]), 1)
+    pieces = [zstandard.compress(p[i: i + PIECE], 1) for p in planes for i in range(0, len(p), PIECE)]
+    body = b"".join([index, np.array([len(p) for p in pieces], "<u4").tobytes(), *pieces])
+    return HEADER.pack(MAGIC, len(ids), len(keys), PLANES, zlib.crc32(body), len(index)) + body
 
 
 def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """Document ids, lengths and the tokens of a shard; raises if it is damaged."""
-    magic, n, docs, planes, check, _ = HEADER.unpack_from(data)
-    body = zstandard.decompress(data[HEADER.size:])
-    if magic != MAGIC or planes != PLANES or zlib.crc32(body) != check:
+    """Document ids, lengths and the tokens of a shard, whose planes are read when asked for; raises if it is damaged."""
+    magic, n, docs, planes, check, size = HEADER.unpack_from(data)
+    view = memoryview(data)[HEADER.size:]
+    if magic != MAGIC or planes != PLANES or zlib.crc32(view) != check:
         raise ValueError("not a whole shard of token ids")
-    none = np.frombuffer(body, np.uint8, docs)
-    keys = np.frombuffer(body, "<i8", docs, docs)
-    lengths = np.frombuffer(body, "<u8", docs, 9 * docs).astype(np.int64)
-    zeros = [int(z) for z in np.frombuffer(body, "<u8", PLANES, 17 * docs)]
-    size, at = (n + 7) // 8, 17 * docs + 8 * PLANES
-    matrix = WaveletMatrix(n, [np.frombuffer(body, np.uint8, size, at + i * size) for i in range(PLANES)], zeros)
-    return [None if x else int(k) for x, k in zip(none, keys)], lengths, matrix
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 ones for themselves, the rest
-    in order from code point 256."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-class WordEncoder(dict):
-    """Encodes texts word by word with the tokenizer; itself the table of the ids of words seen before.
-
-    The tokenizer of these files cuts a text before every single blank or line break between two other characters, so
-    the ids of the pieces are those of the text. A piece of letters and the signs after them needs no further cutting,
-    as no entry of the vocabulary joins the two. Texts with other white space, or with special tokens, are encoded whole.
-    The table has two generations: when the new one is full it becomes the old one, and words met again move over.
-    """
+    index, per_plane = zstandard.decompress(view[:size]), -(-((n + 7) // 8) // PIECE)
+    none = np.frombuffer(index, np.uint8, docs)
+    keys = np.frombuffer(index, "<i8", docs, docs)
+    lengths = np.frombuffer(index, "<u8", docs, 9 * docs).astype(np.int64)
+    zeros = [int(z) for z in np.frombuffer(index, "<u8", PLANES, 17 * docs)]
+    ranks = np.frombuffer(index, "<u4", offset=17 * docs + 8 * PLANES).reshape(PLANES, -1)
+    sizes = np.frombuffer(view, "<u4", PLANES * per_plane, size).astype(np.int64)
+    ends = size + sizes.nbytes // 2 + np.cumsum(sizes)
+
+    def plane(level: int, piece: int) -> bytes:
+        k = level * per_plane + piece
+        return zstandard.decompress(view[ends[k] - sizes[k]: ends[k]])
 
-    ODD = re.compile(r"[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-    PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?#$%&*|]*").fullmatch
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize, self.letters, self.old = self.tokenizer.model.tokenize, _byte_letters(), {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            if self.PLAIN(word):
-                spelt = word.replace(" ", self.letters[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-                made = [t.id for t in self.tokenize(spelt)]
-            else:
-                made = self.tokenizer.encode(word, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(made)}H", *made)
-        if len(self) >= READY_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def whole(self, text: str) -> bool:
-        return bool(
-            "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
-            or "<|" in text or self.ODD(text)
-        )
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as unsigned 16-bit numbers."""
-        if not text:
-            return b""
-        if self.whole(text):
-            made = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(made)}H", *made)
-        pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        return b"".join(map(self.__getitem__, pieces))
-
-
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return [None if x else int(k) for x, k in zip(none, keys)], lengths, WaveletMatrix(n, zeros, ranks, plane)
 
 
 SHARDS = "part int, number int, n_tokens long, data binary"
@@ -203,27 +180,36 @@ READ = "part int, number int, at int, _id long, offset long, n_tokens long, ids_
 
 def _encode(path: str, shard_tokens: int):
     schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("n_tokens", pa.int64()), ("data", pa.binary())])
-    end = np.array([END_ID], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = _encoder(path), TaskContext.get().partitionId(), 0
-        keys, parts, size = [], [], 0
+        encoder, part, number = text_encoder(path), TaskContext.get().partitionId(), 0
+        keys, lengths, parts, size = [], [], [], 0
 
         def shard():
-            ids = np.frombuffer(b"".join(parts), "<u2")
-            data = write_shard(keys, [len(p) // 2 for p in parts], ids)
+            ids = np.concatenate([np.zeros(0, np.uint16), *parts])
+            data = write_shard(keys, lengths, ids)
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, number, len(ids), data), schema)], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for key, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    keys.append(key)
-                    parts.append(encoder.encode(text or "") + end)
-                    size += len(parts[-1]) // 2
+            at, ids_of = 0, batch.column(0).to_pylist()
+            for ids, counts in encoder.ids(batch.column(1)):
+                if len(ids) and int(ids.max()) >> PLANES:
+                    raise ValueError(f"token ids must be below {1 << PLANES}")
+                ids = np.insert(ids.astype(np.uint16), np.cumsum(counts), END_ID)
+                ends = np.concatenate([[0], np.cumsum(counts + 1)])
+                doc = 0
+                while doc < len(counts):
+                    stop = int(np.searchsorted(ends, ends[doc] + shard_tokens - size))
+                    stop = min(max(stop, doc + 1), len(counts))
+                    keys += ids_of[at + doc: at + stop]
+                    lengths += (counts[doc: stop] + 1).tolist()
+                    parts.append(ids[ends[doc]: ends[stop]])
+                    size += int(ends[stop] - ends[doc])
+                    doc = stop
                     if size >= shard_tokens:
                         yield shard()
-                        keys, parts, size, number = [], [], 0, number + 1
+                        keys, lengths, parts, size, number = [], [], [], 0, number + 1
+                at += len(counts)
         if keys:
             yield shard()
 
@@ -274,17 +260,78 @@ def token_output(docs: DataFrame, *, tokenizer_path: str, id_col: str = "doc_id"
     """Write all documents as shards of token ids and read them back, one row per input row.
 
     Every document's ids end with id 0. A NULL or empty text is that id alone; repeated rows and equal ids each have
-    their place, NULL ids come first. Other columns of the input are not looked at; an empty table gives no shards and
-    an empty result. The tokenizer's ids must be below 65,536.
+    their place, NULL ids come first. Ids are whole numbers (or texts of them; other texts raise). Other columns of the
+    input are not looked at; an empty table gives no shards and an empty result. The tokenizer's ids must be below 65,536.
     """
     work = Workspace(docs.sparkSession, "token-output")
     return read_token_shards(write_token_shards(docs, work, tokenizer_path=tokenizer_path, id_col=id_col, text_col=text_col), id_col=id_col)
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
+def _each(shards: DataFrame, answer, schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield answer(row, *read_shard(row["data"]))
+
+    return shards.select("part", "number", "data").mapInArrow(run, schema)
+
+
+def token_frequencies(shards: DataFrame, tokens: Sequence[int]) -> DataFrame:
+    """(token, n): how often each of the given ids stands in all shards, from two ranks per plane and shard."""
+    def answer(row, keys, lengths, matrix):
+        return pa.RecordBatch.from_pydict({"token": list(tokens), "n": [matrix.rank(t, 0, matrix.n) for t in tokens]})
+
+    return _each(shards, answer, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+def token_occurrences(shards: DataFrame, tokens: Sequence[int], *, id_col: str = "doc_id") -> DataFrame:
+    """(token, part, number, at, id, offset): every place of the given ids. A place is a document's row in its shard
+    (part, number, at), which also tells rows with one id apart, and the offset of the token in it."""
+    def answer(row, keys, lengths, matrix):
+        ends = np.cumsum(lengths)
+        at = [matrix.occurrences(t) for t in tokens]
+        places = np.concatenate([np.zeros(0, np.int64), *at])
+        doc = np.searchsorted(ends, places, "right")
+        return pa.RecordBatch.from_pydict({
+            "token": np.repeat(np.array(tokens, np.int64), [len(a) for a in at]), "part": np.full(len(doc), row["part"], np.int32),
+            "number": np.full(len(doc), row["number"], np.int32), "at": doc.astype(np.int32),
+            id_col: pa.array(keys, pa.int64()).take(pa.array(doc)), "offset": places - (ends - lengths)[doc],
+        })
+
+    return _each(shards, answer, f"token long, part int, number int, at int, {id_col} long, offset long")
+
+
+def tokens_at(shards: DataFrame, wanted: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """(id, offset, token) for wanted rows (id, offset); without the offsets that a document does not have.
+
+    Only the index of a shard is read to find a document's shard; the places wanted of it are then dealt to the shard
+    (and to 16 copies of it, so that one shard wanted often is not one task). Rows with one id each answer.
+    """
+    def index(row, keys, lengths, matrix):
+        n = len(keys)
+        return pa.RecordBatch.from_pydict({
+            "part": np.full(n, row["part"], np.int32), "number": np.full(n, row["number"], np.int32), "_id": pa.array(keys, pa.int64()),
+            "_start": np.cumsum(lengths) - lengths, "_n": lengths,
+        })
+
+    places = _each(shards, index, "part int, number int, _id long, _start long, _n long")
+    wanted = wanted.select(F.col(id_col).cast("long").alias("_id"), F.col("offset").cast("long").alias("offset"))
+    found = wanted.join(places, "_id").where((F.col("offset") >= 0) & (F.col("offset") < F.col("_n"))).select(
+        "part", "number", F.pmod(F.xxhash64("_id", "offset"), F.lit(16)).cast("int").alias("_copy"), "_id", "offset",
+        (F.col("_start") + F.col("offset")).alias("_place"),
+    )
+    copies = shards.select("part", "number", "data", F.explode(F.array(*[F.lit(k) for k in range(16)])).alias("_copy"))
+    key = ["part", "number", "_copy"]
+
+    def read(shard: pa.Table, rows: pa.Table) -> pa.Table:
+        matrix = read_shard(shard["data"][0].as_py())[2] if rows.num_rows else None
+        return pa.table({
+            id_col: rows["_id"], "offset": rows["offset"],
+            "token": pa.array([matrix.access(p) for p in rows["_place"].to_pylist()], pa.int64()),
+        })
+
+    needed = copies.join(found.select(key).distinct(), key, "left_semi")
+    return needed.groupBy(key).cogroup(found.groupBy(key)).applyInArrow(read, f"{id_col} long, offset long, token long")
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

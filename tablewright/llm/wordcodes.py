@@ -43,7 +43,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, block: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Blocks of texts as (first row, last row + 1, bytes, offsets of the texts in them); NULL is empty."""
     column = column.cast(pa.large_string()).fill_null("")
     n = len(column)
@@ -53,7 +53,7 @@ def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     at = 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block, "right")) - 1)
         yield at, end, data[offsets[at]: offsets[end]], offsets[at: end + 1] - offsets[at]
         at = end
 
