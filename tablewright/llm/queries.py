@@ -10,6 +10,7 @@ from .minhash_dedup import op10_minhash_dedup
 from .mixing import op5_source_mixing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op7_quality_rules
+from .token_counts import op12_token_counts
 from .token_output import op3_token_output
 from .url_filters import OP1_SQL, op1_url_filters
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op12_token_counts": op12_token_counts,
 }
 
 ORACLES = {
