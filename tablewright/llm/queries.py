@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_benchmark_decontamination
+from .divergence import OP11_SQL, op11_source_divergence
 from .html_extract import op4_html_extraction
 from .language_id import op8_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_source_divergence": op11_source_divergence,
     "op12_token_counts": op12_token_counts,
 }
 
@@ -32,4 +34,5 @@ ORACLES = {
     "op1_url_filters": OP1_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op11_source_divergence": OP11_SQL,
 }
