@@ -11,6 +11,7 @@ from .minhash_dedup import op10_minhash_dedup
 from .mixing import op5_source_mixing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op7_quality_rules
+from .token_alignment import op13_token_alignment
 from .token_counts import op12_token_counts
 from .token_output import op3_token_output
 from .url_filters import OP1_SQL, op1_url_filters
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_minhash_dedup": op10_minhash_dedup,
     "op11_source_divergence": op11_source_divergence,
     "op12_token_counts": op12_token_counts,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES = {

@@ -92,14 +92,15 @@ class Encoder:
             and not (plain and any(not t["special"] for t in added))
         )
         self.marks = [] if plain else [t["content"] for t in added]
-        self.size = max([*model["vocab"].values(), *(t["id"] for t in added)]) + 1 if self.cuts else self.tokenizer.get_vocab_size()
+        vocabulary = model["vocab"] if isinstance(model.get("vocab"), dict) else {}
+        self.size = max([self.tokenizer.get_vocab_size() - 1, *vocabulary.values(), *(t["id"] for t in added)]) + 1
+        #: The bytes that each id stands for, if the vocabulary is byte-level.
         self.bytes: list[bytes] = [b""] * self.size
-        if self.cuts:
-            letters = {c: b for b, c in byte_letters().items()}
-            for token, i in model["vocab"].items():
-                self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-            for t in added:
-                self.bytes[t["id"]] = t["content"].encode()
+        letters = {c: b for b, c in byte_letters().items()}
+        for token, i in vocabulary.items():
+            self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        for t in added:
+            self.bytes[t["id"]] = t["content"].encode()
         self.width = np.array([len(b) for b in self.bytes], np.int64)
 
     def each(self, texts: list[str]) -> list[np.ndarray]:
