@@ -4,18 +4,19 @@ Documents fall into blocks of their source by hash, so a source of any size is d
 says how many of its blocks the mix takes: all of them once or twice, the first ones of the permuted order once more,
 and a part of one block; what that block cannot fill comes from the blocks after it, document by document. A splitting
 tree shares these quotas out: at every node the blocks of all sources that go to the left half of the shards are one
-multivariate hypergeometric draw. Each shard finds its own quotas by walking from the root, then takes its run of every
-source's permuted blocks and shuffles locally.
+multivariate hypergeometric draw. Each shard takes its run of every source's permuted blocks and shuffles locally.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 
-from .common import Workspace, row_key, table
+from .common import Workspace, table
 
 #: Parameters: words a block aims at, blocks of the whole corpus at most (they grow instead; each source has one at
 #: least), and words an output shard aims at, with the most shards.
@@ -25,6 +26,12 @@ SHARD_WORDS = 2_000_000
 MOST_SHARDS = 65_536
 #: Sources up to which their figures are broadcast; beyond, joins shuffle and AQE splits hot sources.
 BROADCAST_SOURCES = 100_000
+#: Blocks, or documents taken one by one, up to which their list is broadcast (about 50 bytes each).
+BROADCAST_ROWS = 300_000
+#: Sources in one splitting tree.
+GROUP_SOURCES = 50_000
+#: Tasks that an output shard is shuffled in, each a slice of its order.
+SLICES = 16
 #: Words that a source with further blocks may miss before documents of these are looked at.
 SMALL_GAP = 100
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -58,23 +65,27 @@ def source_targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = 1.5, mos
     )
 
 
-def split_quotas(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The quotas of one shard and the sum of those of the shards before it, walking down the splitting tree.
+def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, sources, first, last): which run of each source's permuted blocks every shard takes.
 
-    Every node draws with its own seed, so all shards see the same draws; quotas are exact at every node.
+    The splitting tree is walked once, from all shards down to each; a node looks only at the sources that still have
+    blocks there, and draws with its own seed. Quotas are exact at every node.
     """
-    low, high, here, before, node = 0, shards, quotas.astype(np.int64), np.zeros(len(quotas), np.int64), 1
-    while high - low > 1:
-        middle = (low + high) // 2
-        total = int(here.sum())
-        n_left = total * (middle - low) // (high - low)
+    some = np.flatnonzero(quotas)
+    nodes = [(0, shards, 1, some, quotas[some].astype(np.int64), np.zeros(len(some), np.int64))]
+    while nodes:
+        low, high, node, some, here, before = nodes.pop()
+        if not len(some):
+            continue
+        if high - low == 1:
+            yield low, some, before, before + here
+            continue
+        middle, total = (low + high) // 2, int(here.sum())
         rng = np.random.default_rng([seed, node])
-        left = rng.multivariate_hypergeometric(here, n_left, method="marginals") if total else here
-        if shard < middle:
-            high, here, node = middle, left, 2 * node
-        else:
-            before, low, here, node = before + left, middle, here - left, 2 * node + 1
-    return here, before
+        left = rng.multivariate_hypergeometric(here, total * (middle - low) // (high - low), method="marginals")
+        for x, y, k, part, start in ((middle, high, 2 * node + 1, here - left, before + left), (low, middle, 2 * node, left, before)):
+            kept = part > 0
+            nodes.append((x, y, k, some[kept], part[kept], start[kept]))
 
 
 def plan_mix(
@@ -104,23 +115,21 @@ def plan_mix(
     taken = marked.withColumn("_copies", F.col("_whole") + (F.col("_full") | F.col("_part")).cast("int")).where("_copies > 0")
     taken = taken.select("_source", "_block", "_whole", "_part", "_rest", "_upto", "_words", "_number", "_count", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
     taken = taken.withColumn("_at", (F.col("_copy") - 1) * F.col("_count") + F.col("_number") - 1)
+    # Sources are dealt to groups by hash; each group has a splitting tree of its own, and a row per source.
+    groups = max(1, -(-targets.count() // GROUP_SOURCES))
     quotas = marked.groupBy("_source").agg(
         F.sum(F.col("_whole") + (F.col("_full") | F.col("_part")).cast("int")).alias("_quota"),
-    ).orderBy(F.col("_source").asc_nulls_last()).collect()  # one number per source
-    names, numbers = [r["_source"] for r in quotas], np.array([r["_quota"] for r in quotas], np.int64)
-
-    def runs(frames):
-        for frame in frames:
-            for shard in frame["id"]:
-                own, before = split_quotas(numbers, shards, int(shard), seed)
-                some = np.flatnonzero(own)
-                if len(some):
-                    yield pd.DataFrame({
-                        "_s": [names[i] for i in some], "_from": before[some], "_to": (before + own)[some], "_shard": int(shard),
-                    })
-
-    spark = sizes.sparkSession
-    ranges = spark.range(0, shards).mapInPandas(runs, "_s string, _from long, _to long, _shard int")
+    ).withColumn("_group", F.pmod(F.xxhash64("_source"), F.lit(groups)).cast("int"))
+
+    def runs(rows: pd.DataFrame) -> pd.DataFrame:
+        # By code point, NULL first: the same order in every run.
+        rows = rows.sort_values("_source", na_position="first", ignore_index=True)
+        parts = [pd.DataFrame({"_s": [], "_from": [], "_to": [], "_shard": []})]
+        for shard, some, first, last in split_quotas(rows["_quota"].to_numpy(), shards, seed + int(rows["_group"].iloc[0])):
+            parts.append(pd.DataFrame({"_s": rows["_source"].to_numpy()[some], "_from": first, "_to": last, "_shard": shard}))
+        return pd.concat(parts)
+
+    ranges = quotas.groupBy("_group").applyInPandas(runs, "_s string, _from long, _to long, _shard int")
     places = ranges.select("_s", "_shard", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("_a"))
     dealt = taken.join(places, taken["_source"].eqNullSafe(places["_s"]) & (taken["_at"] == places["_a"])).drop("_s", "_a")
     dealt = work.write(dealt, "dealt")
@@ -197,9 +206,9 @@ def _fill(docs: pd.DataFrame) -> pd.DataFrame:
     return docs[chosen][["_source", "_id", "_row", "_copy", "_shard", "_size"]]
 
 
-def _small(per_source: DataFrame) -> DataFrame:
-    """A table with a row per source, broadcast if it is counted to be small."""
-    return F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
+def _small(rows: DataFrame, most: int = BROADCAST_SOURCES) -> DataFrame:
+    """A table, broadcast if it is counted to be small (most are a row per source); beyond, the join shuffles."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def with_blocks(targets: DataFrame, *, block_words: int = BLOCK_WORDS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
@@ -217,11 +226,17 @@ def blocked(sizes: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     return joined.withColumn("_order", order).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.col("_blocks")))
 
 
+def _row(text: Column, source: Column) -> Column:
+    """What tells rows of one id apart: text and source. Rows equal in all three are taken together."""
+    source = source.cast("string")
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull(), F.coalesce(source, F.lit("")), source.isNull()).alias("_row")
+
+
 def document_sizes(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
     """_id, _row, _source and _size, the number of words of the whole text (NULL: none)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
-        F.col(id_col).alias("_id"), row_key(text_col).alias("_row"), F.col(source_col).cast("string").alias("_source"),
+        F.col(id_col).alias("_id"), _row(F.col(text_col), F.col(source_col)), F.col(source_col).cast("string").alias("_source"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_size"),
     )
 
@@ -239,17 +254,16 @@ def mix_report(
 ) -> DataFrame:
     """Per row: the id, size, source_size, target (its source's) and taken (words the mix takes, repeats counted).
 
-    A NULL source is a source of its own, after all others. NULL and empty texts have size 0. Rows that repeat an id
-    and a text are taken together. Other columns are not looked at; an empty table gives an empty result.
+    A NULL source is a source of its own, after all others. NULL and empty texts have size 0. Rows that repeat an id,
+    a text and a source are taken together; one document in several sources is a document of each. Other columns are not looked at; an empty table gives an empty result.
     """
     sizes, targets, blocks, picked = _prepared(docs, "mix", id_col, text_col, source_col, weights, share, most, seed)
     placed = blocked(sizes, targets, seed)
-    # At most MOST_BLOCKS rows and one per source.
     per_block = blocks.groupBy(F.col("_source").alias("_s"), F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     per_doc = picked.groupBy(F.col("_id").alias("_i"), F.col("_row").alias("_r")).agg(F.count(F.lit(1)).alias("_m"))
     figures = targets.select(F.col("_source").alias("_t"), "source_size", "target")
-    out = placed.join(F.broadcast(per_block), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left")
-    out = out.join(per_doc, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")), "left")
+    out = placed.join(_small(per_block, BROADCAST_ROWS), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left")
+    out = out.join(_small(per_doc, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")), "left")
     out = out.join(_small(figures), F.col("_source").eqNullSafe(F.col("_t")))
     copies = F.coalesce("_n", F.lit(0)) + F.coalesce("_m", F.lit(0))
     return out.select(
@@ -269,20 +283,20 @@ def mix(
     _, targets, blocks, picked = _prepared(docs, "mix", id_col, text_col, source_col, weights, share, most, seed)
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc")).select(
-        "_doc", F.col(f"_doc.{id_col}").alias("_id"), row_key(f"_doc.{text_col}").alias("_row"),
+        "_doc", F.col(f"_doc.{id_col}").alias("_id"), _row(F.col(f"_doc.{text_col}"), F.col(f"_doc.{source_col}")),
         F.col(f"_doc.{source_col}").cast("string").alias("_source"),
     )
     placed = blocked(rows, targets, seed)
     whole = blocks.groupBy(F.col("_source").alias("_s"), F.col("_block").alias("_b")).agg(F.collect_list(F.struct("_copy", "_shard")).alias("_w"))
     single = picked.groupBy(F.col("_id").alias("_i"), F.col("_row").alias("_r")).agg(F.collect_list(F.struct("_copy", "_shard")).alias("_p"))
-    out = placed.join(F.broadcast(whole), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left")
-    if single.count() <= MOST_BLOCKS:
-        single = F.broadcast(single)
-    out = out.join(single, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")), "left")
+    out = placed.join(_small(whole, BROADCAST_ROWS), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left")
+    out = out.join(_small(single, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")), "left")
     none = F.array().cast("array<struct<_copy:int,_shard:int>>")
     taken = out.select("_doc", "_order", F.explode(F.concat(F.coalesce("_w", none), F.coalesce("_p", none))).alias("_take"))
     shuffled = taken.select("_doc", F.col("_take._shard").alias("_shard"), F.xxhash64("_order", "_take._copy").alias("_at"))
-    return shuffled.repartition("_shard").sortWithinPartitions("_shard", "_at").select("_doc.*")
+    # A shard's order is cut into slices, so that it is not one task; slice after slice is the whole order.
+    sliced = shuffled.withColumn("_slice", F.floor((F.col("_at") / 2.0**63 + 1) / 2 * SLICES).cast("int"))
+    return sliced.repartition("_shard", "_slice").sortWithinPartitions("_shard", "_slice", "_at").select("_doc.*")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,14 +45,44 @@ def test_targets(spark, sizes):
 
 def test_splitting_tree_is_exact():
     quotas = np.array([5, 0, 17, 1, 400])
-    parts = [split_quotas(quotas, 7, i, 3) for i in range(7)]
-    assert (sum(p for p, _ in parts) == quotas).all() and all((p >= 0).all() for p, _ in parts)
-    run = np.zeros(5, int)
-    for own, before in parts:
-        assert (before == run).all()
-        run = run + own
-    sizes = [int(p.sum()) for p, _ in parts]
-    assert max(sizes) - min(sizes) <= 3
+    runs, sizes = collections.defaultdict(list), collections.Counter()
+    for shard, some, first, last in split_quotas(quotas, 7, 3):
+        assert (last > first).all()
+        sizes[shard] += int((last - first).sum())
+        for k, a, b in zip(some.tolist(), first.tolist(), last.tolist()):
+            runs[k] += range(a, b)
+    assert {k: sorted(v) for k, v in runs.items()} == {k: list(range(n)) for k, n in enumerate(quotas.tolist()) if n}
+    assert max(sizes.values()) - min(sizes.values()) <= 3
+
+
+def test_many_sources_in_several_trees(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 3_000)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    docs = spark.range(10_000).selectExpr("id AS doc_id", "repeat('w ', CAST(1 + id % 4 AS INT)) AS text", "CONCAT('s', id) AS source")
+    report = mix_report(docs)
+    r = report.selectExpr("count(*) n", "sum(taken) t", "sum(target) w", "max(taken / size) m", "count(DISTINCT source) s").first()
+    assert r.n == r.s == 10_000 and r.m <= 2 and abs(r.t - r.w) < 0.35 * r.w  # a source is one document here
+
+
+@pytest.mark.parametrize("ids", ["same", "own"])
+def test_documents_shared_by_sources(documents, ids):
+    """The same 60 documents in three sources, some rows twice: each source comes near its target, none above 2 times."""
+    rows = []
+    for k, source in enumerate("abc"):
+        rows += [(i if ids == "same" else 1000 * k + i, prose(i, 20 + i), "en", source) for i in range(60)]
+    rows += [(5, prose(5, 25), "en", "a"), (6, prose(6, 26), "en", "a")]
+    report, taken = mix_report(documents(rows)).collect(), collections.Counter()
+    assert len(report) == len(rows)
+    for r in report:
+        assert r.taken in (0, r.size, 2 * r.size)
+        taken[r.source] += r.taken
+    want = {r.source: r.target for r in report}
+    assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] for s in want)
+    words = collections.Counter()
+    for r in mix(documents(rows)).collect():
+        words[r.source] += size(r.text)
+    assert words == taken
 
 
 def corpus():
