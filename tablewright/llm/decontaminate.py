@@ -60,11 +60,10 @@ def _passes(sieve: Column, h: Column) -> Column:
     return bit.bitwiseAND(F.lit(1)) == 1
 
 
-def _plans(lengths: list[int]) -> list[tuple[int, int, list[int]]]:
-    """(k, w, window lengths): which fingerprints find windows of these lengths for certain."""
-    short = [(n, 1, [n]) for n in lengths if n < GRAM]
-    long = [n for n in lengths if n >= GRAM]
-    return short + ([(GRAM, min(long) - GRAM + 1, long)] if long else [])
+def _plan(length: int) -> tuple[int, int]:
+    """(k, w): which fingerprints find windows of this length for certain. Every length has its own, so that a short item
+    makes the fingerprints of longer ones no denser."""
+    return (length, 1) if length < GRAM else (GRAM, length - GRAM + 1)
 
 
 def _windows_of(item_words: str) -> Column:
@@ -73,21 +72,15 @@ def _windows_of(item_words: str) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(F.col(item_words), i, F.lit(WINDOW)), " "))
 
 
-def _extension(w: Column, k: int, width: int, lengths: list[int], sieve: Column, window_sieve: Column):
-    """From the hashes of a text: the windows around its fingerprints that the benchmark may hold."""
-    n = F.size(w)
+def _extension(w: Column, g: Column, length: int, sieve: Column, window_sieve: Column) -> Column:
+    """From the words and hashes of a text: the windows around its fingerprints that the benchmark may hold."""
+    k, width = _plan(length)
 
     def around(at: Column) -> Column:
-        return F.concat(*[
-            F.transform(F.array_distinct(F.flatten(F.transform(at, _starts(n, k, size)))), _window(w, size))
-            for size in lengths
-        ])
+        return F.transform(F.array_distinct(F.flatten(F.transform(at, _starts(F.size(w), k, length)))), _window(w, length))
 
-    def extended(g: Column) -> Column:
-        at = F.filter(_positions(g), lambda i: _passes(sieve, g[i]) & _chosen(g, i, width))
-        return F.filter(let(at, around), lambda x: _passes(window_sieve, F.xxhash64(x["window"])))
-
-    return extended
+    at = F.filter(_positions(g), lambda i: _passes(sieve, g[i]) & _chosen(g, i, width))
+    return F.filter(let(at, around), lambda x: _passes(window_sieve, F.xxhash64(x["window"])))
 
 
 def _starts(n: Column, k: int, size: int):
@@ -119,7 +112,8 @@ def benchmark_spans(
         F.col(item_col).alias("_item"), words(ascii_lower(F.col(item_text_col)), NOT_WORD_RUN).alias("_words"),
     ).where(F.size("_words") > 0)
     length = F.least(F.size("_words"), F.lit(WINDOW))
-    plans = _plans(sorted(r[0] for r in items.select(length).distinct().collect()))  # 13 lengths at most
+    lengths = sorted(r[0] for r in items.select(length).distinct().collect())  # 13 at most
+    sieves = {n: F.lit(_sieve(_marks(items.where(length == n), *_plan(n)), "h")) for n in lengths}
     windows = items.select("_item", F.explode(F.array_distinct(_windows_of("_words"))).alias("_window"))
     window_sieve = F.lit(_sieve(windows.select(F.xxhash64("_window").alias("h")), "h"))
 
@@ -127,9 +121,9 @@ def benchmark_spans(
 
     def hits(w: Column) -> Column:
         found = [F.array().cast("array<struct<start:int,end:int,window:string>>")]
-        for k, width, lengths in plans:
-            sieve = F.lit(_sieve(_marks(items, k, width), "h"))
-            found.append(let(_grams(w, k), _extension(w, k, width, lengths, sieve, window_sieve)))
+        for k in sorted({_plan(n)[0] for n in lengths}):
+            own = [n for n in lengths if _plan(n)[0] == k]
+            found.append(let(_grams(w, k), lambda g: F.concat(*[_extension(w, g, n, sieves[n], window_sieve) for n in own])))
         return F.concat(*found)
 
     spread = text.select(

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from tablewright.llm import decontaminate
 from tablewright.llm.decontaminate import drop_contaminated, find_contamination
 
 from .conftest import prose
@@ -78,3 +79,13 @@ def test_empty_tables(spark, documents, odd_rows):
     assert find_contamination(documents([]), bench).collect() == []
     out = find_contamination(documents(odd_rows), bench.limit(0)).collect()
     assert len(out) == len(odd_rows) and not any(r.contaminated for r in out)
+
+
+def test_a_short_item_leaves_the_fingerprints_of_long_ones_sparse(spark, monkeypatch):
+    seen = {}
+    marks = decontaminate._marks
+    monkeypatch.setattr(decontaminate, "_marks", lambda items, k, w: seen.update({(k, w): marks(items, k, w).distinct().count()}) or marks(items, k, w))
+    bench = spark.createDataFrame([(1, prose(1, 400)), (2, prose(2, 5))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, prose(1, 30))], "doc_id long, text string")
+    assert find_contamination(docs, bench).collect()[0].n_hit == 30
+    assert set(seen) == {(5, 9), (5, 1)} and seen[5, 1] == 1 and seen[5, 9] < 200
