@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 Features = tuple[np.ndarray, np.ndarray]
 
@@ -62,23 +62,49 @@ def chances(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def sample(rows: DataFrame, share: Column) -> DataFrame:
+    """A part of the rows (_id, _text, _label): share of them, and not more by chance than a few. Adds _copy.
+
+    A row is chosen by the hash of its id and text, so rows that share an id, or have none, are chosen each for itself.
+    Of m rows equal in all three, share * m are in the sample, told apart by _copy.
+    """
+    key = ["_id", "_hash", "_label"]
+    hashed = rows.withColumn("_hash", F.xxhash64("_text", F.col("_text").isNull()))
+    luck = F.pmod(F.xxhash64("_id", "_hash", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
+    chosen = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("_m"), F.max(share).alias("_share")).select(
+        *[F.col(c).alias(f"{c}2") for c in key], F.floor(F.col("_m") * F.col("_share") + luck).cast("int").alias("_times"),
+    ).where("_times > 0")
+    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")) & (F.col("_label") == F.col("_label2"))
+    # About as many rows as the sample's bound; copies meet on both sides of the shuffle before one task has them.
+    found = hashed.join(F.broadcast(chosen), same).groupBy(key).agg(F.first("_text").alias("_text"), F.first("_times").alias("_times"))
+    return found.select("_id", "_text", "_label", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
+
+
 def fit(
     sample: DataFrame, n_rows: int, features: Callable[[pa.Array], Iterable[Features]], n_features: int, n_classes: int, set_up: Ftrl,
 ) -> np.ndarray:
-    """Train on the rows (_id, _text, _label) of a bounded sample of about n_rows."""
+    """Train on the rows (_id, _text, _label, _copy) of a bounded sample of about n_rows: the mean of the shards' weights,
+    each counted by its rows."""
     shards = max(1, -(-n_rows // set_up.shard_rows))
-    dealt = sample.withColumn("_shard", F.pmod(F.xxhash64("_id", F.lit("shard")), F.lit(shards)).cast("int"))
+    dealt = sample.withColumn("_shard", F.pmod(F.xxhash64("_id", "_text", "_copy", F.lit("shard")), F.lit(shards)).cast("int"))
 
     def shard(rows: pa.Table) -> pa.Table:
         rows = rows.take(pa.array(np.lexsort((rows["_order"].to_numpy(),)))).combine_chunks()
         texts = pa.concat_arrays(rows["_text"].chunks) if rows.num_rows else pa.array([], pa.string())
         w = fit_rows(list(zip(features(texts), rows["_label"].to_pylist())), n_features, n_classes, set_up)
         at, k = np.nonzero(w)
-        return pa.table({"feature": pa.array(at, pa.int32()), "k": pa.array(k, pa.int32()), "w": w[at, k]})
+        # Feature -1 counts the rows.
+        return pa.table({
+            "feature": pa.array(np.append(at, -1), pa.int32()), "k": pa.array(np.append(k, 0), pa.int32()),
+            "w": np.append(w[at, k] * rows.num_rows, rows.num_rows),
+        })
 
-    ordered = dealt.withColumn("_order", F.xxhash64("_id", F.lit("order"), "_text"))
+    ordered = dealt.withColumn("_order", F.xxhash64("_id", F.lit("order"), "_text", "_copy"))
     found = ordered.groupBy("_shard").applyInArrow(shard, "feature int, k int, w double")
-    out = np.zeros((n_features, 1 if n_classes == 2 else n_classes))
+    out, seen = np.zeros((n_features, 1 if n_classes == 2 else n_classes)), 0.0
     for r in found.groupBy("feature", "k").agg(F.sum("w").alias("w")).collect():
-        out[r["feature"], r["k"]] = r["w"] / shards
-    return out
+        if r["feature"] < 0:
+            seen = r["w"]
+        else:
+            out[r["feature"], r["k"]] = r["w"]
+    return out / max(seen, 1.0)

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .ftrl import Ftrl, chances, fit
+from .ftrl import Ftrl, chances, fit, sample
 from .wordcodes import mix
 
 #: Parameters: hashed n-grams, their longest length, and texts per language that training looks at.
@@ -113,7 +113,8 @@ def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
 def train(rows: DataFrame, *, set_up: Ftrl = Ftrl(alpha=2.0, l1=0.001, l2=0.01), per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
     """A model from rows (_id, _text, _lang); rows with a NULL language are left out; None if no row is left.
 
-    Of languages with more than per_language rows, about that many are used, chosen by hash of the id.
+    Of languages with more than per_language rows, about that many are used, chosen by hash of id and text;
+    repeated and NULL ids make no difference.
     """
     rows = rows.where(F.col("_lang").isNotNull())
     counts = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}  # one row per language
@@ -128,19 +129,17 @@ def train(rows: DataFrame, *, set_up: Ftrl = Ftrl(alpha=2.0, l1=0.001, l2=0.01),
     shares = spark.createDataFrame(
         [(x, i, min(1.0, per_language / counts[x])) for i, x in enumerate(languages)], "_lang string, _label int, _share double",
     )
-    sample = rows.join(F.broadcast(shares), "_lang").where(
-        F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) < 1_000_000 * F.col("_share"),
-    ).select("_id", "_text", "_label")
-    apart = F.pmod(F.xxhash64("_id", F.lit("temperature")), F.lit(CALIBRATION)) == 0
+    chosen = sample(rows.join(F.broadcast(shares), "_lang").select("_id", "_text", "_label", "_share"), F.col("_share"))
+    apart = F.pmod(F.xxhash64("_id", "_text", "_copy", F.lit("temperature")), F.lit(CALIBRATION)) == 0
     n_rows = sum(min(per_language, c) for c in counts.values())
-    model.weights = fit(sample.where(~apart), n_rows, model.features, 1 << BITS, len(languages), set_up)
+    model.weights = fit(chosen.where(~apart), n_rows, model.features, 1 << BITS, len(languages), set_up)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(model.scores(batch.column(0)))), batch.column(1)], names=["scores", "label"])
 
     # At most per_language / CALIBRATION rows per language, one number per language each.
-    seen = sample.where(apart).select("_text", "_label").mapInArrow(run, "scores array<double>, label int").collect()
+    seen = chosen.where(apart).select("_text", "_label").mapInArrow(run, "scores array<double>, label int").collect()
     scores = np.array([r["scores"] for r in seen]).reshape(len(seen), len(languages))
     model.temperature = fit_temperature(scores, np.array([r["label"] for r in seen], int))
     return model

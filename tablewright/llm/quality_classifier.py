@@ -15,10 +15,10 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .ftrl import Ftrl, chances, fit
+from .ftrl import Ftrl, chances, fit, sample
 from .wordcodes import gram_codes, mix, text_blocks, word_codes, word_places
 
-#: Parameters: hashed features, and labelled rows that training looks at (chosen by hash of the id).
+#: Parameters: hashed features, and labelled rows that training looks at (chosen by hash of id and text).
 BITS = 18
 SAMPLE_ROWS = 20_000
 
@@ -76,13 +76,13 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def train(rows: DataFrame, *, set_up: Ftrl = Ftrl(), sample_rows: int = SAMPLE_ROWS) -> np.ndarray | None:
-    """Weights from rows (_id, _text, _label 0 or 1); None without rows. Of more than sample_rows rows, those with the
-    smallest id hashes are used."""
+    """Weights from rows (_id, _text, _label 0 or 1); None without rows. Of more than sample_rows rows about that
+    many are used, chosen by hash of id and text; repeated and NULL ids make no difference."""
     n = rows.count()
     if not n:
         return None
-    chosen = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) < 1_000_000 * sample_rows / n
-    return fit(rows.where(chosen), min(n, sample_rows), features, 1 << BITS, 2, set_up)
+    chosen = sample(rows, F.lit(min(1.0, sample_rows / n)))
+    return fit(chosen, min(n, sample_rows), features, 1 << BITS, 2, set_up)
 
 
 def score_quality(

@@ -5,7 +5,7 @@ import pytest
 import zlib
 
 from tablewright.llm import language_id, quality_classifier
-from tablewright.llm.ftrl import Ftrl, chances, fit_rows
+from tablewright.llm.ftrl import Ftrl, chances, fit_rows, sample
 from tablewright.llm.queries import QUERIES
 
 from .conftest import prose
@@ -50,6 +50,32 @@ def test_quality_is_the_same_again_and_on_a_sample(documents):
     assert quality_classifier.train(rows, sample_rows=50) is not None
 
 
+def scores(documents, weights, texts):
+    rows = quality_classifier.score_quality(documents([(i, t, "en", "a") for i, t in enumerate(texts)]), weights).collect()
+    return np.array([r.score for r in sorted(rows, key=lambda r: r.doc_id)])
+
+
+@pytest.mark.parametrize("ids", ["_id % 2", "IF(_id % 3 = 0, _id, NULL)", "1"])
+def test_repeated_and_null_ids_train_the_same_model(documents, ids):
+    """Rows that share an id are dealt to shards, and chosen for the sample, each for itself."""
+    _, rows = labelled(documents)
+    rows = rows.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.lit(10)))).select(F.expr("_id * 10 + _copies AS _id"), "_text", "_label")
+    texts = [prose(i, 40) for i in range(900, 910)] + [" | ".join(prose(i, 30).split()) for i in range(910, 920)]
+    set_up = Ftrl(shard_rows=250)
+    own = scores(documents, quality_classifier.train(rows, set_up=set_up), texts)
+    shared = scores(documents, quality_classifier.train(rows.withColumn("_id", F.expr(ids)), set_up=set_up), texts)
+    assert np.abs(own - shared).max() < 0.01 and (own[:10] > 0.9).all() and (own[10:] < 0.1).all()
+
+
+@pytest.mark.parametrize("ids", ["_id", "_id % 2", "CAST(NULL AS LONG)"])
+def test_the_sample_keeps_its_bound(spark, ids):
+    rows = spark.range(6000).selectExpr("id AS _id", "IF(id < 2000, 'same', CONCAT('t', id)) AS _text", "CAST(id % 2 AS int) AS _label")
+    got = sample(rows.withColumn("_id", F.expr(ids)), F.lit(0.1))
+    assert 500 <= got.count() <= 700 and got.dropDuplicates(["_id", "_text", "_label", "_copy"]).count() == got.count()
+    assert 170 <= got.where("_text = 'same'").count() <= 230 or ids == "_id"
+    assert sample(rows, F.lit(1.0)).count() == 6000
+
+
 def test_quality_odd_rows(documents, odd_rows):
     _, rows = labelled(documents)
     got = quality_classifier.score_quality(documents(odd_rows), quality_classifier.train(rows)).collect()
@@ -87,6 +113,15 @@ def test_language(documents, odd_rows):
     assert language_id.predict_language(documents([]), model).collect() == []
 
 
+def test_language_of_repeated_ids(documents):
+    rows = spoken(documents)
+    docs = documents([(1, "und die maus nicht der", None, "s"), (2, "THE OF THAT", None, "s"), (3, "dans la maison et", "aa", "s")])
+    own = {r.doc_id: r for r in language_id.predict_language(docs, language_id.train(rows)).collect()}
+    for ids in ("1", "CAST(NULL AS LONG)"):
+        shared = language_id.predict_language(docs, language_id.train(rows.withColumn("_id", F.expr(ids)))).collect()
+        assert all(r.lang_pred == own[r.doc_id].lang_pred and abs(r.score - own[r.doc_id].score) < 0.1 for r in shared)
+
+
 @pytest.mark.parametrize("langs", [[], ["aa"], ["aa", "bb"]])
 def test_few_languages(documents, langs):
     rows = spoken(documents).where(F.col("_lang").isin(langs)) if langs else spoken(documents).limit(0)
