@@ -27,7 +27,7 @@ CACHE = "tokenizer string, digest binary, n_bytes long, n_tokens long"
 
 #: Parameters: tokens beyond which a document is over the limit; missing texts (16 bytes each) that are broadcast at most.
 TOKEN_LIMIT = 1024
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 20_000
 
 
 def tokenizer_digest(path: str) -> str:
