@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import statistics as st
 from tablewright.operators.base import normalise
-from tablewright.operators.quantiles import narrowed_quantiles, number_columns
+from tablewright.operators.quantiles import bracketed_quantiles, number_columns
 from tablewright.plans.answers import chart_data, display_histogram
 
 from .inputs import dirty, rounded, sql_norm, sql_with, stacked, table
@@ -39,7 +39,7 @@ def numeric_summary_by_flag(spark, sf):
 def quantiles_narrowed(spark, sf):
     """Quartiles by repeated narrowing, the way taken when a column has too many distinct values."""
     numbers = number_columns(_lines(spark, sf), MEASURES, ["l_returnflag"])
-    out = narrowed_quantiles(numbers, MEASURES, (0.25, 0.5, 0.75), ["l_returnflag"])
+    out = bracketed_quantiles(numbers, MEASURES, (0.25, 0.5, 0.75), ["l_returnflag"])
     parts = [F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
     return out.select("l_returnflag", "column", "n", *parts)
 

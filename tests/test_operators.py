@@ -13,7 +13,7 @@ from tablewright.operators import signals as sig
 from tablewright.operators import statistics as st
 from tablewright.operators.cleaning import clean, standardize
 from tablewright.operators.filters import apply_filters, filter_audit
-from tablewright.operators.quantiles import narrowed_quantiles, quantiles
+from tablewright.operators.quantiles import bracketed_quantiles, quantiles
 
 
 def table(spark, columns: dict, types: str):
@@ -134,7 +134,7 @@ def test_quantiles_equal_pandas(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     probs = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
     want = pd.Series(values).quantile(probs).to_list()
-    for got in (quantiles(df, ["v"], probs), narrowed_quantiles(df, ["v"], probs)):
+    for got in (quantiles(df, ["v"], probs), bracketed_quantiles(df, ["v"], probs)):
         assert got.first()["q"] == pytest.approx(want, rel=1e-12)
 
 

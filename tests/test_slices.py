@@ -5,13 +5,14 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.operators import quantiles as quantiles_module
 from tablewright.operators import selection
 from tablewright.operators import statistics as st
 from tablewright.operators.cleaning import clean
 from tablewright.operators.duplicates import key_diagnostics
 from tablewright.operators.filters import apply_filters
 from tablewright.operators.profile import type_map
-from tablewright.operators.quantiles import narrowed_quantiles, number_columns, quantiles
+from tablewright.operators.quantiles import bracketed_quantiles, number_columns, quantiles
 from tablewright.session import kept_tables
 from tablewright.sources.delimited import read_csv
 from tablewright.sources.events import event_snapshot
@@ -37,12 +38,49 @@ def test_both_quantile_paths_agree(odd, by):
     assert as_rows(a) == as_rows(b) and any(r[0] == "None" for r in as_rows(a)) == bool(by)
 
 
-def test_narrowing_goes_on_until_buckets_are_small(spark):
-    # One far value squeezes the others of its bucket into one part.
+@pytest.mark.parametrize("rows", [4_000_000, 1])
+def test_far_values_and_a_scan_between(spark, rows):
+    """Values that differ in the last digits, one far from all, and brackets narrowed by a scan of their own."""
     df = spark.range(4000).select((1.0 + F.col("id") * 1e-12).alias("v")).union(spark.createDataFrame([(1.01,)], "v double"))
-    got = narrowed_quantiles(number_columns(df, ["v"]), ["v"], (0.5, 0.999), bucket_rows=50).first()
-    want = quantiles(df, ["v"], (0.5, 0.999)).first()
-    assert got.n == want.n == 4001 and all(math.isclose(a, b, rel_tol=1e-15) for a, b in zip(got.q, want.q))
+    got = bracketed_quantiles(number_columns(df, ["v"]), ["v"], (0.5, 0.999), bracket_rows=rows).first()
+    want = df.agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.999))).alias("q")).first()
+    assert got.n == 4001 and all(math.isclose(a, b, rel_tol=1e-15) for a, b in zip(got.q, want.q))
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+@pytest.mark.parametrize("error", [None, -0.02])
+def test_quantiles_of_many_values(spark, monkeypatch, by, error):
+    """Skewed values, ties over several brackets; with brackets that miss (a negative error), ranks are looked for again."""
+    if error:
+        for name in ("_WHOLE", "_SLICE"):
+            monkeypatch.setattr(quantiles_module, name, (512, error))
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 2).alias("g"), F.exp(F.hash("id") / 2.0**28).alias("a"),
+        F.when(F.col("id") % 5 < 3, 7.0).otherwise(F.floor(F.hash("id") / 1e6).cast("double")).alias("b"),
+    )
+    probs = (0.0, 0.01, 0.25, 0.5, 0.5001, 0.75, 0.999, 1.0)
+    got = bracketed_quantiles(number_columns(df, ["a", "b"], by), ["a", "b"], probs, by, bracket_rows=100 if error is None else 10**9)
+    want = {}
+    for r in df.groupBy(*by).agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in "ab"]).collect():
+        want |= {(str(r["g"]) if by else "", c): r[c] for c in "ab"}
+    found = {(str(r["g"]) if by else "", r["column"]): r["q"] for r in got.collect()}
+    assert found.keys() == want.keys()
+    assert all(math.isclose(x, y, rel_tol=1e-12) for k in want for x, y in zip(found[k], want[k]))
+
+
+def test_quantiles_scan_the_table_twice(spark, tmp_path):
+    """One scan for the sketches, one for the counts: seen by the rows that the scans read."""
+    spark.range(50_000).selectExpr("CAST(hash(id) AS DOUBLE) AS a", "CAST(id AS DOUBLE) AS b").write.parquet(str(tmp_path / "t"))
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.read.parquet(str(tmp_path / "t"))
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    assert len(quantiles(df.mapInArrow(counted, df.schema), ["a", "b"], (0.25, 0.5, 0.75)).collect()) == 2
+    assert seen.value <= 3 * 50_000
 
 
 def test_summary_counts_only_numbers(odd):
