@@ -37,6 +37,8 @@ HIGH_CARDINALITY_MIN = 4
 _SEQUENCE_BLOCK = 1_000_000
 # Texts beyond this size are grouped by a digest.
 _DIGEST_BYTES = 64
+# How a text of that size begins if it is a number or a date: dates with month names are shorter.
+_LONG_START = r"[0-9+\-.,$(]"
 
 
 # --- types ------------------------------------------------------------------------------------------------
@@ -267,7 +269,8 @@ def _key_counts(base: DataFrame, kinds: dict[str, str], parse: bool) -> DataFram
         text = F.col("value")
         long = F.octet_length(text) > _DIGEST_BYTES
         cells = cells.withColumns({"_v": F.when(long, F.concat(F.lit("\0"), F.md5(text))).otherwise(text),
-                                   "_k": F.when(long, F.concat(F.lit("\0"), F.md5(F.lower(text)))), "_long": F.when(long, text)})
+                                   "_k": F.when(long, F.concat(F.lit("\0"), F.md5(F.lower(text)))),
+                               "_long": F.when(long & F.substring(text, 1, 1).rlike(_LONG_START), text)})
         if parse:
             cells = cells.withColumns({"_lx": to_number(F.col("_long"), trimmed=True).isNotNull(), "_ld": to_date_time(F.col("_long"), trimmed=True).isNotNull()})
         else:
