@@ -62,20 +62,26 @@ def chances(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def sample(rows: DataFrame, share: Column) -> DataFrame:
-    """A part of the rows (_id, _text, _label): share of them, and not more by chance than a few. Adds _copy.
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text, text.isNull())
+
+
+def sample(keyed: DataFrame, texts: DataFrame, share: Column) -> DataFrame:
+    """A part of the rows keyed (_id, _hash, _label), the hash being the text's: share of them, and not more by chance than
+    a few; with their text from texts (_id, _text), and _copy.
 
     A row is chosen by the hash of its id and text, so rows that share an id, or have none, are chosen each for itself.
-    Of m rows equal in all three, share * m are in the sample, told apart by _copy.
+    Of m rows equal in all three, share * m are in the sample, told apart by _copy. Texts are not shuffled before they
+    are chosen.
     """
     key = ["_id", "_hash", "_label"]
-    hashed = rows.withColumn("_hash", F.xxhash64("_text", F.col("_text").isNull()))
     luck = F.pmod(F.xxhash64("_id", "_hash", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
-    chosen = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("_m"), F.max(share).alias("_share")).select(
-        *[F.col(c).alias(f"{c}2") for c in key], F.floor(F.col("_m") * F.col("_share") + luck).cast("int").alias("_times"),
+    chosen = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_m"), F.max(share).alias("_share")).select(
+        F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_label", F.floor(F.col("_m") * F.col("_share") + luck).cast("int").alias("_times"),
     ).where("_times > 0")
-    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")) & (F.col("_label") == F.col("_label2"))
+    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))
     # About as many rows as the sample's bound; copies meet on both sides of the shuffle before one task has them.
+    hashed = texts.select("_id", "_text", text_hash(F.col("_text")).alias("_hash"))
     found = hashed.join(F.broadcast(chosen), same).groupBy(key).agg(F.first("_text").alias("_text"), F.first("_times").alias("_times"))
     return found.select("_id", "_text", "_label", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
 

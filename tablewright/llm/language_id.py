@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .ftrl import Ftrl, chances, fit, sample
+from .ftrl import Ftrl, chances, fit, sample, text_hash
 from .wordcodes import mix
 
 #: Parameters: hashed n-grams, their longest length, and texts per language that training looks at.
@@ -129,7 +129,8 @@ def train(rows: DataFrame, *, set_up: Ftrl = Ftrl(alpha=2.0, l1=0.001, l2=0.01),
     shares = spark.createDataFrame(
         [(x, i, min(1.0, per_language / counts[x])) for i, x in enumerate(languages)], "_lang string, _label int, _share double",
     )
-    chosen = sample(rows.join(F.broadcast(shares), "_lang").select("_id", "_text", "_label", "_share"), F.col("_share"))
+    keyed = rows.join(F.broadcast(shares), "_lang").select("_id", text_hash(F.col("_text")).alias("_hash"), "_label", "_share")
+    chosen = sample(keyed, rows, F.col("_share"))
     apart = F.pmod(F.xxhash64("_id", "_text", "_copy", F.lit("temperature")), F.lit(CALIBRATION)) == 0
     n_rows = sum(min(per_language, c) for c in counts.values())
     model.weights = fit(chosen.where(~apart), n_rows, model.features, 1 << BITS, len(languages), set_up)

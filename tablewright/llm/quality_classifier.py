@@ -15,7 +15,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .ftrl import Ftrl, chances, fit, sample
+from .ftrl import Ftrl, chances, fit, sample, text_hash
 from .wordcodes import gram_codes, mix, text_blocks, word_codes, word_places
 
 #: Parameters: hashed features, and labelled rows that training looks at (chosen by hash of id and text).
@@ -75,16 +75,28 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.concatenate([[0], number]).astype(np.int64), np.concatenate([[1.0], value])
 
 
-def train(rows: DataFrame, *, set_up: Ftrl = Ftrl(), sample_rows: int = SAMPLE_ROWS) -> np.ndarray | None:
+def train(
+    rows: DataFrame, texts: DataFrame | None = None, *, set_up: Ftrl = Ftrl(), sample_rows: int = SAMPLE_ROWS,
+) -> np.ndarray | None:
     """Weights from rows (_id, _text, _label 0 or 1); None without rows. Of more than sample_rows rows about that
-    many are used, chosen by hash of id and text; repeated and NULL ids make no difference."""
+    many are used, chosen by hash of id and text; repeated and NULL ids make no difference.
+
+    Rows may have _hash, the hash of their text, and texts (_id, _text) then name where the chosen ones are read.
+    """
     n = rows.count()
     if not n:
         return None
-    chosen = sample(rows, F.lit(min(1.0, sample_rows / n)))
+    keyed = rows if "_hash" in rows.columns else rows.withColumn("_hash", text_hash(F.col("_text")))
+    chosen = sample(keyed.select("_id", "_hash", "_label"), texts if texts is not None else rows, F.lit(min(1.0, sample_rows / n)))
     return fit(chosen, min(n, sample_rows), features, 1 << BITS, 2, set_up)
 
 
+def train_on(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
+    """Weights from the labelled documents that are not held out."""
+    texts = docs.where(~held_out()).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    return train(labelled(docs, labels), texts)
+
+
 def score_quality(
     docs: DataFrame, weights: np.ndarray | None, *, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -128,10 +140,12 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Training rows: labelled documents that are not held out; labels that are neither 0 nor 1 are left out."""
     marks = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("_label"))
     marks = marks.where(~held_out())
-    return docs.where(~held_out()).join(marks, "doc_id").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "_label")
+    # The hash is made before the join, so that where only it is wanted no text is shuffled.
+    texts = docs.where(~held_out()).select("doc_id", F.col("text").alias("_text"), text_hash(F.col("text")).alias("_hash"))
+    return texts.join(marks, "doc_id").select(F.col("doc_id").alias("_id"), "_text", "_hash", "_label")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    weights = train(labelled(docs, table(spark, sf_dir, "labels")))
+    weights = train_on(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, weights).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -5,7 +5,7 @@ import pytest
 import zlib
 
 from tablewright.llm import language_id, quality_classifier
-from tablewright.llm.ftrl import Ftrl, chances, fit_rows, sample
+from tablewright.llm.ftrl import Ftrl, chances, fit_rows, sample, text_hash
 from tablewright.llm.queries import QUERIES
 
 from .conftest import prose
@@ -70,10 +70,13 @@ def test_repeated_and_null_ids_train_the_same_model(documents, ids):
 @pytest.mark.parametrize("ids", ["_id", "_id % 2", "CAST(NULL AS LONG)"])
 def test_the_sample_keeps_its_bound(spark, ids):
     rows = spark.range(6000).selectExpr("id AS _id", "IF(id < 2000, 'same', CONCAT('t', id)) AS _text", "CAST(id % 2 AS int) AS _label")
-    got = sample(rows.withColumn("_id", F.expr(ids)), F.lit(0.1))
+    def some(df, share):
+        return sample(df.withColumn("_hash", text_hash(F.col("_text"))), df, F.lit(share))
+
+    got = some(rows.withColumn("_id", F.expr(ids)), 0.1)
     assert 500 <= got.count() <= 700 and got.dropDuplicates(["_id", "_text", "_label", "_copy"]).count() == got.count()
     assert 170 <= got.where("_text = 'same'").count() <= 230 or ids == "_id"
-    assert sample(rows, F.lit(1.0)).count() == 6000
+    assert some(rows, 1.0).count() == 6000
 
 
 def test_quality_odd_rows(documents, odd_rows):
