@@ -12,13 +12,13 @@ from tablewright.llm.common import Workspace, table
 from tablewright.llm.decontaminate import drop_contaminated
 from tablewright.llm.minhash_dedup import drop_near_duplicates
 from tablewright.llm.mixing import mix
-from tablewright.llm.quality_classifier import keep_good, labelled, train
+from tablewright.llm.quality_classifier import keep_good, train_on
 from tablewright.llm.token_output import default_tokenizer, token_output
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the quality classifier, trained on the labelled documents among these, scores 0.7 or more."""
-    return keep_good(docs, train(labelled(docs, table(spark, sf_dir, "labels"))), least=0.7)
+    return keep_good(docs, train_on(docs, table(spark, sf_dir, "labels")), least=0.7)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
