@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.config import CleaningConfig
+from tablewright.operators.cardinality import column_rules
 from tablewright.operators.cleaning import apply_fills, clean, plan_fills, standardize
-from tablewright.operators.profile import collect_profile, profile_table, type_map
+from tablewright.operators.profile import type_map
 from tablewright.operators.statistics import grouped_metric
 
 from .inputs import DIRTY_TYPES, REPLAYED, dirty, replayed, rounded, sql_with, table
@@ -16,7 +17,7 @@ KEY = ["order_id", "order_date"]
 
 def _filled(spark, sf, config):
     typed = standardize(dirty(spark, sf), DIRTY_TYPES, config)
-    plan = plan_fills(typed, collect_profile(profile_table(typed, DIRTY_TYPES)), config)
+    plan = plan_fills(typed, column_rules(typed, DIRTY_TYPES), config)
     return apply_fills(typed, plan)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.operators import profile as p
+from tablewright.operators.cardinality import column_rules, rules_table
 from tablewright.operators.base import CATEGORICAL, DATE, NUMERIC, columns_of
 from tablewright.operators.scoring import quality_metrics
 from tablewright.operators.cleaning import clean
@@ -94,11 +95,21 @@ def column_classes(spark, sf):
 
 
 def filterable_columns(spark, sf):
-    frames = [
-        p.filterable_columns(p.profile_table(_texts(table(spark, sf, name)))).select(
-            F.lit(name).alias("table_name"), "column", "distinct")
-        for name in ("customer", "part", "lineitem", "events")
-    ]
+    frames = []
+    for name in ("customer", "part", "lineitem", "events"):
+        rules = rules_table(spark, column_rules(_texts(table(spark, sf, name))))
+        frames.append(rules.filter("filterable").select(F.lit(name).alias("table_name"), "column", "distinct"))
+    return stacked(frames)
+
+
+def column_rules_decided(spark, sf):
+    """What a sketch, an exact count of few values or a count along the rows decides, for every column."""
+    frames = []
+    for name, row_id in (("customer", "c_custkey"), ("part", "p_partkey"), ("orders", "o_orderkey"), ("nation", "n_nationkey")):
+        rules = rules_table(spark, column_rules(table(spark, sf, name).withColumn("_row_id", F.col(row_id))))
+        frames.append(rules.select(
+            F.lit(name).alias("table_name"), "column", "non_null", "filterable", "groupable", "high_cardinality", "id_by_name", "id_by_sequence",
+        ))
     return stacked(frames)
 
 
@@ -133,7 +144,7 @@ QUERIES = {
     for f in (
         column_types, column_types_by_status, missing_counts, invalid_numeric, invalid_dates, invalid_counts,
         issue_table, value_frequencies, id_columns, high_cardinality, column_classes, filterable_columns,
-        groupable_columns, dataset_shape, validation_snapshot, cleaning_impact,
+        groupable_columns, dataset_shape, validation_snapshot, cleaning_impact, column_rules_decided,
     )
 }
 
@@ -253,6 +264,16 @@ ORACLES = {
     "groupable_columns": f"""SELECT table_name, "column", "distinct"
         FROM ({_tables('customer', 'part', 'lineitem', 'nation', 'supplier')})
         WHERE "distinct" BETWEEN 2 AND least(30, greatest(8, floor(total * 0.6))) OR (is_text AND n > 0)""",
+    "column_rules_decided": f"""WITH ids AS (
+        {_ids('customer', 'c_custkey', ('c_custkey', 'c_nationkey', 'c_acctbal'), ('c_name', 'c_mktsegment'))}
+        UNION ALL {_ids('part', 'p_partkey', ('p_partkey', 'p_size', 'p_retailprice'), ('p_name', 'p_brand', 'p_type'))}
+        UNION ALL {_ids('orders', 'o_orderkey', ('o_orderkey', 'o_custkey', 'o_totalprice'),
+                        ('o_orderstatus', 'o_orderdate', 'o_orderpriority'))}
+        UNION ALL {_ids('nation', 'n_nationkey', ('n_nationkey', 'n_regionkey'), ('n_name',))})
+        SELECT table_name, "column", n AS non_null, is_text AND "distinct" BETWEEN 2 AND 25 AS filterable,
+          n > 0 AND ("distinct" BETWEEN 2 AND least(30, greatest(8, floor(total * 0.6))) OR is_text) AS groupable,
+          is_text AND n >= 4 AND "distinct" / n >= 0.8 AS high_cardinality, id_by_name, id_by_sequence
+        FROM ({_tables('customer', 'part', 'orders', 'nation')}) JOIN ids USING (table_name, "column")""",
     "dataset_shape": """SELECT 'orders' AS table_name, count(*) AS "rows", 6 AS "columns" FROM orders
         UNION ALL SELECT 'lineitem', count(*), 11 FROM lineitem UNION ALL SELECT 'customer', count(*), 5 FROM customer""",
     "validation_snapshot": f"{sql_with(REPLAYED)} {_METRICS}",

@@ -12,9 +12,9 @@ from ..functions.dates import to_date_time
 from ..functions.numbers import to_number
 from ..functions.text import text_mode
 from ..session import keep
-from .base import CATEGORICAL, DATE, NUMERIC, ROW_ID, UNKNOWN, classes, data_columns, normalise, q
+from .base import CATEGORICAL, DATE, NUMERIC, ROW_ID, UNKNOWN, classes, normalise, q
+from .cardinality import ColumnRules, column_rules
 from .duplicates import duplicate_count, first_rows
-from .profile import ColumnProfile, collect_profile, profile_table
 from .quantiles import quantiles
 from .statistics import top_values
 
@@ -45,7 +45,7 @@ def standardize(df: DataFrame, types: dict[str, str], config=None) -> DataFrame:
 
 @dataclass
 class FillPlan:
-    """The strategy and the fill value chosen for each column, decided from the profile of the typed table."""
+    """The strategy and the fill value chosen for each column, decided from the rules' facts of the typed table."""
 
     strategies: dict[str, str] = field(default_factory=dict)
     protected: dict[str, str] = field(default_factory=dict)
@@ -53,7 +53,7 @@ class FillPlan:
     missing: dict[str, int] = field(default_factory=dict)
 
 
-def plan_fills(typed: DataFrame, profile: dict[str, ColumnProfile], config=None) -> FillPlan:
+def plan_fills(typed: DataFrame, profile: dict[str, ColumnRules], config=None) -> FillPlan:
     """Choose strategies, then compute all fill values in one aggregation per kind.
 
     A column's own strategy wins; otherwise identifiers and high-cardinality texts are left as they are. Dates
@@ -132,7 +132,7 @@ def clean(df: DataFrame, types: dict[str, str], subset=None, config=None, row_id
     cfg = CleaningConfig.of(config)
     subset = list(subset) if subset else None
     typed = keep(standardize(df, types, cfg))  # parsed once, read by the profile, the fills and the result
-    profile = collect_profile(profile_table(typed, types, row_id))
+    profile = column_rules(typed, types, row_id)
     plan = plan_fills(typed, profile, cfg)
     filled = apply_fills(typed, plan)
     if cfg.duplicate_action == "remove":

@@ -192,13 +192,18 @@ def has_id_name(column: Column) -> Column:
 
 
 def sequence_columns(df: DataFrame, columns: list[str], row_id: str = ROW_ID) -> list[str]:
-    """Of these numeric columns, the ones whose values are whole numbers and never rise (or never fall) by row.
+    """Of these numeric columns, the ones whose values are whole numbers and never rise (or never fall) by row."""
+    return list(sequence_values(df, columns, row_id))
+
+
+def sequence_values(df: DataFrame, columns: list[str], row_id: str = ROW_ID) -> dict[str, int]:
+    """The columns that are such sequences, with the exact number of their distinct values.
 
     Rows are compared inside blocks of one million row numbers; the blocks' ends are compared afterwards, so
     neither step gathers the table.
     """
     if not columns:
-        return []
+        return {}
     kinds = classes(df)
     number = {c: q(c).cast("double") if kinds[c] == NUMERIC else to_number(q(c)) for c in columns}
     rows = df.select(
@@ -234,9 +239,11 @@ def sequence_columns(df: DataFrame, columns: list[str], row_id: str = ROW_ID) ->
         up = F.sum(f"up{i}") + F.count_if(first > prev)
         down = F.sum(f"down{i}") + F.count_if(first < prev)
         clean = (F.sum(f"bad{i}") == 0) & (F.sum(f"frac{i}") == 0)
-        checks.append((clean & ((up == 0) | (down == 0))).alias(f"ok{i}"))
+        # A sequence takes a new value wherever it changes.
+        values = F.when(F.max(f"last{i}").isNull(), 0).otherwise(up + down + 1)
+        checks.append(F.when(clean & ((up == 0) | (down == 0)), values).alias(f"ok{i}"))
     found = blocks.agg(*checks).first()
-    return [c for i, c in enumerate(columns) if found[f"ok{i}"]]
+    return {c: found[f"ok{i}"] for i, c in enumerate(columns) if found[f"ok{i}"] is not None}
 
 
 def _key_counts(base: DataFrame, kinds: dict[str, str], parse: bool) -> DataFrame:
