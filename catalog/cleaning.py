@@ -8,6 +8,7 @@ from tablewright.config import CleaningConfig
 from tablewright.operators.cardinality import column_rules
 from tablewright.operators.cleaning import apply_fills, clean, plan_fills, standardize
 from tablewright.operators.profile import type_map
+from tablewright.operators.slices import clean_slices
 from tablewright.operators.statistics import grouped_metric
 
 from .inputs import DIRTY_TYPES, REPLAYED, dirty, replayed, rounded, sql_with, table
@@ -77,11 +78,21 @@ def clean_group_mean(spark, sf):
     return rounded(grouped_metric(rows, "priority", "amount", "mean"), {"value": 4})
 
 
+def clean_by_status(spark, sf):
+    """Every order status is a table of its own: its median, its duplicates."""
+    return clean_slices(replayed(spark, sf), DIRTY_TYPES, ["status"], KEY).rows.withColumnRenamed("_row_id", "row_id")
+
+
+def clean_by_status_log(spark, sf):
+    log = clean_slices(replayed(spark, sf), DIRTY_TYPES, ["status"], KEY).log
+    return log.withColumn("value", F.round(F.col("value").try_cast("double"), 4)).drop("ord")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         fill_median, fill_mean, fill_mode, fill_unknown, fill_overrides, fill_protection, clean_table, clean_log,
-        clean_group_mean,
+        clean_group_mean, clean_by_status, clean_by_status_log,
     )
 }
 
@@ -94,7 +105,22 @@ _TITLE = (
     "lambda x: upper(x[1]) || x[2:]), '')"
 )
 
+_BY_STATUS = f"""{sql_with(REPLAYED)}, med AS (SELECT status, median(amount) AS m FROM typed GROUP BY status),
+  filled AS (SELECT _row_id, order_id, coalesce(priority, 'Unknown') AS priority, coalesce(amount, m) AS amount, order_date, t.status
+    FROM typed t JOIN med ON t.status IS NOT DISTINCT FROM med.status),
+  firsts AS (SELECT min(_row_id) AS r FROM filled GROUP BY status, order_id, order_date),
+  cleaned AS (SELECT * FROM filled WHERE _row_id IN (SELECT r FROM firsts))"""
+
 ORACLES = {
+    "clean_by_status": f"{_BY_STATUS} SELECT _row_id AS row_id, * EXCLUDE (_row_id) FROM cleaned",
+    "clean_by_status_log": f"""{_BY_STATUS}
+        SELECT status, 'order_id' AS "column", 'protect' AS action, 0 AS n, NULL::DOUBLE AS value FROM med
+        UNION ALL SELECT status, 'priority', 'fill', count(*), NULL FROM typed WHERE priority IS NULL GROUP BY status
+        UNION ALL SELECT t.status, 'amount', 'fill', count(*), round(any_value(m), 4) FROM typed t JOIN med USING (status)
+          WHERE amount IS NULL GROUP BY t.status
+        UNION ALL SELECT status, 'order_date', 'keep_blank', count(*), NULL FROM typed WHERE order_date IS NULL GROUP BY status
+        UNION ALL SELECT f.status, NULL, 'remove_duplicates', count(*) - (SELECT count(*) FROM cleaned c WHERE c.status = f.status), NULL
+          FROM filled f GROUP BY f.status""",
     "fill_median": f"{sql_with()}, {_FILLED} SELECT _row_id AS row_id, amount FROM filled",
     "fill_mean": f"""{sql_with()} SELECT _row_id AS row_id,
         round(coalesce(amount, (SELECT avg(amount) FROM typed)), 4) AS amount FROM typed""",

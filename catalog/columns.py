@@ -270,10 +270,10 @@ ORACLES = {
         UNION ALL {_ids('orders', 'o_orderkey', ('o_orderkey', 'o_custkey', 'o_totalprice'),
                         ('o_orderstatus', 'o_orderdate', 'o_orderpriority'))}
         UNION ALL {_ids('nation', 'n_nationkey', ('n_nationkey', 'n_regionkey'), ('n_name',))})
-        SELECT table_name, "column", n AS non_null, is_text AND "distinct" BETWEEN 2 AND 25 AS filterable,
-          n > 0 AND ("distinct" BETWEEN 2 AND least(30, greatest(8, floor(total * 0.6))) OR is_text) AS groupable,
-          is_text AND n >= 4 AND "distinct" / n >= 0.8 AS high_cardinality, id_by_name, id_by_sequence
-        FROM ({_tables('customer', 'part', 'orders', 'nation')}) JOIN ids USING (table_name, "column")""",
+        SELECT table_name, "column", n AS non_null, is_text AND d."distinct" BETWEEN 2 AND 25 AS filterable,
+          n > 0 AND (d."distinct" BETWEEN 2 AND least(30, greatest(8, floor(total * 0.6))) OR is_text) AS groupable,
+          is_text AND n >= 4 AND d."distinct" / n >= 0.8 AS high_cardinality, id_by_name, id_by_sequence
+        FROM ({_tables('customer', 'part', 'orders', 'nation')}) AS d JOIN ids USING (table_name, "column")""",
     "dataset_shape": """SELECT 'orders' AS table_name, count(*) AS "rows", 6 AS "columns" FROM orders
         UNION ALL SELECT 'lineitem', count(*), 11 FROM lineitem UNION ALL SELECT 'customer', count(*), 5 FROM customer""",
     "validation_snapshot": f"{sql_with(REPLAYED)} {_METRICS}",

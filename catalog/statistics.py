@@ -62,6 +62,20 @@ def correlation_pairs(spark, sf):
     return rounded(st.correlation_pairs(df), {"r": 6})
 
 
+# Thirty columns made of all lines, with gaps in different rows: 435 pairs.
+WIDE = {
+    f"w{k}": f"CASE WHEN (l_orderkey * 31 + l_linenumber * 17 + {13 * k}) % 5 <> 0 "
+    f"THEN l_quantity * {k % 4 + 1} + l_extendedprice / 1000 * {k % 3} + (l_partkey * {k + 1}) % 97 + {10 ** (k % 9)} END"
+    for k in range(29)
+} | {"same": "CASE WHEN l_linenumber > 1 THEN 3.5 END"}
+
+
+def correlation_wide(spark, sf):
+    """All pairs of a wide table from one scan; the pairs with the constant column have no correlation."""
+    df = table(spark, sf, "lineitem").select(*[F.expr(f"CAST({e} AS DOUBLE)").alias(c) for c, e in WIDE.items()])
+    return rounded(st.correlation_pairs(df), {"r": 6})
+
+
 def strongest_correlation(spark, sf):
     pairs = st.correlation_pairs(_lines(spark, sf), MEASURES)
     return rounded(st.strongest_correlation(pairs).drop("reason"), {"r": 6})
@@ -181,7 +195,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         numeric_summary, numeric_summary_by_flag, quantiles_narrowed, top_values, correlation_matrix,
-        correlation_pairs, strongest_correlation, strongest_by_status, outliers, outliers_by_status, outlier_table,
+        correlation_pairs, correlation_wide, strongest_correlation, strongest_by_status, outliers, outliers_by_status, outlier_table,
         heaviest_outlier, group_count, group_natural, group_by_date, top_categories, histogram, histogram_display,
         box_stats, box_by_group, scatter_points, completeness, completeness_by_status, leading_share, widest_columns,
         chart_bar, chart_line,
@@ -286,6 +300,8 @@ ORACLES = {
           CASE WHEN l_suppkey % 4 <> 0 THEN l_extendedprice END AS b, l_discount AS c, 1.0::DOUBLE AS d FROM lineitem)
         SELECT pair_ord, column_a, column_b, CASE WHEN column_b <> 'd' THEN round(r, 6) END AS r, n
         FROM ({_pairs(('a', 'b', 'c', 'd'), 't')})""",
+    "correlation_wide": f"""WITH t AS (SELECT {', '.join(f'CAST({e} AS DOUBLE) AS {c}' for c, e in WIDE.items())} FROM lineitem)
+        SELECT pair_ord, column_a, column_b, CASE WHEN column_b <> 'same' THEN round(r, 6) END AS r, n FROM ({_pairs(WIDE, 't')})""",
     "strongest_correlation": f"""SELECT column_a, column_b, round(r, 6) AS r, n, {_SUPPORT}
         FROM ({_pairs(MEASURES, 'lineitem')}) ORDER BY abs(r) DESC, n DESC, pair_ord LIMIT 1""",
     "strongest_by_status": f"""WITH {_TAIL}, h AS (SELECT *, o_totalprice / 2 + o_orderkey % 1000 AS half FROM tailed),

@@ -197,22 +197,31 @@ def sequence_columns(df: DataFrame, columns: list[str], row_id: str = ROW_ID) ->
 
 
 def sequence_values(df: DataFrame, columns: list[str], row_id: str = ROW_ID) -> dict[str, int]:
-    """The columns that are such sequences, with the exact number of their distinct values.
+    """The columns that are such sequences, with the exact number of their distinct values."""
+    if not columns:
+        return {}
+    found = sequences(df, columns, row_id).first()
+    return {c: found[f"v{i}"] for i, c in enumerate(columns) if found[f"v{i}"] is not None}
+
+
+def sequences(df: DataFrame, columns: list[str], row_id: str = ROW_ID, by=()) -> DataFrame:
+    """``(by..., v0, v1, ...)``: per slice and column the number of distinct values, NULL where it is no sequence.
 
     Rows are compared inside blocks of one million row numbers; the blocks' ends are compared afterwards, so
     neither step gathers the table.
     """
-    if not columns:
-        return {}
+    by = list(by)
+    slices = [F.col(f"_s{i}") for i in range(len(by))]
     kinds = classes(df)
     number = {c: q(c).cast("double") if kinds[c] == NUMERIC else to_number(q(c)) for c in columns}
     rows = df.select(
+        *[q(b).alias(f"_s{i}") for i, b in enumerate(by)],
         q(row_id).alias("_r"),
         F.floor(q(row_id) / _SEQUENCE_BLOCK).alias("_b"),
         *[number[c].alias(f"v{i}") for i, c in enumerate(columns)],
         *[q(c).isNotNull().alias(f"p{i}") for i, c in enumerate(columns)],
     )
-    earlier = W.partitionBy("_b").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*slices, "_b").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumns(
         {f"u{i}": F.last(f"v{i}", ignorenulls=True).over(earlier) for i in range(len(columns))}
     )
@@ -227,9 +236,9 @@ def sequence_values(df: DataFrame, columns: list[str], row_id: str = ROW_ID) ->
             F.min_by(v, F.when(v.isNotNull(), F.col("_r"))).alias(f"first{i}"),
             F.max_by(v, F.when(v.isNotNull(), F.col("_r"))).alias(f"last{i}"),
         ]
-    blocks = rows.groupBy("_b").agg(*aggs)
-    # One row per million rows remains, so ordering all blocks together is cheap.
-    before = W.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    blocks = rows.groupBy(*slices, "_b").agg(*aggs)
+    # One row per slice and million rows remains, so ordering all blocks together is cheap.
+    before = W.partitionBy(*slices, F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumns(
         {f"prev{i}": F.last(f"last{i}", ignorenulls=True).over(before) for i in range(len(columns))}
     )
@@ -241,9 +250,10 @@ def sequence_values(df: DataFrame, columns: list[str], row_id: str = ROW_ID) ->
         clean = (F.sum(f"bad{i}") == 0) & (F.sum(f"frac{i}") == 0)
         # A sequence takes a new value wherever it changes.
         values = F.when(F.max(f"last{i}").isNull(), 0).otherwise(up + down + 1)
-        checks.append(F.when(clean & ((up == 0) | (down == 0)), values).alias(f"ok{i}"))
-    found = blocks.agg(*checks).first()
-    return {c: found[f"ok{i}"] for i, c in enumerate(columns) if found[f"ok{i}"] is not None}
+        checks.append(F.when(clean & ((up == 0) | (down == 0)), values).alias(f"v{i}"))
+    return blocks.groupBy(*slices).agg(*checks).select(
+        *[c.alias(b) for c, b in zip(slices, by)], *[f"v{i}" for i in range(len(columns))],
+    )
 
 
 def _key_counts(base: DataFrame, kinds: dict[str, str], parse: bool) -> DataFrame:

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.labels import correlation_reason, correlation_support, relationship_strength
 from ..functions.numbers import to_number
 from .base import CATEGORICAL, DATE, NUMERIC, as_text, classes, columns_of, data_columns, join_slices, q, stack
+from .gram import gram_correlations
 from .profile import value_frequencies
 from .quantiles import number_columns, quantiles
 
-# Pairs of columns per aggregation; more pairs take further passes over the (cached) table.
-PAIRS_PER_PASS = 300
+# Pairs of columns per aggregation; more take matrix products, or per slice further passes over the table.
+PAIRS_PER_PASS = 66
 MISSING_GROUP = "Missing"
 
 
@@ -133,12 +134,14 @@ def completeness(df: DataFrame, by=()) -> DataFrame:
 def correlation_pairs(df: DataFrame, columns=None, by=()) -> DataFrame:
     """Pearson correlation and complete rows of every pair of columns; constant columns give NULL.
 
-    All pairs are moments of one aggregation over the table. A pair uses only the rows where both cells are
-    filled, so each side's deviation is taken over those rows.
+    Pairs are moments of one aggregation over the table; those of wide tables are blocks of matrix products, also in
+    one scan. A pair uses only the rows where both cells are filled, so each side's deviation is taken over those rows.
     """
-    columns = columns or columns_of(df, NUMERIC, by)
+    columns = list(columns or columns_of(df, NUMERIC, by))
     pairs = list(combinations(columns, 2))
     numbers = number_columns(df, columns, by)
+    if not by and len(pairs) > PAIRS_PER_PASS:
+        return gram_correlations(numbers, columns)
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start : start + PAIRS_PER_PASS]
@@ -150,10 +153,13 @@ def correlation_pairs(df: DataFrame, columns=None, by=()) -> DataFrame:
                 F.stddev_samp(F.when(both, q(a))).alias(f"a{i}"),
                 F.stddev_samp(F.when(both, q(b))).alias(f"b{i}"),
                 F.count_if(both).alias(f"n{i}"),
+                # Rounding can leave a constant column a deviation; its ends cannot differ.
+                (F.min(F.when(both, q(a))) < F.max(F.when(both, q(a)))).alias(f"u{i}"),
+                (F.min(F.when(both, q(b))) < F.max(F.when(both, q(b)))).alias(f"v{i}"),
             ]
         rows = []
         for i, (a, b) in enumerate(chunk):
-            r = F.try_divide(F.col(f"c{i}"), F.col(f"a{i}") * F.col(f"b{i}"))
+            r = F.when(F.col(f"u{i}") & F.col(f"v{i}"), F.try_divide(F.col(f"c{i}"), F.col(f"a{i}") * F.col(f"b{i}")))
             rows.append(
                 {
                     "pair_ord": F.lit(start + i),
