@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import scoring as sc
 from tablewright.operators.base import normalise
 from tablewright.operators.cleaning import standardize
+from tablewright.operators.duplicates import key_diagnostics
 from tablewright.operators.profile import invalid_values, missing_counts, profile_table, collect_profile
 from tablewright.operators.selection import ColumnChoice, choose_columns
 from tablewright.operators.statistics import completeness, numeric_summary, outlier_summary, top_values
@@ -133,8 +134,12 @@ def confidence_breakdown(spark, sf):
 
 
 def run_report(spark, sf):
-    findings = _findings(spark, sf, "status")
-    return documents.run_report(findings, narrative.insight_sections(findings))
+    findings, raw = _findings(spark, sf, "status"), replayed(spark, sf)
+    static = {
+        "file_name": '"orders"', "applied_filters": "[]",
+        "duplicate_diagnostics": documents.row_as_json(key_diagnostics(raw, KEY, ["order_id"])),
+    }
+    return documents.run_report(findings, narrative.insight_sections(findings), static)
 
 
 def decision_brief(spark, sf):

@@ -9,6 +9,7 @@ from ..functions.keys import content_key
 from ..functions.numbers import display_number
 from ..operators.base import DATE, NUMERIC
 from ..operators.profile import issue_table
+from ..operators.scoring import confidence_lines, quality_lines
 from .findings import SLICE
 from .narrative import SECTIONS, insight_sections
 
@@ -37,7 +38,11 @@ def _texts_per_slice(sections: DataFrame) -> DataFrame:
 
 
 def run_report(findings: DataFrame, sections: DataFrame, static: dict[str, str] | None = None) -> DataFrame:
-    """``(slice, report)``: the nested summary of a run as JSON. ``static`` holds JSON texts added as they are."""
+    """``(slice, report)``: the nested summary of a run as JSON.
+
+    ``static`` holds JSON texts about the whole run; they are parsed into the document as variants, so a text that is no
+    JSON raises instead of spoiling the document.
+    """
     texts = _texts_per_slice(sections)
     f = findings.join(texts, SLICE, "left")
     body = F.struct(
@@ -53,15 +58,20 @@ def run_report(findings: DataFrame, sections: DataFrame, static: dict[str, str]
             F.col("segment").alias("segment_signal"), F.col("outlier_columns").alias("outlier_summary"),
         ).alias("analysis_summary"),
         F.struct(
-            "quality_score", "quality_label", "confidence_score", "confidence_label", "confidence_reasons",
+            "quality_score", "quality_label", quality_lines().alias("quality_score_breakdown"), "confidence_score", "confidence_label",
+            "confidence_reasons", confidence_lines().alias("confidence_breakdown"),
             "executive_summary", "risk_flags", "next_steps", "next_questions", "assumption_badges",
         ).alias("insight_summary"),
         F.col("charts").alias("chart_recommendations"),
+        *[F.parse_json(F.lit(text)).alias(name) for name, text in (static or {}).items()],
     )
-    report = F.to_json(body)
-    for name, text in (static or {}).items():
-        report = F.concat(F.regexp_replace(report, r"\}$", ""), F.lit(f',"{name}":{text}}}'))
-    return f.select(SLICE, report.alias("report"))
+    return f.select(SLICE, F.to_json(body).alias("report"))
+
+
+def row_as_json(df: DataFrame) -> str:
+    """The only row of a table as a JSON text; null if it has none."""
+    first = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("j")).first()
+    return first["j"] if first else "null"
 
 
 def _rounded_correlation() -> Column:
@@ -95,10 +105,10 @@ def decision_brief(
         return F.when(F.coalesce(F.size(c), F.lit(0)) > 0, section(title, c)).otherwise(fixed())
 
     head = F.concat(
-        fixed(BRIEF_TITLE, "", f"- File: {source}", f"- View: {view}", f"- Insight audience: {audience_label}"),
+        fixed(BRIEF_TITLE, "", f"- File: {source}", f"- View: {view}", f"- Audience: {audience_label}"),
         F.array(
-            F.format_string("- Heuristic readiness score: %d/100 (%s)", "quality_score", "quality_label"),
-            F.format_string("- Heuristic narrative confidence: %s", "confidence_label"),
+            F.format_string("- Readiness: %d (%s)", "quality_score", "quality_label"),
+            F.format_string("- Confidence: %s", "confidence_label"),
         ),
     )
     charts = F.transform(F.slice("charts", 1, 3), lambda c: F.concat(c["key"], F.lit(": "),

@@ -144,6 +144,10 @@ def _view(
         "cleaning_config": json.dumps(config.to_dict()), "preferences": json.dumps(prefs.to_dict()),
         "applied_filters": json.dumps(list(filters)), "cleaning_impact": json.dumps(impact_lines),
         "transformation_log": json.dumps(log_lines),
+        "ingestion_metadata": documents.row_as_json(upload.csv.metrics) if upload.csv else "null",
+        "duplicate_diagnostics": documents.row_as_json(
+            key_diagnostics(upload.raw, subset, [n for n, p in upload.profile.items() if p.is_id])
+        ),
     }
     report = documents.run_report(findings, sections, static)
     from .narrative import AUDIENCES

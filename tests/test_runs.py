@@ -72,6 +72,9 @@ def test_base_run(run):
     report = json.loads(base.view.report.first()["report"])
     assert report["file_name"] == "sales.csv" and report["view_label"] == "cleaned dataset"
     assert report["analysis_summary"]["shape"] == {"rows": 25, "columns": 5}
+    assert report["ingestion_metadata"]["record_count"] == 26 and report["duplicate_diagnostics"]["total_rows"] == 25
+    assert [x["penalty"] for x in report["insight_summary"]["quality_score_breakdown"]][3] == 0
+    assert all(x["penalty"] > 0 for x in report["insight_summary"]["confidence_breakdown"])
     assert {m["metric"]: m["after"] for m in base.impact.collect()}["invalid numeric values"] == 0
     brief = base.view.brief.first()["brief"]
     order = [brief.index(f"## {t}") for t in ("Executive Summary", "Top Risk", "Cleaning Impact", "Scoring Note", "Column Roles")]
