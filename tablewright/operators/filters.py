@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import to_date_time
 from ..functions.numbers import to_number
@@ -21,12 +23,41 @@ def _moment(df: DataFrame, c: str) -> Column:
     return q(c) if classes(df)[c] == DATE else to_date_time(q(c).cast("string"))
 
 
+_WHOLE = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
+
+
+def _whole(v) -> int | None:
+    """A value as a whole number, None if it is none: 1.9 is not cut to 1."""
+    try:
+        number = Decimal(v.strip() if isinstance(v, str) else str(v) if isinstance(v, float) else v)
+        return int(number) if number == number.to_integral_value() else None
+    except (ArithmeticError, ValueError, TypeError):
+        return None
+
+
+def _same_number(given, held) -> bool:
+    """Whether a value that was cast to a decimal or double is still the one given; others are not numbers."""
+    if not isinstance(held, (Decimal, float)):
+        return True
+    try:
+        return Decimal(str(given).strip()) == Decimal(str(held)) or float(given) == float(held) and isinstance(held, float)
+    except (ArithmeticError, ValueError, TypeError):
+        return False
+
+
 def _is_any(df: DataFrame, c: str, values) -> Column:
-    """Whether the cell is one of the values; a value that the column's type cannot hold matches nothing."""
+    """Whether the cell is one of the values; a value that the column's type cannot hold exactly matches nothing."""
     dtype = df.schema[c].dataType
-    casts = [F.lit(v).try_cast(dtype) for v in values]
-    held = df.sparkSession.range(1).select(*[x.alias(f"v{i}") for i, x in enumerate(casts)]).first()
-    kept = [F.lit(v).cast(dtype) for v in held if v is not None]
+    if isinstance(dtype, T.StringType):
+        kept = [F.lit(str(v).lower() if isinstance(v, bool) else str(v)) for v in values if v is not None]
+    elif type(dtype) in _WHOLE:
+        limit = 1 << _WHOLE[type(dtype)]
+        kept = [F.lit(n).cast(dtype) for n in map(_whole, values) if n is not None and -limit <= n < limit]
+    else:
+        # Few literals of a type that only Spark reads: dates, decimals, booleans.
+        casts = [F.lit(v).try_cast(dtype) for v in values]
+        held = df.sparkSession.range(1).select(*[x.alias(f"v{i}") for i, x in enumerate(casts)]).first()
+        kept = [F.lit(h).cast(dtype) for v, h in zip(values, held) if h is not None and _same_number(v, h)]
     return q(c).isin(*kept) if kept else F.lit(False)
 
 

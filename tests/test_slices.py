@@ -114,6 +114,14 @@ def test_filter_values_of_another_type(spark):
     assert apply_filters(df, {"s": ["b", 1]})[0].count() == 1
 
 
+@pytest.mark.parametrize("kind", ["int", "long", "decimal(10,0)", "double"])
+def test_filter_values_are_not_cut(spark, kind):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "n int").selectExpr(f"CAST(n AS {kind}) AS n")
+    assert [int(r.n) for r in apply_filters(df, {"n": [1.9, 2.0]})[0].collect()] == [2]
+    assert apply_filters(df, {"n": [1e30, float("nan"), float("inf"), "1.5"]})[0].count() == 0
+    assert apply_filters(df, {"n": [1, "2 ", None, True]})[0].count() in (1, 2)
+
+
 def test_equal_times_do_not_change_the_snapshot(spark):
     rows = [("t1", f"type{i}", "ok", f"r{i}") for i in range(5)]
     for some in (rows, rows[::-1]):
