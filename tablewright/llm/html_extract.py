@@ -54,7 +54,15 @@ MARKS = frozenset(
     "ad ads adsense advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu "
     "menubar breadcrumb breadcrumbs sidebar sidenav rail footer masthead cookie cookies consent gdpr notice notices notification alert "
     "popup modal overlay comment comments commentlist respond reply replies disqus share sharing social related recommended newsletter "
-    "subscribe subscription signup login search searchbox pagination pager skip widget toolbar complementary contentinfo dialog form".split()
+    "subscribe subscription signup login search searchbox pagination pager skip widget toolbar complementary contentinfo dialog form "
+    "discussion discussions feedback reactions responses guestbook".split()
+)
+#: Words that may stand beside a mark in one name: where a slot is and what it is made of. Any other word means another
+#: thing: `no-sidebar` and `notice-of-works` are no marks, `sidebar-left` and `post-comments` are.
+AROUND = frozenset(
+    "top bottom left right inner outer wrap wrapper container holder box block area section slot bar list item items unit group row "
+    "col column primary secondary first last site page post entry article user reader head title body button link links icon icons "
+    "panel pane module zone frame small large mini mobile desktop fixed sticky global main".split()
 )
 MAIN = frozenset(["article", "main"])
 #: Elements that no mark removes.
@@ -76,14 +84,28 @@ def _label(tag: str, marks: str) -> str:
     return tag if tag in UNMARKED else " ".join([tag, *(w for w in marks.split() if not w.isdigit())])
 
 
+def _named(attributes: str) -> tuple[str, frozenset[str]]:
+    """The words and numbers of class, id and role, and the words among them that mark a slot: those of names that say
+    nothing else."""
+    words, slots = set(), set()
+    for value in _mark.findall(attributes):
+        for name in "".join(value[1:]).split():
+            own = {w.lower() for w in _words.findall(name)}
+            words |= own
+            found = own & MARKS
+            if found and all(w in MARKS or w in AROUND or w.isdigit() for w in own):
+                slots |= found
+    return " ".join(sorted(words)), frozenset(slots)
+
+
 class Node:
-    """An element: its tag, its marks (words and numbers of class, id and role), its label, what is in it (texts and elements), its place in
-    page order and, once asked for, its text."""
+    """An element: its tag, its marks (words and numbers of class, id and role), those of them that mark a slot, its label, what is in
+    it (texts and elements), its place in page order and, once asked for, its text."""
 
-    __slots__ = ("tag", "marks", "label", "inside", "number", "size", "_shape", "_kids")
+    __slots__ = ("tag", "marks", "slots", "label", "inside", "number", "size", "_shape", "_kids")
 
-    def __init__(self, tag: str, marks: str, number: int):
-        self.tag, self.marks, self.label, self.inside, self.number = tag, marks, _label(tag, marks), [], number
+    def __init__(self, tag: str, marks: str, number: int, slots: frozenset[str] = frozenset()):
+        self.tag, self.marks, self.slots, self.label, self.inside, self.number = tag, marks, slots, _label(tag, marks), [], number
         self.size, self._shape, self._kids = 0, None, None
 
     @property
@@ -152,7 +174,8 @@ def parse(page: str) -> Node:
                 elif stack[i].tag in BLOCKS and stack[i].tag not in ("p", "li", "td", "th", "tr", "dt", "dd"):
                     break
                 i -= 1
-        node = Node(name, " ".join(sorted({w.lower() for v in _mark.findall(attributes) for w in _words.findall("".join(v[1:]))})) if attributes else "", number)
+        marks, slots = _named(attributes) if attributes else ("", frozenset())
+        node = Node(name, marks, number, slots)
         number += 1
         stack[-1].inside.append(node)
         closed = name in VOID or attributes.rstrip().endswith("/") and name not in BLOCKS
@@ -283,8 +306,8 @@ def marked(top: Node, skip: frozenset[int] = frozenset(), *, headers: bool = Tru
     slots hold as much together. Text in skip, and in headers unless they are wanted, is not counted.
     """
     nodes = preorder(top)
-    words = {x.number: MARKS.intersection(x.marks.split()) for x in nodes if x.marks and x.tag not in UNMARKED}
-    slots = {n for n, found in words.items() if found}
+    words = {x.number: x.slots for x in nodes if x.slots and x.tag not in UNMARKED}
+    slots = set(words)
     if not slots:
         return frozenset()
     weight = {}
@@ -400,17 +423,15 @@ def counts(reference: Node, texts: Texts, page: Node) -> tuple[list[int], list[i
     return [x.number for x, _ in pairs], [x.number for x, y in pairs if texts.same(x.number, own, y.number)]
 
 
-def extract(page: Node, reference: Node | None, template: frozenset[int]) -> str:
-    """The main text of a page by its host's wrapper.
-
-    Content are the page's article and main elements without marked slots. Text inside them is never template, as a host
-    may hold many copies of an article. Pages without such text give every slot that varies, or, where nothing varies,
-    all slots.
-    """
+def own_text(page: Node) -> str:
+    """The text of the page's article and main elements without marked slots. It needs no wrapper: text inside them is
+    never template, as a host may hold many copies of an article."""
     slots = marked(page)
-    text = "\n".join(t for t in (text_of(x, slots) for x in mains(page, slots)) if t)
-    if text:
-        return text
+    return "\n".join(t for t in (text_of(x, slots) for x in mains(page, slots)) if t)
+
+
+def varying_text(page: Node, reference: Node | None, template: frozenset[int]) -> str:
+    """The text of every slot that varies between the pages of a group, or, where nothing varies, of all slots."""
     pairs = align(reference, page) if reference and template else []
     same = frozenset(y.number for x, y in pairs if x.number in template)
     text = text_of(page, same | marked(page, same, headers=False), headers=False)
@@ -418,6 +439,11 @@ def extract(page: Node, reference: Node | None, template: frozenset[int]) -> str
     return text or text_of(page, marked(page, headers=False), headers=False)
 
 
+def extract(page: Node, reference: Node | None, template: frozenset[int]) -> str:
+    """The main text of a page by its group's wrapper."""
+    return own_text(page) or varying_text(page, reference, template)
+
+
 def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     host = F.regexp_extract(F.col(url_col), r"(?s)\A.*?://([^/?#]*)", 1)
     return pages.select(
@@ -428,14 +454,20 @@ def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
 def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = pa.array([layout(parse(page)) for page in batch.column(2).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, found], names=["_id", "_url", "_html", "_host", "_layout"])
+        found, own = [], []
+        for page in batch.column(2).to_pylist():
+            top = parse(page)
+            found.append(layout(top))
+            own.append(own_text(top) or None)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(found, pa.int64()), pa.array(own, pa.string())], names=["_id", "_url", "_html", "_host", "_layout", "_own"],
+        )
 
 
 def _grouped(hosted: DataFrame, work: Workspace) -> DataFrame:
     """Adds _group, the code of a host's layout, or of what its layouts of few pages go to."""
     id_type = dict(hosted.dtypes)["_id"]
-    laid = work.write(hosted.mapInArrow(_layouts, f"_id {id_type}, _url string, _html string, _host string, _layout long"), "pages")
+    laid = work.write(hosted.mapInArrow(_layouts, f"_id {id_type}, _url string, _html string, _host string, _layout long, _own string"), "pages")
     code = F.xxhash64("_host", "_layout")
     sizes = laid.groupBy("_host", "_layout").agg(F.count(F.lit(1)).alias("_n"))
     many = F.col("_n") >= LEAST_PAGES
@@ -448,7 +480,7 @@ def _grouped(hosted: DataFrame, work: Workspace) -> DataFrame:
     kept, others = (F.broadcast(t) if t.count() <= BROADCAST_ROWS else t for t in (kept, others))
     group = F.coalesce("_kept", "_other")
     joined = laid.join(kept, code == F.col("_kept"), "left").join(others, "_host")
-    return joined.select("_id", "_url", "_html", group.alias("_group"))
+    return joined.select("_id", "_url", "_html", "_own", group.alias("_group"))
 
 
 def _with_references(grouped: DataFrame, references: DataFrame, broadcast: bool) -> DataFrame:
@@ -519,8 +551,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parsed = _Parsed()
     for batch in batches:
         texts = []
-        for group, page, reference, template in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-            texts.append(extract(parse(page), parsed(group, reference)[0] if reference else None, frozenset(template or ())))
+        for group, own, page, reference, template in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
+            if own is None:
+                own = varying_text(parse(page), parsed(group, reference)[0] if reference else None, frozenset(template or ()))
+            texts.append(own)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["_id", "_url", "text", "n_chars"],
@@ -536,7 +570,10 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     work = Workspace(pages.sparkSession, "html-extract")
     grouped = _grouped(_hosted(pages, id_col, url_col, html_col), work)
     wrappers, broadcast = induce(grouped, work)
-    joined = _with_references(grouped, wrappers, broadcast).select("_id", "_url", "_group", "_html", "_reference", "_template")
+    open_ = F.col("_own").isNull()
+    joined = _with_references(grouped, wrappers, broadcast).select(
+        "_id", "_url", "_group", "_own", *[F.when(open_, F.col(c)).alias(c) for c in ("_html", "_reference", "_template")],
+    )
     id_type = dict(grouped.dtypes)["_id"]
     out = joined.mapInArrow(_extract, f"_id {id_type}, _url string, text string, n_chars long")
     return out.withColumnsRenamed({"_id": id_col, "_url": url_col})

@@ -70,6 +70,15 @@ def test_marks_never_take_the_article(bad):
     assert extract(parse(bad.format(LONG)), None, frozenset()) == LONG
 
 
+@pytest.mark.parametrize("inside,want", [
+    ("<p class='notice-of-works'>Works begin on Monday.</p>", LONG + "\nWorks begin on Monday."), ("<section id=discussion>nice</section>", LONG),
+    ("<div class='user-feedback'>nice</div>", LONG), ("<div class='post-comments list'>nice</div>", LONG), ("<p class='ad-hoc'>kept</p>", LONG + "\nkept"),
+    ("<p class='formula search-space'>kept</p>", LONG + "\nkept"), ("<div class='sidebar-left'>more</div>", LONG),
+])
+def test_names_that_say_more_than_a_mark(inside, want):
+    assert extract(parse(f"<body><article><p>{LONG}</p>{inside}</article>"), None, frozenset()) == want
+
+
 def test_many_slots_of_one_mark_are_content():
     blocks = "".join(f"<div class='widget'><p>part {i}</p></div>" for i in range(9))
     assert extract(parse(f"<body>{blocks}<div class=sidebar>more</div>"), None, frozenset()) == "\n".join(f"part {i}" for i in range(9))
