@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
 from .common import Workspace, table
-from .subwords import ChunkTable, Encoder, calls, cut_block, default_pieces, default_tokenizer, joined_text, ragged
+from .subwords import KEPT_BYTES, KEPT_CHUNKS, ChunkTable, Encoder, calls, cut_block, default_pieces, default_tokenizer, joined_text, ragged
 from .wordcodes import mix, text_blocks
 
-#: Parameters: bytes of texts of a spill (a longer text has one of its own), entries of runs that a radix gets, runs merged
+#: Parameters: bytes of texts of a spill (a longer text has one of its own) and its rows, entries of runs that a radix gets, runs merged
 #: at once, entries merged in one step of the heap, and links beyond which a group's ids are counted before they are paired.
 SPILL_BYTES = 8 << 20
+SPILL_ROWS = 2_000
 RADIX_ENTRIES = 2_000_000
 FAN = 512
 MERGE_STEP = 1 << 18
@@ -126,6 +127,10 @@ class AlignmentTable(ChunkTable):
         self.figures = np.zeros((0, 4), np.int64)
         self.fits, self.texts = np.zeros(0, bool), pa.array([], pa.large_binary())
 
+    def full(self) -> bool:
+        # An entry takes more than ids alone do.
+        return len(self.known) > KEPT_CHUNKS // 3 or self.known.nbytes > KEPT_BYTES // 3
+
     def add(self, new: pa.Array) -> pa.Array:
         joined = self.encoder.joins(new)[0] & ~pc.match_substring(new, "▁").to_numpy(zero_copy_only=False) if self.cuts else np.zeros(len(new), bool)
         together = new.filter(pa.array(joined))
@@ -226,17 +231,20 @@ def radix_of(pairs: np.ndarray, radixes: int) -> np.ndarray:
 
 
 def _spill(first: str, second: str):
+    blank, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, number = _table(first, second), TaskContext.get().partitionId() << 32
         for batch in batches:
-            text = batch.column(1).cast(pa.large_string()).fill_null("")
-            some = pc.not_equal(text, "")
-            text = pc.if_else(some, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), text, pa.scalar("", pa.large_string())), text)
-            for at, end, data, offsets in text_blocks(text, SPILL_BYTES):
-                if made.full():
-                    made.clear()
-                yield _spill_block(made, number, batch.column(0).slice(at, end - at), data, offsets)
-                number += 1
+            for low in range(0, batch.num_rows, SPILL_ROWS):
+                rows = batch.slice(low, SPILL_ROWS)
+                text = rows.column(1).cast(pa.large_string()).fill_null("")
+                text = pc.if_else(pc.not_equal(text, ""), pc.binary_join_element_wise(blank, text, nothing), text)
+                for at, end, data, offsets in text_blocks(text, SPILL_BYTES):
+                    if made.full():
+                        made.clear()
+                    yield _spill_block(made, number, rows.column(0).slice(at, end - at), data, offsets)
+                    number += 1
 
     return run
 
