@@ -11,7 +11,8 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = (
     "csv_rows", "csv_rejected", "standardize_table", "column_types", "issue_table", "dup_rows", "dedup_first", "clean_table",
     "filter_all", "numeric_summary", "quantiles_narrowed", "correlation_pairs", "outliers_by_status", "histogram",
-    "segment_gap_by_status", "trend_by_status", "quality_score_by_status", "route_requests", "latest_events",
+    "segment_gap_by_status", "trend_by_status", "quality_score_by_status", "route_requests", "latest_events", "clean_by_status",
+    "correlation_wide", "column_rules_decided",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are absent")
