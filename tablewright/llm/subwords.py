@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 from .wordcodes import text_blocks
 
 #: Parameters: bytes of texts worked on at once, chunks kept, bytes of chunks kept, chunks in one call.
-BLOCK = 16 << 20
-KEPT_CHUNKS = 1_000_000
-KEPT_BYTES = 48 << 20
+BLOCK = 6 << 20
+KEPT_CHUNKS = 500_000
+KEPT_BYTES = 32 << 20
 CALL_CHUNKS = 256
 
 _nothing = pa.scalar("", pa.large_string())
@@ -239,6 +239,11 @@ class TextEncoder:
         return np.concatenate(out)
 
 
+def give_back() -> None:
+    """At the end of a task: memory that Arrow keeps for later goes back, as workers live on."""
+    pa.default_memory_pool().release_unused()
+
+
 @functools.lru_cache(maxsize=2)
 def text_encoder(path: str, plain: bool = False) -> TextEncoder:
     """One per worker and file; workers are used again for later tasks."""

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
 from .common import Workspace, table
-from .subwords import KEPT_BYTES, KEPT_CHUNKS, ChunkTable, Encoder, calls, cut_block, default_pieces, default_tokenizer, joined_text, ragged
+from .subwords import KEPT_BYTES, KEPT_CHUNKS, ChunkTable, Encoder, calls, cut_block, default_pieces, default_tokenizer, give_back, joined_text, ragged
 from .wordcodes import mix, text_blocks
 
 #: Parameters: bytes of texts of a spill (a longer text has one of its own) and its rows, entries of runs that a radix gets, runs merged
@@ -129,7 +129,7 @@ class AlignmentTable(ChunkTable):
 
     def full(self) -> bool:
         # An entry takes more than ids alone do.
-        return len(self.known) > KEPT_CHUNKS // 3 or self.known.nbytes > KEPT_BYTES // 3
+        return len(self.known) > KEPT_CHUNKS // 2 or self.known.nbytes > KEPT_BYTES // 2
 
     def add(self, new: pa.Array) -> pa.Array:
         joined = self.encoder.joins(new)[0] & ~pc.match_substring(new, "▁").to_numpy(zero_copy_only=False) if self.cuts else np.zeros(len(new), bool)
@@ -245,6 +245,7 @@ def _spill(first: str, second: str):
                         made.clear()
                     yield _spill_block(made, number, rows.column(0).slice(at, end - at), data, offsets)
                     number += 1
+        give_back()
 
     return run
 

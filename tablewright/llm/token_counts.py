@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..session import pin_file_splits
 from .common import Workspace, table
-from .subwords import default_tokenizer, text_encoder
+from .subwords import default_tokenizer, give_back, text_encoder
 
 CACHE = "tokenizer string, digest binary, n_bytes long, n_tokens long"
 
@@ -70,6 +70,7 @@ def _count(path: str):
                 [batch.column(0), batch.column(1), pa.array(count_column(path, batch.column(2)), pa.int64())],
                 names=["digest", "n_bytes", "n_tokens"],
             )
+        give_back()
 
     return run
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from .common import Workspace, table
-from .subwords import default_tokenizer, text_encoder
+from .subwords import default_tokenizer, give_back, text_encoder
 
 #: Fixed values of the shard format: bits between two counts of ones, and bytes of a plane compressed together.
 MAGIC = b"TWWM2\0\0\0"
@@ -212,6 +212,7 @@ def _encode(path: str, shard_tokens: int):
                 at += len(counts)
         if keys:
             yield shard()
+        give_back()
 
     return run
 
