@@ -17,7 +17,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_registered(spark):
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(ORACLES) <= set(QUERIES) <= set(spec.queries()) and "pipeline" in spec.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality classifier", "minhash near-dedup", "benchmark decontamination", "source mixing", "token output",
