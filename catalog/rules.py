@@ -246,6 +246,25 @@ _HITS = ", ".join(
     "CASE WHEN " + " OR ".join(f"contains(w, '{t}')" for t in terms) + f" THEN '{key}' END"
     for key, terms in sc.REQUEST_KEYWORDS.items()
 )
+
+# What the lines of a slice ask, in reading order: the section, the rule and the fact that it needs.
+_LINES = {
+    "executive_summary": "size:yes quality:yes audience:yes segment:segment trend:trend leading_value:no_trend",
+    "dataset_profile": "columns:yes completeness:yes charts:yes",
+    "quality_highlights": "missing:missing blank_share:missing duplicates:duplicates invalid_numeric:numbers invalid_dates:dates none:good",
+    "key_drivers": "segment:segment trend:trend leading_value:yes spread:yes charts:yes",
+    "analysis_highlights": "outliers:outliers range:yes segment:segment trend:trend charts:yes",
+    "risk_flags": "missing:missing duplicates:duplicates outliers:outliers parsing:parsing trend:weak_trend segment:weak_segment "
+    "audience:risk none:no_risk",
+    "next_steps": "audience:yes chart:yes missing:missing duplicates:duplicates outliers:outliers segment:segment trend:trend",
+    "next_questions": "segment:segment trend:trend outliers:outliers missing:missing",
+    "assumption_badges": "readiness:yes confidence:yes duplicate_rule:yes time:trend metric:trend trend:trend segment:segment",
+    "signal_guardrails": "trend:trend segment:segment",
+}
+_LINE_VALUES = ", ".join(
+    f"({i}, '{section}', '{rule.split(':')[0]}', '{rule.split(':')[1]}')"
+    for i, (section, rule) in enumerate((k, r) for k, v in _LINES.items() for r in v.split())
+)
 _OFFERED = ", ".join(f"'{k}'" for k in OFFERED)
 _FOCUS = ", ".join(f"CASE WHEN contains(w, '{c}') THEN '{c}' END" for c in REQUEST_COLUMNS)
 
@@ -331,6 +350,22 @@ ORACLES = {
           FROM f LEFT JOIN g USING (status))
         SELECT status AS slice, CAST(row_number() OVER (PARTITION BY status ORDER BY
           list_position(['segment', 'trend', 'outliers', 'missing'], rule)) AS INTEGER) AS ord, rule FROM hits""",
+    "insight_sections": f"""{sql_with(REPLAYED)}, m AS ({_metrics(_ALL[:4], _KEY, 'status')}),
+        q AS (SELECT status, quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.75) AS q3 FROM typed GROUP BY status),
+        o AS (SELECT status, count(*) FILTER (amount < q1 - 1.5 * (q3 - q1) OR amount > q3 + 1.5 * (q3 - q1)) AS outside
+          FROM typed JOIN q USING (status) GROUP BY status),
+        g AS (SELECT status, support AS gap FROM {sql_gap('typed', 'priority', 'amount', 'status')}),
+        t AS (SELECT status, support AS run FROM {sql_trend('typed', 'order_date', 'amount', by='status')}),
+        f AS (SELECT *, coalesce(gap <> 'Supported', false) AS weak_gap, coalesce(run <> 'Supported', false) AS weak_run,
+          invalid_numeric + invalid_dates > 0 AS bad FROM m LEFT JOIN o USING (status) LEFT JOIN g USING (status) LEFT JOIN t USING (status)),
+        h AS (SELECT status, ['yes', CASE WHEN gap IS NOT NULL THEN 'segment' END, CASE WHEN run IS NULL THEN 'no_trend' ELSE 'trend' END,
+          CASE WHEN missing > 0 THEN 'missing' END, CASE WHEN duplicates > 0 THEN 'duplicates' END, CASE WHEN invalid_numeric > 0 THEN 'numbers' END,
+          CASE WHEN invalid_dates > 0 THEN 'dates' END, CASE WHEN missing + duplicates = 0 AND NOT bad THEN 'good' END,
+          CASE WHEN outside > 0 THEN 'outliers' END, CASE WHEN bad THEN 'parsing' END, CASE WHEN weak_run THEN 'weak_trend' END,
+          CASE WHEN weak_gap THEN 'weak_segment' END,
+          CASE WHEN missing + duplicates + outside > 0 OR bad OR weak_run OR weak_gap THEN 'risk' ELSE 'no_risk' END] AS facts FROM f)
+        SELECT status AS slice, section, CAST(row_number() OVER (PARTITION BY status, section ORDER BY k) AS INTEGER) AS ord, rule
+        FROM h, (VALUES {_LINE_VALUES}) v(k, section, rule, fact) WHERE list_contains(facts, fact)""",
     # o_orderkey is an identifier: it rises with the row number.
     "chart_recommendations": """WITH m AS (SELECT 'o_custkey' AS c, stddev_samp(o_custkey) AS s FROM orders
           UNION ALL SELECT 'o_totalprice', stddev_samp(o_totalprice) FROM orders),
