@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 from .wordcodes import text_blocks
 
 #: Parameters: bytes of texts worked on at once, chunks kept, bytes of chunks kept, chunks in one call.
-BLOCK = 6 << 20
-KEPT_CHUNKS = 500_000
+BLOCK = 8 << 20
+KEPT_CHUNKS = 1_000_000
 KEPT_BYTES = 32 << 20
 CALL_CHUNKS = 256
 
@@ -174,21 +174,23 @@ class ChunkTable:
         self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
 
-    def add(self, new: pa.Array) -> pa.Array:
-        """Encode new chunks; returns them in the order of their numbers."""
+    def add(self, new: pa.Array) -> np.ndarray:
+        """Encode new chunks; returns the order in which they were numbered."""
         order, lengths, flat = self.encoder.chunks(new)
         self.length, self.flat = np.concatenate([self.length, lengths]), np.concatenate([self.flat, flat])
         self.start = np.cumsum(self.length) - self.length
-        return new.take(pa.array(order))
+        return order
 
     def find(self, distinct: pa.Array) -> np.ndarray:
         """The number of each chunk; new ones are encoded and added."""
-        at = pc.index_in(distinct, value_set=self.known)
-        if at.null_count:
-            added = self.add(distinct.filter(at.is_null()))
-            self.known = pa.concat_arrays([self.known, added])
-            at = pc.index_in(distinct, value_set=self.known)
-        return at.to_numpy()
+        at = pc.index_in(distinct, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = distinct.take(pa.array(missing))
+            order = self.add(new)
+            at[missing[order]] = len(self.known) + np.arange(len(order))
+            self.known = pa.concat_arrays([self.known, new.take(pa.array(order))])
+        return at
 
     def full(self) -> bool:
         return len(self.known) > KEPT_CHUNKS or self.known.nbytes > KEPT_BYTES

@@ -129,9 +129,9 @@ class AlignmentTable(ChunkTable):
 
     def full(self) -> bool:
         # An entry takes more than ids alone do.
-        return len(self.known) > KEPT_CHUNKS // 2 or self.known.nbytes > KEPT_BYTES // 2
+        return len(self.known) > KEPT_CHUNKS // 4 or self.known.nbytes > KEPT_BYTES // 3
 
-    def add(self, new: pa.Array) -> pa.Array:
+    def add(self, new: pa.Array) -> np.ndarray:
         joined = self.encoder.joins(new)[0] & ~pc.match_substring(new, "▁").to_numpy(zero_copy_only=False) if self.cuts else np.zeros(len(new), bool)
         together = new.filter(pa.array(joined))
         found = self._groups(together, True) if len(together) else None
@@ -144,7 +144,7 @@ class AlignmentTable(ChunkTable):
             self.links, self.figures = np.concatenate([self.links, links]), np.concatenate([self.figures, figures])
             self.fits, self.texts = np.concatenate([self.fits, fits]), pa.concat_arrays([self.texts, texts])
         self.start = np.cumsum(self.length) - self.length
-        return pa.concat_arrays([together, alone])
+        return np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])
 
     def _none(self):
         """A text whose tokens do not spell it."""

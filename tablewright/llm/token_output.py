@@ -56,9 +56,9 @@ class WaveletMatrix:
             planes.append(packed.tobytes())
             if len(v):
                 ranks[level, 1:] = np.cumsum(np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.int64))
-            low = v[~bit]
+            low = np.compress(~bit, v)
             zeros.append(len(low))
-            v = np.concatenate([low, v[bit]])
+            v = np.concatenate([low, np.compress(bit, v)])
         return zeros, ranks, planes
 
     def _piece(self, level: int, piece: int) -> np.ndarray:
