@@ -10,6 +10,7 @@ from tablewright.operators.cleaning import apply_fills, clean, plan_fills, stand
 from tablewright.operators.profile import type_map
 from tablewright.operators.slices import clean_slices
 from tablewright.operators.statistics import grouped_metric
+from tablewright.session import keep
 
 from .inputs import DIRTY_TYPES, REPLAYED, dirty, replayed, rounded, sql_with, table
 
@@ -17,7 +18,7 @@ KEY = ["order_id", "order_date"]
 
 
 def _filled(spark, sf, config):
-    typed = standardize(dirty(spark, sf), DIRTY_TYPES, config)
+    typed = keep(standardize(dirty(spark, sf), DIRTY_TYPES, config))  # parsed once, read by the rules, the fills and the result
     plan = plan_fills(typed, column_rules(typed, DIRTY_TYPES), config)
     return apply_fills(typed, plan)
 
