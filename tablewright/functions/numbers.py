@@ -50,7 +50,8 @@ def metric_text(c: Column) -> Column:
     return (
         F.when(F.abs(v) >= 1000, F.format_number(F.bround(v, 0), 0))
         .when(v == F.floor(v), F.format_string("%.0f", v))
-        .when(v.isNotNull(), F.format_string("%.1f", F.bround(v, 1)))
+        # Rounding to zero would lose the sign.
+        .when(v.isNotNull(), F.concat(F.when(v < 0, "-").otherwise(""), F.format_string("%.1f", F.abs(F.bround(v, 1)))))
     )
 
 

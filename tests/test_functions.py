@@ -54,6 +54,11 @@ def test_metric_text_rounds_half_to_even(spark):
     assert [r[0] for r in df.select(fn.metric_text(F.col("v"))).collect()] == ["1,234", "12", "2.2", "-1,500", "0.4"]
 
 
+def test_metric_text_keeps_the_sign_of_small_values(spark):
+    df = spark.createDataFrame([(-0.04,), (-0.01,), (0.04,), (-12.36,), (-999.0,), (None,)], "v double")
+    assert [r[0] for r in df.select(fn.metric_text(F.col("v"))).collect()] == ["-0.0", "-0.0", "0.0", "-12.4", "-999", None]
+
+
 @pytest.mark.parametrize(
     "line, cells",
     [
