@@ -13,6 +13,8 @@ COMPACT_SHAPE = r"^\d{8}$"
 NUMBER_SHAPE = r"^\d{1,4}([-/.])\d{1,2}\1\d{2,4}([ T]\d.*)?$"
 DAY_NAME_SHAPE = r"^\d{1,2} \p{L}{3,9} \d{4}$"
 NAME_SHAPE = r"^\p{L}{3,9} (\d{1,2}, )?\d{4}$"
+# Fixed value: ISO dates that are in any calendar.
+PLAIN_DATE = r"^(19|20)[0-9]{2}-(0[1-9]|1[0-2])-(0[1-9]|1[0-9]|2[0-8])\z"
 # The patterns tried for each; month comes before day when both fit.
 NUMBER_PATTERNS = ("M-d-yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]")
 DAY_NAME_PATTERNS = ("d MMM yyyy", "d MMMM yyyy")
@@ -23,6 +25,14 @@ _ANY_SHAPE = "|".join(
 )
 
 
+def plain_date(trimmed: Column) -> Column:
+    """Whether a trimmed text is surely a date, by a cheap test; any other text is left to ``to_date_time``.
+
+    Days up to the 28th are in every month.
+    """
+    return trimmed.rlike(PLAIN_DATE)
+
+
 def _attempt(text: Column, patterns) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in patterns])
 

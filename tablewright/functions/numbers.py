@@ -9,6 +9,8 @@ from .text import strip
 
 # Fixed value: the accepted spelling of a number (no suffixes, no hexadecimal, no underscores).
 NUMBER_PATTERN = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
+# Fixed value: whole numbers and decimals that no parser refuses.
+PLAIN_NUMBER = r"^-?[0-9]{1,15}(\.[0-9]{1,15})?\z"
 # Fixed value: a number in brackets is negative.
 BRACKETS = r"^\s*\((.*)\)\s*$"
 
@@ -29,6 +31,11 @@ def _number_text(c: Column, trimmed: bool) -> Column:
     return F.nullif(F.regexp_extract(signed, NUMBER_PATTERN, 1), F.lit(""))
 
 
+def plain_number(trimmed: Column) -> Column:
+    """Whether a trimmed text is surely a number, by a cheap test; any other text is left to ``to_number``."""
+    return trimmed.rlike(PLAIN_NUMBER)
+
+
 def to_number(c: Column, trimmed: bool = False) -> Column:
     """Parse ``1,200``, ``$5``, ``(3.5)`` and plain or scientific numbers; anything else is NULL.
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import to_date_time
-from ..functions.numbers import to_number
+from ..functions.dates import plain_date, to_date_time
+from ..functions.numbers import plain_number, to_number
 from ..session import keep
 from .base import (
     CATEGORICAL,
@@ -135,6 +136,23 @@ def value_frequencies(df: DataFrame, columns=None, by=(), row_id: str | None = N
     return cells.groupBy(*[q(b) for b in by], "column", "value").agg(*aggs)
 
 
+def distinct_values(df: DataFrame, columns, by=()) -> DataFrame:
+    """``(by..., column, distinct)``: exact counts; numbers are compared as stored, as their texts cost more than the rest."""
+    keys = [q(b) for b in by]
+    groups: dict[str, list[str]] = {}
+    for c in columns:
+        dtype = df.schema[c].dataType
+        whole = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        name = "bigint" if whole else "double" if isinstance(dtype, (T.FloatType, T.DoubleType)) else "string"
+        groups.setdefault(name, []).append(c)
+    parts = []
+    for name, names in groups.items():
+        cells = df.select(*keys, *[q(c).cast(name).alias(c) for c in names]).unpivot(keys, [q(c) for c in names], "column", "value")
+        parts.append(cells.filter(F.col("value").isNotNull()).select(*keys, "column", "value").distinct().groupBy(*keys, "column").agg(F.count(F.lit(1)).alias("distinct")))
+    # A column is in one group, so the groups' rows need not be summed.
+    return reduce(DataFrame.unionByName, parts) if parts else df.limit(0).select(*keys, F.lit("").alias("column"), F.lit(0).cast("long").alias("distinct"))
+
+
 def invalid_values(df: DataFrame, types: dict[str, str], kind: str, by=(), row_id: str | None = None) -> DataFrame:
     """Distinct non-null texts of Numeric (or Date) columns that do not parse, each tested once."""
     base = normalise(df, by)
@@ -142,8 +160,11 @@ def invalid_values(df: DataFrame, types: dict[str, str], kind: str, by=(), row_i
     if not names:
         names = data_columns(base, by)[:1]
         base = base.limit(0)
-    parse = to_number(F.col("value"), trimmed=True) if kind == NUMERIC else to_date_time(F.col("value"), trimmed=True)
-    values = value_frequencies(base, names, by, row_id).filter(F.col("value").isNotNull())
+    value = F.col("value")
+    parse, plain = (to_number, plain_number) if kind == NUMERIC else (to_date_time, plain_date)
+    parse = parse(value, trimmed=True)
+    # Plain cells are left out before they are counted, so that only few are parsed and shuffled.
+    values = value_frequencies(base, names, by, row_id).filter(value.isNotNull() & ~plain(value))
     return values.withColumn("_p", parse).filter(F.col("_p").isNull()).drop("_p")
 
 
