@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CleaningConfig
+from ..session import keep
 from .base import CATEGORICAL, DATE, NUMERIC, ROW_ID, UNKNOWN, classes, data_columns, join_slices, q, stack
 from .cardinality import has_id_name
 from .cleaning import UNKNOWN_FILL, standardize
 from .duplicates import first_rows
 from .profile import (
-    HIGH_CARDINALITY_MIN, HIGH_CARDINALITY_RATIO, ID_NAME_RATIO, ID_SEQUENCE_MIN, ID_SEQUENCE_RATIO, sequences, value_frequencies,
+    HIGH_CARDINALITY_MIN, HIGH_CARDINALITY_RATIO, ID_NAME_RATIO, ID_SEQUENCE_MIN, ID_SEQUENCE_RATIO, distinct_values, sequences,
 )
 from .quantiles import quantiles
 from .statistics import top_values
@@ -47,8 +48,8 @@ def slice_facts(typed: DataFrame, types: dict[str, str], by, row_id: str = ROW_I
     ])
     # Dates need no count: no rule asks for it.
     counted = [c for c in names if kinds[c] != DATE]
-    values = value_frequencies(typed, counted, by).groupBy(*keys, "column").agg(F.count("value").alias("distinct"))
-    facts = join_slices(cells, values, [*by, "column"], "left")
+    values = distinct_values(typed, counted, by)
+    facts = join_slices(cells, values, [*by, "column"], "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
     numbers = [c for c in counted if kinds[c] == NUMERIC]
     if numbers and row_id in typed.columns:
         runs = sequences(typed, numbers, row_id, by)
@@ -90,7 +91,8 @@ def clean_slices(df: DataFrame, types: dict[str, str], by, subset=None, config=N
     subset = [c for c in subset if c not in by] if subset else None
     raw = {b: f"_by{i}" for i, b in enumerate(by)}
     typed = standardize(df.select("*", *[q(b).alias(a) for b, a in raw.items()]), types, cfg)
-    typed = typed.select(*[q(raw[c]).alias(c) if c in raw else q(c) for c in df.columns])
+    # Parsed once, read by the facts, the fills and the result.
+    typed = keep(typed.select(*[q(raw[c]).alias(c) if c in raw else q(c) for c in df.columns]))
     names = data_columns(typed, by)
     stored = classes(typed, by)
     kinds = {c: types.get(c, stored[c]) for c in names}
@@ -126,6 +128,7 @@ def clean_slices(df: DataFrame, types: dict[str, str], by, subset=None, config=N
         "missing": F.col("rows") - F.col("non_null"),
         "number": F.when(open_, F.col("number")), "word": F.when(open_, F.when(constant, F.lit(UNKNOWN_FILL)).otherwise(F.col("word"))),
     })
+    plan = keep(plan)  # one row per slice and column, read by the fills and by the log
 
     used = [c for c in names if c in strategies and strategies[c][0] != "leave"]
     filled = typed
