@@ -14,6 +14,7 @@ from tablewright.operators.statistics import completeness, numeric_summary, outl
 from tablewright.plans import documents, narrative
 from tablewright.plans.answers import AnswerSource, guided_answer
 from tablewright.plans.findings import slice_findings
+from tablewright.session import keep
 from tablewright.sources import events as ev
 from tablewright.sources.sinks import json_preview
 
@@ -103,38 +104,45 @@ def route_conversations(spark, sf):
     return out.select("conv_id", "turn", "primary_key", F.array_join("matched_keys", ",").alias("matched"))
 
 
-def _findings(spark, sf, by=None):
-    raw = replayed(spark, sf)
-    active = standardize(raw, DIRTY_TYPES)
-    return slice_findings(raw, active, DIRTY_TYPES, CHOICE, by, ["amount"], KEY)
+def _raw_and_typed(spark, sf):
+    """The table and its typed view, each made once: every part of the findings reads one of them."""
+    raw = keep(normalise(replayed(spark, sf)))
+    return raw, keep(standardize(raw, DIRTY_TYPES))
+
+
+def _findings(raw, typed, by=None):
+    return slice_findings(raw, typed, DIRTY_TYPES, CHOICE, by, ["amount"], KEY)
+
+
+def _status_findings(spark, sf):
+    return _findings(*_raw_and_typed(spark, sf), "status")
 
 
 def insight_sections(spark, sf):
     """Which lines are told about each status, in reading order."""
-    return narrative.insight_sections(_findings(spark, sf, "status")).select("slice", "section", "ord", "rule")
+    return narrative.insight_sections(_status_findings(spark, sf)).select("slice", "section", "ord", "rule")
 
 
 def insight_texts(spark, sf):
-    return narrative.insight_sections(_findings(spark, sf), "analyst").select("section", "ord", "rule", "text")
+    return narrative.insight_sections(_findings(*_raw_and_typed(spark, sf)), "analyst").select("section", "ord", "rule", "text")
 
 
 def next_questions(spark, sf):
-    return narrative.next_questions(_findings(spark, sf, "status")).select("slice", "ord", "rule")
+    return narrative.next_questions(_status_findings(spark, sf)).select("slice", "ord", "rule")
 
 
 def chart_notes(spark, sf):
-    findings = _findings(spark, sf)
-    stats = numeric_summary(standardize(replayed(spark, sf), DIRTY_TYPES), ["amount"])
-    notes = narrative.chart_notes(stats, findings)
+    raw, typed = _raw_and_typed(spark, sf)
+    notes = narrative.chart_notes(numeric_summary(typed, ["amount"]), _findings(raw, typed))
     return notes.select("slice", "key", F.array_join("columns", ", ").alias("columns"), "note")
 
 
 def confidence_breakdown(spark, sf):
-    return narrative.confidence_breakdown(_findings(spark, sf, "status"))
+    return narrative.confidence_breakdown(_status_findings(spark, sf))
 
 
 def run_report(spark, sf):
-    findings, raw = _findings(spark, sf, "status"), replayed(spark, sf)
+    findings, raw = _status_findings(spark, sf), replayed(spark, sf)
     static = {
         "file_name": '"orders"', "applied_filters": "[]",
         "duplicate_diagnostics": documents.row_as_json(key_diagnostics(raw, KEY, ["order_id"])),
@@ -143,18 +151,17 @@ def run_report(spark, sf):
 
 
 def decision_brief(spark, sf):
-    return documents.sections_and_brief(_findings(spark, sf, "status"), "orders", "raw dataset", "operator")[1]
+    return documents.sections_and_brief(_status_findings(spark, sf), "orders", "raw dataset", "operator")[1]
 
 
 def context_document(spark, sf):
-    raw = replayed(spark, sf)
-    typed = standardize(raw, DIRTY_TYPES)
+    raw, typed = _raw_and_typed(spark, sf)
     bad = invalid_values(raw, DIRTY_TYPES, "Numeric").unionByName(invalid_values(raw, DIRTY_TYPES, "Date"))
-    n = raw.count()
+    n = typed.count()
     found = documents.context_document(
         DIRTY_TYPES, {"raw": (n, 5), "active": (n, 5)}, missing_counts(raw), bad, numeric_summary(typed, ["amount"]),
         top_values(typed, ["priority", "status"]), outlier_summary(typed, ["amount"]), documents.preview(typed, "_row_id"),
-        _findings(spark, sf), "raw dataset",
+        _findings(raw, typed), "raw dataset",
     )
     return documents.document_key(found, "document", prefix="overview", view="raw dataset")
 

@@ -10,6 +10,7 @@ from ..functions.numbers import display_number
 from ..operators.base import DATE, NUMERIC
 from ..operators.profile import issue_table
 from ..operators.scoring import confidence_lines, quality_lines
+from ..session import keep
 from .findings import SLICE
 from .narrative import SECTIONS, insight_sections
 
@@ -169,6 +170,7 @@ def context_document(
         display_number(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")
     ])
     parts = as_array(missing, "missing_values")
+    invalid = keep(invalid)  # read four times: counts and previews, of numbers and of dates
     for kind, name in ((NUMERIC, "invalid_numeric"), (DATE, "invalid_dates")):
         columns = [c for c, t in types.items() if t == kind]
         bad = invalid.filter(F.col("column").isin(*columns))
