@@ -19,7 +19,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import Workspace, table
-from .wordcodes import gram_codes, mix, text_blocks, word_codes, word_places
+from .wordcodes import gram_codes, mix, pieces, text_blocks, word_codes, word_places
 
 #: Signature: bands x rows positions. A pair of similarity 0.8 shares no band once in 300,000 times.
 BANDS, ROWS = 32, 5
@@ -65,7 +65,7 @@ SIGNED = "_id long, n_shingles long, digest binary, sig binary"
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sizes, digests, sigs = [], [], []
             for s in shingle_sets(batch.column(1), k):
                 sizes.append(len(s))
@@ -145,7 +145,7 @@ def _compare(pairs: DataFrame, payload: DataFrame, alike) -> DataFrame:
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, own = None, []
-        for batch in batches:
+        for batch in pieces(batches):
             hubs, nodes = [], []
             for hub, g, role, node, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if (hub, g) != group:
@@ -223,7 +223,7 @@ def near_duplicates(
 
     def sets(ids: DataFrame) -> DataFrame:
         def run(batches):
-            for batch in batches:
+            for batch in pieces(batches):
                 data = [s.tobytes() for s in shingle_sets(batch.column(1), shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["_id", "data"])
         return _listed(source, ids).mapInArrow(run, "_id long, data binary")
@@ -340,7 +340,7 @@ def _across(placed: DataFrame, least: list[int], same) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["hub", "node"])
 
         group = []
-        for batch in batches:
+        for batch in pieces(batches):
             for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
                 if group and row[:3] != group[0][:3]:
                     yield made(links(group))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .ftrl import Ftrl, chances, fit, sample, text_hash
-from .wordcodes import gram_codes, mix, text_blocks, word_codes, word_places
+from .wordcodes import gram_codes, mix, pieces, text_blocks, word_codes, word_places
 
 #: Parameters: hashed features, and labelled rows that training looks at (chosen by hash of id and text).
 BITS = 18
@@ -125,7 +125,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray | None, *, least: float = 0.7
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             good = [chances(np.array([v @ weights[i, 0]]))[0] >= least for i, v in features(batch.column(at))]
             yield batch.filter(pa.array(good, pa.bool_()))
 

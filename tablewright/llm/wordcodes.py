@@ -11,8 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes worked on at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+#: Bytes worked on at once; a longer text is a block of its own. A byte takes some fifty bytes of numbers meanwhile.
+BLOCK_BYTES = 1 << 18
+#: Rows of an Arrow batch that become Python objects, or a batch of results, at once.
+PIECE_ROWS = 512
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -43,6 +45,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut into such of at most that many rows, without copying; none for an empty one."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_blocks(column: pa.Array, block: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Blocks of texts as (first row, last row + 1, bytes, offsets of the texts in them); NULL is empty."""
     column = column.cast(pa.large_string()).fill_null("")

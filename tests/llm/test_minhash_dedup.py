@@ -1,11 +1,15 @@
 import math
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
+from tablewright.llm import wordcodes
 from tablewright.llm.common import Workspace
-from tablewright.llm.minhash_dedup import BATCH, _N, connect, drop_near_duplicates, least_matches, near_duplicates
+from tablewright.llm.minhash_dedup import BATCH, _N, _sign, connect, drop_near_duplicates, least_matches, near_duplicates
+from tablewright.llm.quality_classifier import features
 
 from .conftest import prose
 
@@ -89,3 +93,26 @@ def test_pruning_bound():
 
 def test_empty_table(documents):
     assert near_duplicates(documents([])).collect() == []
+
+
+@pytest.mark.parametrize("step", ["signatures", "features"])
+def test_a_worker_holds_little_beside_its_batch(monkeypatch, step):
+    texts = [prose(i % 40, 300 + i % 7) if i % 50 else None for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(texts, pa.string())], names=["_id", "_text"])
+    assert batch.nbytes > 4 << 20
+    monkeypatch.setattr(wordcodes, "_powers", [p[:2] for p in wordcodes._powers])
+    tracemalloc.start()
+    try:
+        most = max((b.num_rows for b in _sign(5)(iter([batch])))) if step == "signatures" else sum(1 for _ in features(batch["_text"])) - 3000
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most <= 512 and peak < 40 << 20
+
+
+def test_pieces_change_no_row():
+    texts = [None if i % 9 == 0 else prose(i % 30, 4 + i % 60) for i in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array(texts, pa.string())], names=["_id", "_text"])
+    cut = [r for b in _sign(5)(iter([batch.slice(0, 0), batch])) for r in b.to_pylist()]
+    alone = [r for i in range(1500) for b in _sign(5)(iter([batch.slice(i, 1)])) for r in b.to_pylist()]
+    assert cut == alone
